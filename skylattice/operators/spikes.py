@@ -27,7 +27,7 @@ FIELDS = ("drone_distance_m", "target_velocity", "target_pose_world")
 COMPONENTS = (("d",), ("vx", "vy", "vz"), ("px", "py", "pz"))
 WIDTH = 8
 #: Profile values beyond this many usual changes off the low-rank part are candidates.
-CANDIDATE = 2.0
+CANDIDATE = 0.5
 ITERATIONS = 18
 #: The usual change is the median of a histogram whose bins are 2**-12 of the value wide.
 BIN_BITS = 40
