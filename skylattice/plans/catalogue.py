@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skylattice.plans import problems
+from skylattice.plans import checks, problems, space, texts, tracking
 
-MODULES = (problems,)
+MODULES = (tracking, texts, space, checks, problems)
 
 
 def queries() -> dict:
