@@ -27,8 +27,11 @@ FIELDS = ("drone_distance_m", "target_velocity", "target_pose_world")
 COMPONENTS = (("d",), ("vx", "vy", "vz"), ("px", "py", "pz"))
 WIDTH = 8
 #: Profile values beyond this many usual changes off the low-rank part are candidates.
-CANDIDATE = 0.5
+CANDIDATE = 1.0
 ITERATIONS = 18
+#: Weight of the sparse part against the usual 1 / sqrt(rows): below 1, so that a stretch of three spikes in all
+#: components of a short series still is cheaper as sparse than as a low-rank part.
+WEIGHT = 0.6
 #: The usual change is the median of a histogram whose bins are 2**-12 of the value wide.
 BIN_BITS = 40
 
@@ -253,7 +256,7 @@ def sparse_part(matrices: np.ndarray) -> np.ndarray:
     Singular values are shrunk through the small Gram matrices. Returns the sparse parts."""
     m = matrices
     _, rows, width = m.shape
-    lam = 1.0 / np.sqrt(max(rows, width))
+    lam = WEIGHT / np.sqrt(max(rows, width))
     norm = np.sqrt(np.maximum(np.linalg.eigvalsh(np.swapaxes(m, 1, 2) @ m)[:, -1], 1e-300))[:, None, None]
     y = m / np.maximum(norm, np.abs(m).max(axis=(1, 2), keepdims=True) / lam)
     mu = 1.25 / norm
@@ -294,14 +297,22 @@ def candidates(x: np.ndarray, plausible: np.ndarray, starts: np.ndarray, ends: n
             inside = at < ends[part][:, None]
             at = np.minimum(at, ends[part][:, None] - 1)
             m = filled[at]
-            m = (m - np.median(m, axis=1, keepdims=True)) / usual[part][:, None, None]
+            # each stretch is centred on its median, which three spikes in eight can't move: a long way travelled would
+            # dwarf them otherwise
+            m = m.reshape(len(part), r, WIDTH, dim)
+            m = ((m - np.median(m, axis=2, keepdims=True)) / usual[part][:, None, None, None]).reshape(len(part), r * WIDTH, dim)
             padded = -(-sizes[part] // WIDTH) * WIDTH
             m[np.arange(r * WIDTH)[None, :] >= padded[:, None]] = 0
             stacked = np.concatenate([m[:, :, k].reshape(len(part), r, WIDTH) for k in range(dim)], axis=1)
             s = sparse_part(stacked).reshape(len(part), dim, r * WIDTH)
             hit = (np.sqrt((s**2).sum(axis=1)) >= CANDIDATE) & inside
             marked[at[hit]] = True
-    return np.flatnonzero(marked)
+    # where spikes crowd, the stretch's median may lie on one: what is near a candidate is one too
+    near = marked.copy()
+    for k in range(1, 4):
+        near[k:] |= marked[:-k]
+        near[:-k] |= marked[k:]
+    return np.flatnonzero(near)
 
 
 def confirmed(x: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: np.ndarray, longest: int) -> np.ndarray:
