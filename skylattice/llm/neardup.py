@@ -152,44 +152,47 @@ def jaccard_distance(a, b):
     return F.lit(1.0) - both / (F.size(a) + F.size(b) - both)
 
 
+def tiles(rows: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
+    """Cut regions of n classes into pairs of tiles of about cap classes; each pair of tiles becomes a region."""
+    cells = F.ceil(F.col("n") / cap).cast("int")
+    own = F.pmod(F.xxhash64("cid"), cells.cast("bigint")).cast("int")
+    cut = rows.join(sizes, "region").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    return cut.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns)
+
+
 def voronoi(rows: DataFrame, words: DataFrame, radius: float, cap: int, pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
     """Cut regions of more than cap classes by pivots until they fit; returns rows of regions that do, with every pair
     within radius together in at least one of them.
 
     Pivots are drawn by hash, about `pivots` per region. A class goes to its nearest pivot's region and, by the triangle
-    inequality, to each q with d(x, q) <= d(x, p) + 2 * radius. Regions that pivots leave nearly as large as before are
-    cut into tiles, and each pair of tiles becomes a region."""
-    todo = materialize(rows.join(words.select("cid", "words"), "cid"), "p2-hot")
+    inequality, to each q with d(x, q) <= d(x, p) + 2 * radius. Where the parts' squared sizes don't add up to clearly
+    less than the region's own, its windows overlap too much for pivots to help, and it is cut into tiles instead."""
+    todo = materialize(rows.join(words.select("cid", "words"), "cid").select(*rows.columns, "words"), "p2-hot")
     done = []
     for level in range(depth + 1):
-        sizes = materialize(todo.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent")) if "parent" in todo.columns else todo.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("parent")), "p2-sizes")
-        todo = todo.drop("parent")
-        sized = todo.join(sizes, "region")
-        done.append(sized.where(F.col("n") <= cap).select(*rows.columns))
-        stubborn = (F.col("parent").isNotNull() & (F.col("n") > 0.8 * F.col("parent"))) if level < depth else F.lit(True)
-        tiled = sized.where((F.col("n") > cap) & stubborn)
-        cells = F.ceil(F.col("n") / cap).cast("int")
-        own = F.pmod(F.xxhash64("cid"), cells.cast("bigint")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-        tiles = tiled.withColumn("cells", cells).withColumn("own", own).withColumn("other", other)
-        tiles = tiles.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"), F.lit(level)))
-        done.append(tiles.select(*rows.columns))
-        large = sizes.where((F.col("n") > cap) & ~F.coalesce(stubborn, F.lit(False)))
+        sizes = materialize(todo.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "p2-sizes")
+        done.append(todo.join(sizes.where(F.col("n") <= cap), "region", "left_semi").select(*rows.columns))
+        large = sizes.where(F.col("n") > cap)
         regions = large.count()
-        if level == depth or not regions:
+        if not regions:
+            break
+        if level == depth:
+            done.append(tiles(todo.select(*rows.columns), large, cap))
             break
-        sized = todo.join(F.broadcast(large.select("region", "n")) if regions <= BROADCAST_REGIONS else large.select("region", "n"), "region")
+        few = F.broadcast if regions <= BROADCAST_REGIONS else (lambda df: df)
+        sized = todo.join(few(large), "region")
         draw = F.pmod(F.xxhash64(F.lit(level), "region", "cid"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.lit(2.0 * pivots) / F.col("n")
         chosen = sized.where(draw).groupBy("region").agg(F.slice(F.array_sort(F.collect_list(F.struct("cid", "words"))), 1, pivots).alias("pivots"))
-        if regions <= BROADCAST_REGIONS:
-            chosen = F.broadcast(chosen)
-        near = sized.join(chosen, "region", "left")
-        d = F.transform(F.col("pivots"), lambda p: F.struct(jaccard_distance(F.col("words"), p["words"]).alias("d"), p["cid"].alias("p")))
-        near = near.withColumn("ds", F.array_sort(d))
+        near = sized.join(few(chosen), "region")
+        d = F.array_sort(F.transform(F.col("pivots"), lambda p: F.struct(jaccard_distance(F.col("words"), p["words"]).alias("d"), p["cid"].alias("p"))))
+        near = near.withColumn("ds", d)
         inside = F.filter("ds", lambda p: p["d"] <= F.col("ds")[0]["d"] + F.lit(2 * radius + 1e-9))
-        near = near.withColumn("p", F.explode_outer(F.transform(inside, lambda p: p["p"])))
-        cut = near.withColumn("parent", F.col("n")).withColumn("region", F.xxhash64("region", F.coalesce("p", F.lit("")), F.lit(level)))
-        todo = materialize(cut.select(*rows.columns, "words", "parent"), f"p2-level{level}")
+        cut = near.withColumn("p", F.explode(F.transform(inside, lambda p: p["p"])))
+        parts = cut.groupBy("region", "n", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("region", "n").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        divided = materialize(parts.where(F.col("work") <= 0.7 * F.col("n") * F.col("n")).select("region"), "p2-divided")
+        done.append(tiles(todo.select(*rows.columns), large.join(divided, "region", "left_anti"), cap))
+        cut = cut.join(divided, "region", "left_semi").withColumn("region", F.xxhash64("region", "p", F.lit(level)))
+        todo = materialize(cut.select(*rows.columns, "words"), f"p2-level{level}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
