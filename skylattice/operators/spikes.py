@@ -27,7 +27,7 @@ FIELDS = ("drone_distance_m", "target_velocity", "target_pose_world")
 COMPONENTS = (("d",), ("vx", "vy", "vz"), ("px", "py", "pz"))
 WIDTH = 8
 #: Profile values beyond this many usual changes off the low-rank part are candidates.
-CANDIDATE = 1.0
+CANDIDATE = 6.0
 ITERATIONS = 18
 #: Weight of the sparse part against the usual 1 / sqrt(rows): below 1, so that a stretch of three spikes in all
 #: components of a short series still is cheaper as sparse than as a low-rank part.
@@ -307,7 +307,9 @@ def candidates(x: np.ndarray, plausible: np.ndarray, starts: np.ndarray, ends: n
             s = sparse_part(stacked).reshape(len(part), dim, r * WIDTH)
             hit = (np.sqrt((s**2).sum(axis=1)) >= CANDIDATE) & inside
             marked[at[hit]] = True
-    # where spikes crowd, the stretch's median may lie on one: what is near a candidate is one too
+    # where spikes crowd, the stretch's median may lie on one, and readings out of range are masked above: what is near
+    # a candidate or such a reading is one too
+    marked |= ~plausible
     near = marked.copy()
     for k in range(1, 4):
         near[k:] |= marked[:-k]
@@ -380,7 +382,6 @@ def spike_rows(batches: Iterable[pa.RecordBatch], limits: SpikeLimits) -> Iterat
             starts = np.searchsorted(of, np.arange(groups))
             ends = np.searchsorted(of, np.arange(groups), side="right")
             hit = candidates(x, ~bad, starts, ends, usual)
-            # a reading out of range is masked in the matrix, but it may lie in a stretch with a spike
             hit = hit[confirmed(x, hit, starts[of[hit]], ends[of[hit]], limits.off * usual[of[hit]], limits.longest)]
             for which, reason in ((np.flatnonzero(bad & own), "impossible"), (hit[own[hit]], "spike")):
                 if len(which):
