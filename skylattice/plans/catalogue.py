@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skylattice.plans import checks, problems, space, texts, tracking
+from skylattice.plans import checks, problems, search, space, texts, tracking
 
-MODULES = (tracking, texts, space, checks, problems)
+MODULES = (tracking, texts, space, search, checks, problems)
 
 
 def queries() -> dict:
