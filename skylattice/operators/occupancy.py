@@ -32,8 +32,27 @@ class Grid:
     agl: float = 0.35
 
 
+#: Cell numbers stay below this, as components() needs. Coordinates beyond REAL metres are impossible readings: nothing is sampled along them.
+CELLS, REAL = 1 << 30, 1e5
+
+
 def cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("int")
+    """The number of the cell, null where there is none (NaN, infinite, or beyond what a cell number can say)."""
+    return F.when(F.abs(c) < F.lit(size * CELLS), F.floor(c / F.lit(size)).cast("int"))
+
+
+def real(*columns: Column) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce(F.abs(c) < REAL, F.lit(False))
+    return out
+
+
+def within(reach: float | None) -> Column:
+    """Whether a ray (ax..az, bx..bz) is no longer than reach; false where it has no length."""
+    if reach is None:
+        return F.lit(True)
+    return F.coalesce(sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0)) <= reach * reach, F.lit(False))
 
 
 def finite(*columns: Column) -> Column:
@@ -43,22 +62,19 @@ def finite(*columns: Column) -> Column:
     return out
 
 
-def placed(points: DataFrame, g: Grid, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Finite points within bounds (x0, x1, y0, y1), with their cell ix, iy, iz."""
-    kept = points.where(finite(F.col("x"), F.col("y"), F.col("z")))
-    if bounds:
-        kept = kept.where(F.col("x").between(bounds[0], bounds[1]) & F.col("y").between(bounds[2], bounds[3]))
-    return kept.select("x", "y", "z", *[cell(F.col(c), g.voxel).alias(f"i{c}") for c in "xyz"])
+def placed(points: DataFrame, g: Grid) -> DataFrame:
+    """Points that have a cell, with that cell ix, iy, iz."""
+    return points.select("x", "y", "z", *[cell(F.col(c), g.voxel).alias(f"i{c}") for c in "xyz"]).dropna(subset=["ix", "iy", "iz"])
 
 
-def voxels(points: DataFrame, g: Grid = Grid(), bounds=None) -> DataFrame:
-    return placed(points, g, bounds).select("ix", "iy", "iz").distinct()
+def voxels(points: DataFrame, g: Grid = Grid()) -> DataFrame:
+    return placed(points, g).select("ix", "iy", "iz").distinct()
 
 
-def columns2d(points: DataFrame, g: Grid = Grid(), bounds=None) -> DataFrame:
+def columns2d(points: DataFrame, g: Grid = Grid()) -> DataFrame:
     """Per column: roof_z, low_z, ground_z (lowest in the ground band), support (points just above it), obstacles (points
     above that and below building height), is_building, is_obstacle. Two aggregations; the first one's result is small."""
-    p = placed(points, g, bounds)
+    p = placed(points, g)
     band = (F.col("z") >= g.elevation - g.ground_below) & (F.col("z") < g.elevation + g.building)
     first = p.groupBy("ix", "iy").agg(F.max("z").alias("roof_z"), F.min("z").alias("low_z"), F.min(F.when(band, F.col("z"))).alias("ground_z"), F.count(F.lit(1)).alias("points"))
     ground = first.select("ix", "iy", "ground_z").where("ground_z is not null")
@@ -107,10 +123,10 @@ def building_flags(columns: DataFrame, g: Grid = Grid()) -> DataFrame:
 
 
 def occupied(points: DataFrame, voxel_set: DataFrame, g: Grid = Grid()) -> DataFrame:
-    """points with a flag whether their voxel is in the set."""
+    """points with a flag whether their voxel is in the set, null for a point without a voxel."""
     keyed = points.withColumns({f"_i{c}": cell(F.col(c), g.voxel) for c in "xyz"})
     marks = voxel_set.select(*[F.col(f"i{c}").alias(f"_i{c}") for c in "xyz"]).distinct().withColumn("occupied", F.lit(True))
-    return keyed.join(marks, ["_ix", "_iy", "_iz"], "left").select(*points.columns, F.coalesce("occupied", F.lit(False)).alias("occupied"))
+    return keyed.join(marks, ["_ix", "_iy", "_iz"], "left").select(*points.columns, F.when(F.col("_ix").isNotNull() & F.col("_iy").isNotNull() & F.col("_iz").isNotNull(), F.coalesce("occupied", F.lit(False))).alias("occupied"))
 
 
 def samples(rays: DataFrame, g: Grid, least: int = 4) -> DataFrame:
@@ -123,20 +139,21 @@ def samples(rays: DataFrame, g: Grid, least: int = 4) -> DataFrame:
     return on.select("ray_id", "step", "steps", "t", "x", "y", "z", *[cell(F.col(c), g.voxel).alias(f"i{c}") for c in "xyz"])
 
 
-def line_of_sight(rays: DataFrame, voxel_set: DataFrame, flags: DataFrame, g: Grid = Grid(), largest: bool = False) -> DataFrame:
+def line_of_sight(rays: DataFrame, voxel_set: DataFrame, flags: DataFrame, g: Grid = Grid(), largest: bool = False, reach: float | None = None) -> DataFrame:
     """ray_id, blocked, first_t: whether an occupied voxel of a blocking column lies on the ray and where the first one
-    is. With largest, only large buildings block."""
+    is. With largest, only large buildings block. Rays beyond reach are not sampled; blocked is null for them."""
     solid = voxel_set.join(flags.where("is_large" if largest else "blocks").select("ix", "iy"), ["ix", "iy"], "left_semi")
-    hits = samples(rays, g).join(solid, ["ix", "iy", "iz"]).groupBy("ray_id").agg(F.min("t").alias("first_t"))
-    return rays.select("ray_id").join(hits, "ray_id", "left").select("ray_id", F.col("first_t").isNotNull().alias("blocked"), "first_t")
+    hits = samples(rays.where(within(reach)), g).join(solid, ["ix", "iy", "iz"]).groupBy("ray_id").agg(F.min("t").alias("first_t"))
+    return rays.select("ray_id", within(reach).alias("near")).join(hits, "ray_id", "left").select("ray_id", F.when(F.col("near"), F.col("first_t").isNotNull()).alias("blocked"), "first_t")
 
 
-def roof_los(rays: DataFrame, columns: DataFrame, g: Grid = Grid(), margin: float = 1.5, skip: float = 2.0) -> DataFrame:
-    """ray_id, blocked: a sample below a column's roof by more than margin, leaving out `skip` metres at both ends."""
+def roof_los(rays: DataFrame, columns: DataFrame, g: Grid = Grid(), margin: float = 1.5, skip: float = 2.0, reach: float | None = None) -> DataFrame:
+    """ray_id, blocked: a sample below a column's roof by more than margin, leaving out `skip` metres at both ends. Rays
+    beyond reach are not sampled; blocked is null for them."""
     length = F.sqrt(sum(((F.col(f"b{c}") - F.col(f"a{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    inner = samples(rays, g).join(rays.select("ray_id", length.alias("length")), "ray_id").where((F.col("t") * F.col("length") >= skip) & ((1 - F.col("t")) * F.col("length") >= skip))
+    inner = samples(rays.where(within(reach)), g).join(rays.select("ray_id", length.alias("length")), "ray_id").where((F.col("t") * F.col("length") >= skip) & ((1 - F.col("t")) * F.col("length") >= skip))
     hits = inner.join(columns.select("ix", "iy", "roof_z"), ["ix", "iy"]).groupBy("ray_id").agg(F.max(F.col("z") < F.col("roof_z") - margin).alias("blocked"))
-    return rays.select("ray_id").join(hits, "ray_id", "left").select("ray_id", F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    return rays.select("ray_id", within(reach).alias("near")).join(hits, "ray_id", "left").select("ray_id", F.when(F.col("near"), F.coalesce("blocked", F.lit(False))).alias("blocked"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
@@ -183,17 +200,18 @@ def corridor(free: DataFrame, headings: int) -> DataFrame:
 
 def resolved_moves(moves: DataFrame, blocked: DataFrame, g: Grid = Grid(), shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25, 0.1, 0.05)) -> DataFrame:
     """move_id, share: the largest share of each move (move_id, ax, ay, bx, by) whose way is free of blocked cells; 0 if
-    none is. All shares are tested at once."""
+    none is, null where an end is an impossible reading. All shares are tested at once."""
+    ends = real(*[F.col(c) for c in ("ax", "ay", "bx", "by")])
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     n = F.greatest(F.lit(2), F.ceil(length / (g.voxel * 0.5)).cast("int"))
-    steps = moves.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    steps = moves.where(ends).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     t = F.col("k") / F.col("n")
     on = steps.select("move_id", t.alias("t"), cell(F.col("ax") + (F.col("bx") - F.col("ax")) * t, g.voxel).alias("ix"), cell(F.col("ay") + (F.col("by") - F.col("ay")) * t, g.voxel).alias("iy"))
     wall = on.join(blocked.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi").groupBy("move_id").agg(F.min("t").alias("wall"))
     best = F.lit(0.0)
     for s in sorted(shares):
         best = F.when(F.col("wall").isNull() | (F.col("wall") > s), F.lit(s)).otherwise(best)
-    return moves.select("move_id").join(wall, "move_id", "left").select("move_id", best.alias("share"))
+    return moves.select("move_id", ends.alias("ends")).join(wall, "move_id", "left").select("move_id", F.when(F.col("ends"), best).alias("share"))
 
 
 def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
@@ -226,7 +244,7 @@ def column_floor(points: DataFrame, size: float, least: int = 5, share: float =
     """ix, iy, floor: the lowest height bin with at least `share` of the fullest bin's points, over the middle 98 % of a
     column's heights; columns of fewer than `least` points are left out. Height bins are fixed multiples of bin_size, so
     the counts combine before the shuffle."""
-    p = points.where(finite(F.col("x"), F.col("y"), F.col("z"))).select(cell(F.col("x"), size).alias("ix"), cell(F.col("y"), size).alias("iy"), cell(F.col("z"), bin_size).alias("b"))
+    p = points.where(finite(F.col("x"), F.col("y"), F.col("z"))).select(cell(F.col("x"), size).alias("ix"), cell(F.col("y"), size).alias("iy"), F.floor(F.col("z") / F.lit(bin_size)).alias("b")).dropna(subset=["ix", "iy"])
     bins = p.groupBy("ix", "iy", "b").agg(F.count(F.lit(1)).alias("n"))
     of = Window.partitionBy("ix", "iy")
     up = of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -272,8 +290,10 @@ def risk_field(blocked: DataFrame, g: Grid = Grid(), decay: float = 9.0) -> Data
 
 
 def lookup_heights(points: DataFrame, columns: DataFrame, g: Grid = Grid(), clearance: float = 8.0) -> DataFrame:
-    """points (point_id, x, y) with roof, ground (elevation where unknown), safe height and the height of a car there."""
+    """points (point_id, x, y) with roof, ground (elevation where unknown), safe height and the height of a car there; all
+    null for a point without a place."""
     keyed = points.withColumn("ix", cell(F.col("x"), g.voxel)).withColumn("iy", cell(F.col("y"), g.voxel))
     found = keyed.join(columns.select("ix", "iy", "roof_z", "ground_z"), ["ix", "iy"], "left")
-    roof, ground = F.coalesce("roof_z", F.lit(g.elevation)), F.coalesce("ground_z", F.lit(g.elevation))
+    somewhere = F.col("ix").isNotNull() & F.col("iy").isNotNull()
+    roof, ground = (F.when(somewhere, F.coalesce(c, F.lit(g.elevation))) for c in ("roof_z", "ground_z"))
     return found.select("point_id", roof.alias("roof"), ground.alias("ground"), (roof + clearance).alias("safe"), (ground + g.agl).alias("car"))

@@ -99,12 +99,14 @@ def alley_corridors(pairs: DataFrame, sites: DataFrame, blocked: DataFrame, g: o
 
 def lifted(points: DataFrame, voxel_set: DataFrame, g: occ.Grid, lifts: tuple[int, ...] = (0, 1, 2, 3, 5)) -> DataFrame:
     """point_id, lift: the first of the lifts (in voxels) at which the point's voxel and the four around it are free; null
-    if none is."""
+    if none is, or if the point has no voxel."""
+    points = points.withColumns({f"_i{c}": occ.cell(F.col(c), g.voxel) for c in "xyz"})
+    placed = points.dropna(subset=["_ix", "_iy", "_iz"])
     probes = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
     offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, n in enumerate(lifts) for i, j in probes])
-    spread = points.withColumn("o", F.explode(offsets)).select("point_id", F.col("o.k").alias("k"), (occ.cell(F.col("x"), g.voxel) + F.col("o.i")).alias("ix"), (occ.cell(F.col("y"), g.voxel) + F.col("o.j")).alias("iy"), (occ.cell(F.col("z"), g.voxel) + F.col("o.n")).alias("iz"))
+    spread = placed.withColumn("o", F.explode(offsets)).select("point_id", F.col("o.k").alias("k"), (F.col("_ix") + F.col("o.i")).alias("ix"), (F.col("_iy") + F.col("o.j")).alias("iy"), (F.col("_iz") + F.col("o.n")).alias("iz"))
     taken = spread.join(voxel_set, ["ix", "iy", "iz"], "left_semi").select("point_id", "k").distinct()
-    every = points.select("point_id", F.explode(F.sequence(F.lit(0), F.lit(len(lifts) - 1))).alias("k"))
+    every = placed.select("point_id", F.explode(F.sequence(F.lit(0), F.lit(len(lifts) - 1))).alias("k"))
     free = every.join(taken, ["point_id", "k"], "left_anti").groupBy("point_id").agg(F.min("k").alias("k"))
     return points.select("point_id").join(free, "point_id", "left").select("point_id", F.try_element_at(F.array(*[F.lit(n) for n in lifts]), F.col("k") + 1).alias("lift"))
 

@@ -32,7 +32,7 @@ def clear_vantage(spark, d):
 
 def hide_goal(spark, d):
     v, flags, columns = _world(spark, d)
-    r = space.rays(spark, d)
+    r = space.rays(spark, d).where(occ.real(*[F.col(f"{p}{c}") for p in "ab" for c in "xyz"]))
     cases = r.groupBy(F.col("ray_id").alias("case_id")).agg(*[F.first(c).alias(n) for c, n in (("bx", "x"), ("by", "y"), ("bz", "z"), ("ax", "dx"), ("ay", "dy"), ("az", "dz"))])
     first = cases.join(space.sites(spark, d).select(F.col("site_id").alias("case_id")), "case_id", "left_semi")
     return planning.hiding_places(first, v, flags, columns.where("is_building"), space.GRID)

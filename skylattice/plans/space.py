@@ -10,7 +10,8 @@ from skylattice.operators.metrics import scaled
 from skylattice.session import table
 
 GRID = occ.Grid(voxel=4.0, building=17.0, ground_below=2.0, large=17.5, large_cells=4, road_extent=5.0)
-BOUNDS = (-600.0, 600.0, -600.0, 600.0)
+#: Metres within which lines of sight are asked; beyond, the answer is null.
+RANGE = 100.0
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -21,13 +22,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rays(spark: SparkSession, d: str) -> DataFrame:
-    """From drone to target, cut to a range of 100 m before anything is sampled."""
+    """From drone to target, for every record that has both."""
     f = table(spark, d, "frame_records").where("drone_pose_world is not null and target_pose_world is not null")
     u, t = F.col("drone_pose_world"), F.col("target_pose_world")
-    r = f.select(F.col("record_id").alias("ray_id"), u["x"].alias("ax"), (-u["y"]).alias("ay"), (-u["z"]).alias("az"), t["x"].alias("bx"), (-t["y"]).alias("by"), (-t["z"]).alias("bz"))
-    near = sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0)) <= 10_000
-    inside = F.col("ax").between(BOUNDS[0], BOUNDS[1]) & F.col("ay").between(BOUNDS[2], BOUNDS[3])
-    return r.where(near & inside)
+    return f.select(F.col("record_id").alias("ray_id"), u["x"].alias("ax"), (-u["y"]).alias("ay"), (-u["z"]).alias("az"), t["x"].alias("bx"), (-t["y"]).alias("by"), (-t["z"]).alias("bz"))
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
@@ -37,11 +35,11 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _columns(spark, d):
-    return occ.columns2d(points(spark, d), GRID, BOUNDS)
+    return occ.columns2d(points(spark, d), GRID)
 
 
 def _voxels(spark, d):
-    return occ.voxels(points(spark, d), GRID, BOUNDS)
+    return occ.voxels(points(spark, d), GRID)
 
 
 def voxelize(spark, d):
@@ -77,21 +75,21 @@ def occupied_lookup(spark, d):
 
 
 def los_raymarch(spark, d):
-    r = occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID)
+    r = occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID, reach=RANGE)
     return r.select("ray_id", "blocked")
 
 
 def first_hit(spark, d):
-    r = occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID)
+    r = occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID, reach=RANGE)
     return r.where("blocked").select("ray_id", scaled(F.col("first_t")).alias("first_t_e4"))
 
 
 def building_los(spark, d):
-    return occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID, largest=True).select("ray_id", "blocked")
+    return occ.line_of_sight(rays(spark, d), _voxels(spark, d), occ.building_flags(_columns(spark, d), GRID), GRID, largest=True, reach=RANGE).select("ray_id", "blocked")
 
 
 def roof_los(spark, d):
-    return occ.roof_los(rays(spark, d), _columns(spark, d), GRID)
+    return occ.roof_los(rays(spark, d), _columns(spark, d), GRID, reach=RANGE)
 
 
 def nearest_site(spark, d):
@@ -126,17 +124,17 @@ def connected_components(spark, d):
 
 
 def histogram_floor(spark, d):
-    p = points(spark, d).where(F.col("x").between(BOUNDS[0], BOUNDS[1]) & F.col("y").between(BOUNDS[2], BOUNDS[3]))
+    p = points(spark, d)
     return occ.column_floor(p, GRID.voxel).select("ix", "iy", scaled(F.col("floor"), 1).alias("floor_e1"))
 
 
 def openness(spark, d):
-    p = points(spark, d).where(F.col("x").between(BOUNDS[0], BOUNDS[1]) & F.col("y").between(BOUNDS[2], BOUNDS[3]))
+    p = points(spark, d)
     return occ.openness(p, occ.column_floor(p, GRID.voxel), GRID.voxel).select("ix", "iy", scaled(F.col("open")).alias("open_e4"))
 
 
 def parked_cars(spark, d):
-    p = points(spark, d).where(F.col("x").between(BOUNDS[0], BOUNDS[1]) & F.col("y").between(BOUNDS[2], BOUNDS[3]))
+    p = points(spark, d)
     return occ.parked_cars(p, occ.column_floor(p, GRID.voxel).withColumn("floor", F.lit(0.0)), GRID.voxel, (0.2, 2.2), 60.0, (1.3, 40.0), 3)
 
 
