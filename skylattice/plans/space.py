@@ -60,7 +60,7 @@ def dilate_2d(spark, d):
 
 
 def dilate_3d(spark, d):
-    return occ.dilated3d(_voxels(spark, d).where("iz >= 4"), 1)
+    return occ.dilated3d(_voxels(spark, d), 1)
 
 
 def blocked_union(spark, d):

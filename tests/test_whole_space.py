@@ -31,3 +31,8 @@ def test_every_ray_has_an_answer(spark, far):
     assert blocked[1] is not None and blocked[2] is None and blocked[3] is None
     assert {r.move_id: r.share_e2 for r in space.move_resolution(spark, far).collect()}[2] == 100
     assert {r.point_id for r in space.nearest_site(spark, far).collect()} == {1}
+
+
+def test_dilation_reaches_the_ground(spark, far):
+    got = {(r.ix, r.iy, r.iz) for r in space.dilate_3d(spark, far).collect()}
+    assert {(450, -225, 0), (451, -225, 0), (450, -224, 0), (450, -225, 1), (450, -225, -1)} <= got
