@@ -1,6 +1,7 @@
 """Routes: natural cubic splines through waypoints, even resampling, curvature and speed profiles.
 
-One route is one group with a bounded number of waypoints; routes spread over all tasks.
+One route is one group, however many waypoints it has; routes spread over all tasks, but a single route is held whole by
+one.
 """
 
 from __future__ import annotations
