@@ -47,7 +47,7 @@ def vantage_points(targets: DataFrame, voxel_set: DataFrame, flags: DataFrame, g
     return spread.join(clear, "ray_id").select("target_id", F.struct(cost, F.col("o.n").alias("n")).alias("c")).groupBy("target_id").agg(F.min("c").alias("c")).select("target_id", F.col("c.n").alias("candidate"), F.col("c.cost").alias("cost"))
 
 
-def hiding_places(cases: DataFrame, voxel_set: DataFrame, flags: DataFrame, blocked: DataFrame, g: occ.Grid, radii: tuple[float, ...] = (6.0, 12.0, 18.0, 24.0), angles: int = 16) -> DataFrame:
+def hiding_places(cases: DataFrame, voxel_set: DataFrame, flags: DataFrame, blocked: DataFrame, g: occ.Grid, radii: tuple[float, ...] = (6.0, 9.0, 12.0, 15.0, 18.0, 21.0, 24.0, 27.0), angles: int = 32) -> DataFrame:
     """For each case (case_id, x, y, z of the target, dx, dy, dz of the drone) the best free place around the target that
     the drone can't see: away from the drone counts double, distance once. Free places are found before any ray."""
     grid = [(n, r * math.cos(2 * math.pi * a / angles), r * math.sin(2 * math.pi * a / angles), r) for n, (r, a) in enumerate((r, a) for r in radii for a in range(angles))]

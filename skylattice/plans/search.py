@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import occupancy as occ
 from skylattice.operators import planning
-from skylattice.operators.metrics import distinct_episodes, distinct_frames, scaled
+from skylattice.operators.metrics import distinct_episodes, distinct_frames, readable, scaled
 from skylattice.plans import space
 from skylattice.plans.tracking import EPISODES, FRAMES
 from skylattice.session import table
@@ -24,18 +24,20 @@ def _world(spark, d):
 
 
 def clear_vantage(spark, d):
+    """For the target of every record; a heading that isn't known counts as 0. y points the other way on the map."""
     v, flags, _ = _world(spark, d)
-    t = space.sites(spark, d).select(F.col("site_id").alias("target_id"), "x", "y", F.lit(0.5).alias("z"), F.lit(0.0).alias("heading"))
-    r = planning.vantage_points(t, v, flags, space.GRID)
+    p = F.col("target_pose_world")
+    t = table(spark, d, "frame_records").select(F.col("record_id").alias("target_id"), p["x"].alias("x"), (-p["y"]).alias("y"), (-p["z"]).alias("z"), (-F.coalesce(readable(p["yaw"]), F.lit(0.0))).alias("heading"))
+    r = planning.vantage_points(t.where(occ.real(F.col("x"), F.col("y"), F.col("z"))), v, flags, space.GRID)
     return r.select("target_id", "candidate", scaled(F.col("cost"), 2).alias("cost_e2"))
 
 
 def hide_goal(spark, d):
+    """For every record with both poses."""
     v, flags, columns = _world(spark, d)
     r = space.rays(spark, d).where(occ.real(*[F.col(f"{p}{c}") for p in "ab" for c in "xyz"]))
-    cases = r.groupBy(F.col("ray_id").alias("case_id")).agg(*[F.first(c).alias(n) for c, n in (("bx", "x"), ("by", "y"), ("bz", "z"), ("ax", "dx"), ("ay", "dy"), ("az", "dz"))])
-    first = cases.join(space.sites(spark, d).select(F.col("site_id").alias("case_id")), "case_id", "left_semi")
-    return planning.hiding_places(first, v, flags, columns.where("is_building"), space.GRID)
+    cases = r.select(*[F.col(c).alias(n) for c, n in (("ray_id", "case_id"), ("bx", "x"), ("by", "y"), ("bz", "z"), ("ax", "dx"), ("ay", "dy"), ("az", "dz"))])
+    return planning.hiding_places(cases, v, flags, columns.where("is_building"), space.GRID)
 
 
 def start_gates(spark, d):
