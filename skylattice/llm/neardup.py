@@ -39,7 +39,7 @@ PIVOTS = 16
 DEPTH = 8
 #: Word frequencies are kept for BUCKETS hash buckets, whatever the vocabulary; any total order of the words is exact.
 BUCKETS = 1 << 17
-#: Copies of one text are paired one by one up to this many; beyond, each is linked to the first copy.
+#: Copies of exactly one text are paired one by one up to this many; beyond, each is linked to the first copy.
 COPIES = 1_000
 #: Pivot tables of up to this many regions (a few KB each) are broadcast.
 BROADCAST_REGIONS = 1_000
@@ -60,9 +60,10 @@ def instruction_records(episodes: DataFrame, filter_results: DataFrame) -> DataF
 
 
 def members(records: DataFrame) -> DataFrame:
-    """key, cid, words: records of the same word set have the same cid. Texts without a word belong to no class."""
-    sets = records.where("key is not null").select("key", word_set("text").alias("words")).where("size(words) > 0")
-    return sets.select("key", F.md5(F.concat_ws(" ", "words")).alias("cid"), "words")
+    """key, tid, cid, words: records of the same text have the same tid, those of the same word set the same cid. Texts
+    without a word belong to no class."""
+    sets = records.where("key is not null").select("key", F.md5("text").alias("tid"), word_set("text").alias("words")).where("size(words) > 0")
+    return sets.select("key", "tid", F.md5(F.concat_ws(" ", "words")).alias("cid"), "words")
 
 
 def signature(hashes: np.ndarray) -> tuple[int, int]:
@@ -226,23 +227,36 @@ def similar_classes(found: DataFrame, threshold: Fraction = THRESHOLD, cap: int
     return classes, pairs
 
 
+def reordered(texts: DataFrame, cap: int) -> DataFrame:
+    """a, b, a < b: all pairs of different texts (tid) of one word set (cid), compared in pairs of tiles of about cap."""
+    sizes = texts.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = F.ceil(F.col("n") / cap).cast("int")
+    own = F.pmod(F.xxhash64("tid"), cells.cast("bigint")).cast("int")
+    cut = texts.select("cid", "tid").join(sizes, "cid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
+    cut = cut.select("cid", "tid", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    met = cut.alias("x").join(cut.alias("y"), ["cid", "lo", "hi"]).where("x.tid < y.tid and (x.own <> y.own or lo = hi)")
+    return met.select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
+
+
 def similar_pairs(records: DataFrame, threshold: Fraction = THRESHOLD, cap: int = CAP, copies: int = COPIES) -> DataFrame:
     """rec_a, rec_b of all pairs of records at or above the threshold, rec_a < rec_b as strings.
 
     records: key, text. Null keys and texts, and texts without a word, give no pairs; a repeated key counts once (its
-    first text stands); empty tables give no rows. Records of the same word set are paired up to `copies` of them; of a
-    larger class each is linked to the class's first record only, and pairs with other classes stay complete."""
+    first text stands); empty tables give no rows. Records of exactly the same text are paired up to `copies` of them; of
+    more, each is linked to the first. Pairs of different texts stay complete, whether their word sets are equal or not."""
     found = materialize(members(records.groupBy("key").agg(F.min("text").alias("text"))), "p2-members")
     classes, pairs = similar_classes(found, threshold, cap)
-    keyed = found.select("cid", "key")
-    large = classes.where(F.col("copies") > copies).select("cid")
-    some = keyed.join(classes.where((F.col("copies") > 1) & (F.col("copies") <= copies)).select("cid"), "cid")
-    same = some.alias("x").join(some.alias("y"), "cid").where("x.key < y.key").select(F.col("x.key").alias("rec_a"), F.col("y.key").alias("rec_b"))
-    first = keyed.join(large, "cid").groupBy("cid").agg(F.min("key").alias("rec_a"))
-    star = keyed.join(first, "cid").where("key <> rec_a").select("rec_a", F.col("key").alias("rec_b"))
+    keyed = found.select("cid", "tid", "key")
+    texts = materialize(keyed.groupBy("cid", "tid").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")), "p2-texts")
+    some = keyed.join(texts.where((F.col("copies") > 1) & (F.col("copies") <= copies)).select("tid"), "tid")
+    same = some.alias("x").join(some.alias("y"), "tid").where("x.key < y.key").select(F.col("x.key").alias("rec_a"), F.col("y.key").alias("rec_b"))
+    first = texts.where(F.col("copies") > copies).select("tid", F.col("first").alias("rec_a"))
+    star = keyed.join(first, "tid").where("key <> rec_a").select("rec_a", F.col("key").alias("rec_b"))
+    k = lambda c, n: keyed.select(F.col("tid").alias(c), F.col("key").alias(n))
+    inside = reordered(texts, cap).join(k("a", "k1"), "a").join(k("b", "k2"), "b").select(F.least("k1", "k2").alias("rec_a"), F.greatest("k1", "k2").alias("rec_b"))
     x, y = keyed.select(F.col("cid").alias("a"), F.col("key").alias("k1")), keyed.select(F.col("cid").alias("b"), F.col("key").alias("k2"))
     across = pairs.select("a", "b").join(x, "a").join(y, "b").select(F.least("k1", "k2").alias("rec_a"), F.greatest("k1", "k2").alias("rec_b"))
-    return same.unionByName(star).unionByName(across)
+    return same.unionByName(star).unionByName(inside).unionByName(across)
 
 
 def record_classes(records: DataFrame, threshold: Fraction = THRESHOLD, cap: int = CAP) -> DataFrame:
