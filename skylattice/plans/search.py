@@ -76,18 +76,6 @@ _VANTAGE = ", ".join(f"({n}, {f}, {s})" for n, (f, s) in enumerate((f, s) for f
 _HIT = f"{space._SAMPLES}, vx AS (SELECT DISTINCT ix, iy, iz FROM pt), hit AS (SELECT DISTINCT ray_id FROM sm JOIN vx USING (ix, iy, iz) JOIN fl USING (ix, iy) WHERE blocks)"
 
 
-def _hide_sql() -> str:
-    import math
-
-    grid = ", ".join(f"({n}, {r * math.cos(2 * math.pi * a / 16)!r}::DOUBLE, {r * math.sin(2 * math.pi * a / 16)!r}::DOUBLE, {r}::DOUBLE)" for n, (r, a) in enumerate((r, a) for r in (6.0, 12.0, 18.0, 24.0) for a in range(16)))
-    return f"""WITH {space._FLAGS}, {space._SITES}, {space._RAYS.replace('ry AS', 'r0 AS')}, o(n, ox, oy, r) AS (VALUES {grid}),
-      cs AS (SELECT r0.* FROM r0 JOIN st ON site_id = ray_id),
-      sp AS (SELECT ray_id * 64 + n AS rid, ray_id AS case_id, n, r, ax, ay, az, bx + ox AS px, by_ + oy AS py, bz, (ox * (bx - ax) + oy * (by_ - ay)) / greatest(1e-6, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2)) AS away FROM cs, o),
-      fr AS (SELECT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.ix = {space._cell('px')} AND bl.iy = {space._cell('py')})),
-      ry AS (SELECT rid AS ray_id, ax, ay, az, px AS bx, py AS by_, bz FROM fr), {_HIT}
-      SELECT case_id, n AS candidate, {e('2.0 * away + r', 6)} AS score_e6 FROM fr JOIN hit ON hit.ray_id = rid QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY {e('2.0 * away + r', 6)} DESC, n) = 1"""
-
-
 _ROAD_HEAD = space.ORACLE["road_score"].rpartition("SELECT start_id, heading, forward")[0]
 
 ORACLE = {
@@ -96,9 +84,10 @@ ORACLE = {
       w AS (SELECT *, coalesce(target_visible, fru AND coalesce(line_of_sight_clear, true)) AS vis FROM v)
       SELECT episode_id, frame_idx, vis AS visible, fru AS in_frustum, line_of_sight_clear AS los_clear, concat_ws('+', CASE WHEN target_visible IS NOT NULL THEN 'recorded' ELSE 'derived' END, CASE WHEN in_camera_frustum IS NULL AND geo IS NOT NULL THEN 'geometry' END, CASE WHEN line_of_sight_clear IS NOT NULL THEN 'los' END) AS source,
       {e('CASE WHEN NOT vis THEN 0.0 WHEN vis IS NULL OR off IS NULL THEN 1.0 ELSE 0.1 + 0.9 * greatest(0.0, 1.0 - abs(off) / (hfov / 2)) END')} AS score_e4 FROM w""",
-    "clear_vantage": f"""WITH {space._FLAGS}, {space._SITES}, o(n, f, s) AS (VALUES {_VANTAGE}), ry AS (SELECT site_id * 28 + n AS ray_id, site_id, n, f, s, x + f AS ax, y + s AS ay, 12.5 AS az, x AS bx, y AS by_, 0.5 AS bz FROM st, o), {_HIT}
-      SELECT site_id AS target_id, n AS candidate, {e('abs(f) + 0.6 * abs(s)', 2)} AS cost_e2 FROM ry WHERE ray_id NOT IN (SELECT ray_id FROM hit) QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY abs(f) + 0.6 * abs(s), n) = 1""",
-    "hide_goal": _hide_sql(),
+    "clear_vantage": f"""WITH {space._FLAGS}, o(n, f, s) AS (VALUES {_VANTAGE}),
+      tg AS (SELECT record_id AS target_id, target_pose_world.x AS x, -target_pose_world.y AS y, -target_pose_world.z AS z, CASE WHEN isfinite(target_pose_world.yaw) THEN -target_pose_world.yaw ELSE -0.0 END AS hd FROM frame_records),
+      ry AS (SELECT target_id * 28 + n AS ray_id, target_id, n, f, s, x + cos(hd) * f - sin(hd) * s AS ax, y + sin(hd) * f + cos(hd) * s AS ay, z + 12.0 AS az, x AS bx, y AS by_, z AS bz, true AS near FROM tg, o WHERE {space._real('x', 'y', 'z')}), {_HIT}
+      SELECT target_id, n AS candidate, {e('abs(f) + 0.6 * abs(s)', 2)} AS cost_e2 FROM ry WHERE ray_id NOT IN (SELECT ray_id FROM hit) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY abs(f) + 0.6 * abs(s), n) = 1""",
     "start_gates": _ROAD_HEAD
     + f"""SELECT s.start_id, CASE WHEN coalesce(is_building, false) THEN 'not_drivable' WHEN width < 3 THEN 'too_narrow' WHEN forward < 4 THEN 'short_forward' WHEN coalesce(slope, 0) > 1.5 THEN 'steep_ground' ELSE 'ok' END AS reason,
       CASE WHEN NOT coalesce(is_building, false) AND width >= 3 AND forward >= 4 AND coalesce(slope, 0) <= 1.5 THEN {e('score - 3 * coalesce(slope, 0)', 2)} END AS score_e2
@@ -109,6 +98,6 @@ ORACLE = {
       SELECT site_a, site_b, {e('gap', 3)} AS width_e3, {e('4.0 * greatest(0.0, 36.0 - gap)', 3)} AS score_e3 FROM p WHERE gap BETWEEN 10 AND 36 AND NOT EXISTS (SELECT 1 FROM bl WHERE bl.ix = {space._cell('mx')} AND bl.iy = {space._cell('my')})""",
     "drone_lift": f"""WITH {space._POINTS}, {space._RAYS}, vx AS (SELECT DISTINCT ix, iy, iz FROM pt), l(k, n) AS (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 5)), o(i, j) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
       t AS (SELECT DISTINCT ray_id, k FROM ry, l, o JOIN vx ON vx.ix = {space._cell('bx')} + i AND vx.iy = {space._cell('by_')} + j AND vx.iz = {space._cell('bz')} + n),
-      f AS (SELECT ray_id, min(k) AS k FROM (SELECT ray_id, k FROM ry, l EXCEPT SELECT ray_id, k FROM t) GROUP BY 1)
+      f AS (SELECT ray_id, min(k) AS k FROM (SELECT ray_id, k FROM ry, l WHERE {space._cell('bx')} IS NOT NULL AND {space._cell('by_')} IS NOT NULL AND {space._cell('bz')} IS NOT NULL EXCEPT SELECT ray_id, k FROM t) GROUP BY 1)
       SELECT ray_id AS point_id, n AS lift FROM ry LEFT JOIN f USING (ray_id) LEFT JOIN l USING (k)""",
 }

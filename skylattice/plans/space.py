@@ -29,9 +29,9 @@ def rays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
-    """Where episodes begin, as site_id (smallest record id), x, y."""
-    f = table(spark, d, "frame_records").where("frame_idx = 0 and drone_pose_world is not null")
-    return f.groupBy("episode_id").agg(F.min(F.struct("record_id", F.col("drone_pose_world.x").alias("x"), F.col("drone_pose_world.y").alias("y"))).alias("s")).select(F.col("s.record_id").alias("site_id"), "s.x", (-F.col("s.y")).alias("y"))
+    """Where episodes begin (the first frame with a drone pose), as site_id (its smallest record id), x, y."""
+    f = table(spark, d, "frame_records").where("frame_idx is not null and drone_pose_world is not null")
+    return f.groupBy("episode_id").agg(F.min(F.struct("frame_idx", "record_id", F.col("drone_pose_world.x").alias("x"), F.col("drone_pose_world.y").alias("y"))).alias("s")).select(F.col("s.record_id").alias("site_id"), "s.x", (-F.col("s.y")).alias("y"))
 
 
 def _columns(spark, d):
@@ -165,12 +165,15 @@ def e(x: str, k: int = 4) -> str:
 
 
 def _cell(x: str, s: float = 4.0) -> str:
-    return f"CAST(floor(({x}) / {s}) AS INT)"
+    return f"CASE WHEN isfinite({x}) AND abs({x}) < {s * occ.CELLS} THEN CAST(floor(({x}) / {s}) AS INT) END"
 
 
-_POINTS = """pt0 AS (SELECT target_pose_world AS p FROM frame_records UNION ALL SELECT drone_pose_world FROM frame_records),
-pt AS (SELECT x, y, z, CAST(floor(x / 4.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 4.0) AS INT) AS iz
-  FROM (SELECT p.x AS x, -p.y AS y, -p.z AS z FROM pt0 WHERE p IS NOT NULL AND isfinite(p.x) AND isfinite(p.y) AND isfinite(p.z)) WHERE x BETWEEN -600 AND 600 AND y BETWEEN -600 AND 600)"""
+def _real(*columns: str) -> str:
+    return " AND ".join(f"coalesce(abs({c}) < {occ.REAL}, false)" for c in columns)
+
+
+_POINTS = f"""pt0 AS (SELECT target_pose_world AS p FROM frame_records UNION ALL SELECT drone_pose_world FROM frame_records),
+pt AS (SELECT * FROM (SELECT x, y, z, {_cell('x')} AS ix, {_cell('y')} AS iy, {_cell('z')} AS iz FROM (SELECT p.x AS x, -p.y AS y, -p.z AS z FROM pt0 WHERE p IS NOT NULL)) WHERE ix IS NOT NULL AND iy IS NOT NULL AND iz IS NOT NULL)"""
 _COLUMNS = f"""{_POINTS},
 c1 AS (SELECT ix, iy, max(z) AS roof_z, min(z) AS low_z, min(z) FILTER (z >= -2 AND z < 17) AS ground_z, count(*) AS points FROM pt GROUP BY 1, 2),
 c2 AS (SELECT ix, iy, count(*) FILTER (z - ground_z <= 0.8) AS support, count(*) FILTER (z - ground_z >= 0.6) AS obstacles FROM pt JOIN c1 USING (ix, iy) WHERE z >= -2 AND z < 17 GROUP BY 1, 2),
@@ -178,13 +181,14 @@ co AS (SELECT ix, iy, roof_z, low_z, ground_z, points, coalesce(support, 0) AS s
 _BLD = f"{_COLUMNS}, bl AS (SELECT ix, iy FROM co WHERE is_building)"
 _FLAGS = f"""{_BLD}, fp AS (SELECT b.ix, b.iy, count(*) AS footprint FROM bl b JOIN bl o ON o.ix BETWEEN b.ix - 2 AND b.ix + 2 AND o.iy BETWEEN b.iy - 2 AND b.iy + 2 GROUP BY 1, 2),
 fl AS (SELECT ix, iy, coalesce(footprint, 0) AS footprint, roof_z - low_z > 5 AS blocks, roof_z - low_z > 5 AND is_building AND roof_z >= 17.5 AND coalesce(footprint, 0) >= 4 AS is_large FROM co LEFT JOIN fp USING (ix, iy))"""
-_RAYS = """ry AS (SELECT * FROM (SELECT record_id AS ray_id, drone_pose_world.x AS ax, -drone_pose_world.y AS ay, -drone_pose_world.z AS az, target_pose_world.x AS bx, -target_pose_world.y AS by_, -target_pose_world.z AS bz
-  FROM frame_records WHERE drone_pose_world IS NOT NULL AND target_pose_world IS NOT NULL) WHERE (ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2 <= 10000 AND ax BETWEEN -600 AND 600 AND ay BETWEEN -600 AND 600)"""
-_SAMPLES = """rl AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2) AS length FROM ry), rs AS (SELECT *, greatest(4, CAST(floor(length / 4.0) AS INT)) AS steps FROM rl),
+_RAYS = """ry AS (SELECT *, coalesce((ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2 <= 10000, false) AS near FROM (
+  SELECT record_id AS ray_id, drone_pose_world.x AS ax, -drone_pose_world.y AS ay, -drone_pose_world.z AS az, target_pose_world.x AS bx, -target_pose_world.y AS by_, -target_pose_world.z AS bz
+  FROM frame_records WHERE drone_pose_world IS NOT NULL AND target_pose_world IS NOT NULL))"""
+_SAMPLES = f"""rl AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - by_) ** 2 + (az - bz) ** 2) AS length FROM ry WHERE near), rs AS (SELECT *, greatest(4, TRY_CAST(floor(length / 4.0) AS INT)) AS steps FROM rl),
 ru AS (SELECT *, unnest(range(1, steps)) AS step FROM rs), rt AS (SELECT ray_id, length, step / steps AS t, ax + (bx - ax) * (step / steps) AS x, ay + (by_ - ay) * (step / steps) AS y, az + (bz - az) * (step / steps) AS z FROM ru),
-sm AS (SELECT *, CAST(floor(x / 4.0) AS INT) AS ix, CAST(floor(y / 4.0) AS INT) AS iy, CAST(floor(z / 4.0) AS INT) AS iz FROM rt)"""
+sm AS (SELECT *, {_cell('x')} AS ix, {_cell('y')} AS iy, {_cell('z')} AS iz FROM rt)"""
 _HITS = f"WITH {_FLAGS}, {_RAYS}, {_SAMPLES}, vx AS (SELECT DISTINCT ix, iy, iz FROM pt), hit AS (SELECT ray_id, min(t) AS t FROM sm JOIN vx USING (ix, iy, iz) JOIN fl USING (ix, iy) WHERE {{}} GROUP BY 1) "
-_SITES = "st AS (SELECT s.record_id AS site_id, s.x AS x, -s.y AS y FROM (SELECT min(struct_pack(record_id := record_id, x := drone_pose_world.x, y := drone_pose_world.y)) AS s FROM frame_records WHERE frame_idx = 0 AND drone_pose_world IS NOT NULL GROUP BY episode_id))"
+_SITES = "st AS (SELECT s.record_id AS site_id, s.x AS x, -s.y AS y FROM (SELECT min(struct_pack(frame_idx := frame_idx, record_id := record_id, x := drone_pose_world.x, y := drone_pose_world.y)) AS s FROM frame_records WHERE drone_pose_world IS NOT NULL AND frame_idx IS NOT NULL GROUP BY episode_id))"
 
 
 def _directions() -> str:
@@ -206,13 +210,13 @@ ORACLE = {
     "column_heights": f"WITH {_COLUMNS} SELECT ix, iy, {e('roof_z', 3)} AS roof_z_e3, {e('low_z', 3)} AS low_z_e3, {e('ground_z', 3)} AS ground_z_e3, points, support, obstacles, is_building, is_obstacle FROM co",
     "building_footprint": f"WITH {_FLAGS} SELECT * FROM fl",
     "dilate_2d": f"WITH {_BLD} SELECT DISTINCT ix + i AS ix, iy + j AS iy FROM bl, (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= 4",
-    "dilate_3d": f"WITH {_POINTS}, v AS (SELECT DISTINCT ix, iy, iz FROM pt WHERE iz >= 4) SELECT DISTINCT ix + i AS ix, iy + j AS iy, iz + k AS iz FROM v, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k) WHERE i * i + j * j + k * k <= 1",
+    "dilate_3d": f"WITH {_POINTS}, v AS (SELECT DISTINCT ix, iy, iz FROM pt) SELECT DISTINCT ix + i AS ix, iy + j AS iy, iz + k AS iz FROM v, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k) WHERE i * i + j * j + k * k <= 1",
     "blocked_union": f"WITH {_COLUMNS} SELECT ix, iy FROM co WHERE is_building OR is_obstacle",
-    "occupied_lookup": f"WITH {_POINTS}, {_RAYS}, vx AS (SELECT DISTINCT ix, iy, iz, true AS o FROM pt), m AS (SELECT ray_id, {_cell('(ax + bx) / 2')} AS ix, {_cell('(ay + by_) / 2')} AS iy, {_cell('(az + bz) / 2')} AS iz FROM ry) SELECT ray_id, coalesce(o, false) AS occupied FROM m LEFT JOIN vx USING (ix, iy, iz)",
-    "los_raymarch": _HITS.format("blocks") + "SELECT ray_id, t IS NOT NULL AS blocked FROM ry LEFT JOIN hit USING (ray_id)",
+    "occupied_lookup": f"WITH {_POINTS}, {_RAYS}, vx AS (SELECT DISTINCT ix, iy, iz, true AS o FROM pt), m AS (SELECT ray_id, {_cell('(ax + bx) / 2')} AS ix, {_cell('(ay + by_) / 2')} AS iy, {_cell('(az + bz) / 2')} AS iz FROM ry) SELECT ray_id, CASE WHEN ix IS NOT NULL AND iy IS NOT NULL AND iz IS NOT NULL THEN coalesce(o, false) END AS occupied FROM m LEFT JOIN vx USING (ix, iy, iz)",
+    "los_raymarch": _HITS.format("blocks") + "SELECT ray_id, CASE WHEN near THEN t IS NOT NULL END AS blocked FROM ry LEFT JOIN hit USING (ray_id)",
     "first_hit": _HITS.format("blocks") + f"SELECT ray_id, {e('t')} AS first_t_e4 FROM hit",
-    "building_los": _HITS.format("is_large") + "SELECT ray_id, t IS NOT NULL AS blocked FROM ry LEFT JOIN hit USING (ray_id)",
-    "roof_los": f"WITH {_COLUMNS}, {_RAYS}, {_SAMPLES}, h AS (SELECT ray_id, bool_or(z < roof_z - 1.5) AS b FROM sm JOIN co USING (ix, iy) WHERE t * length >= 2 AND (1 - t) * length >= 2 GROUP BY 1) SELECT ray_id, coalesce(b, false) AS blocked FROM ry LEFT JOIN h USING (ray_id)",
+    "building_los": _HITS.format("is_large") + "SELECT ray_id, CASE WHEN near THEN t IS NOT NULL END AS blocked FROM ry LEFT JOIN hit USING (ray_id)",
+    "roof_los": f"WITH {_COLUMNS}, {_RAYS}, {_SAMPLES}, h AS (SELECT ray_id, bool_or(z < roof_z - 1.5) AS b FROM sm JOIN co USING (ix, iy) WHERE t * length >= 2 AND (1 - t) * length >= 2 GROUP BY 1) SELECT ray_id, CASE WHEN near THEN coalesce(b, false) END AS blocked FROM ry LEFT JOIN h USING (ray_id)",
     "nearest_site": f"WITH {_RAYS}, {_SITES}, p AS (SELECT ray_id AS point_id, site_id, sqrt((bx - x) ** 2 + (by_ - y) ** 2) AS dist FROM ry JOIN st ON abs(bx - x) <= 30 AND abs(by_ - y) <= 30) SELECT point_id, site_id, {e('dist', 3)} AS distance_e3 FROM p WHERE dist <= 30 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, site_id) = 1",
     "site_pairs": f"WITH {_SITES}, p AS (SELECT a.site_id AS site_a, b.site_id AS site_b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS gap FROM st a JOIN st b ON a.site_id < b.site_id) SELECT site_a, site_b, {e('gap', 3)} AS gap_e3 FROM p WHERE gap BETWEEN 10 AND 36",
     "free_run_length": _FREE + " SELECT start_id, heading, free FROM fr",
@@ -220,16 +224,16 @@ ORACLE = {
     + f""", w AS (SELECT a.start_id, a.heading, a.free AS forward, b.free AS back, l.free + r.free + 1 AS width FROM fr a JOIN fr b ON b.start_id = a.start_id AND b.heading = (a.heading + 4) % 8 JOIN fr l ON l.start_id = a.start_id AND l.heading = (a.heading + 2) % 8
       JOIN fr r ON r.start_id = a.start_id AND r.heading = (a.heading + 6) % 8), x AS (SELECT *, forward + 0.25 * back + 2.0 * width AS score FROM w)
       SELECT start_id, heading, forward, back, width, {e('score', 2)} AS score_e2 FROM x QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY score DESC, heading) = 1""",
-    "move_resolution": f"""WITH {_BLD}, {_RAYS}, n AS (SELECT *, greatest(2, CAST(ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) / 2.0) AS INT)) AS n FROM ry), k AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n),
+    "move_resolution": f"""WITH {_BLD}, {_RAYS}, n AS (SELECT *, greatest(2, CAST(ceil(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) / 2.0) AS INT)) AS n FROM ry WHERE {_real('ax', 'ay', 'bx', 'by_')}), k AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n),
       w AS (SELECT ray_id, min(k / n) AS wall FROM k JOIN bl ON bl.ix = {_cell('ax + (bx - ax) * (k / n)')} AND bl.iy = {_cell('ay + (by_ - ay) * (k / n)')} GROUP BY 1)
-      SELECT ray_id AS move_id, CASE WHEN wall IS NULL OR wall > 1 THEN 100 WHEN wall > 0.75 THEN 75 WHEN wall > 0.5 THEN 50 WHEN wall > 0.25 THEN 25 WHEN wall > 0.1 THEN 10 WHEN wall > 0.05 THEN 5 ELSE 0 END AS share_e2 FROM ry LEFT JOIN w USING (ray_id)""",
+      SELECT ray_id AS move_id, CASE WHEN NOT ({_real('ax', 'ay', 'bx', 'by_')}) THEN NULL WHEN wall IS NULL OR wall > 1 THEN 100 WHEN wall > 0.75 THEN 75 WHEN wall > 0.5 THEN 50 WHEN wall > 0.25 THEN 25 WHEN wall > 0.1 THEN 10 WHEN wall > 0.05 THEN 5 ELSE 0 END AS share_e2 FROM ry LEFT JOIN w USING (ray_id)""",
     "histogram_floor": f"WITH {_FLOOR} SELECT ix, iy, {e('floor', 1)} AS floor_e1 FROM fo",
     "openness": f"WITH {_FLOOR} SELECT ix, iy, {e('avg(CAST(z <= floor + 1.0 AS INT))')} AS open_e4 FROM pt JOIN fo USING (ix, iy) GROUP BY 1, 2",
     "risk_field": f"""WITH {_BLD}, o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= 4),
       s AS (SELECT ix + i AS ix, iy + j AS iy, i, j FROM bl, o), c AS (SELECT ix, iy, min(sqrt(i * i + j * j) * 4.0) AS d, max(CAST(i = 0 AND j BETWEEN 1 AND 3 AS INT)) + max(CAST(i = 0 AND -j BETWEEN 1 AND 3 AS INT)) AS ns, max(CAST(j = 0 AND i BETWEEN 1 AND 3 AS INT)) + max(CAST(j = 0 AND -i BETWEEN 1 AND 3 AS INT)) AS ew FROM s GROUP BY 1, 2),
       f AS (SELECT ix, iy, greatest(0.0, 1.0 - d / 9.0) AS edge, CASE WHEN ns = 2 OR ew = 2 THEN 1.0 ELSE least(1.0, (ns + ew) / 2.0) END AS alley FROM c WHERE (ix, iy) NOT IN (SELECT (ix, iy) FROM bl))
       SELECT ix, iy, {e('edge')} AS edge_e4, {e('alley')} AS alley_e4, {e('least(1.0, greatest(0.70 * alley, 0.78 * edge))')} AS risk_e4 FROM f""",
-    "height_lookup": f"WITH {_COLUMNS}, {_RAYS}, p AS (SELECT ray_id AS point_id, {_cell('bx')} AS ix, {_cell('by_')} AS iy FROM ry), h AS (SELECT point_id, coalesce(roof_z, 0.0) AS roof, coalesce(ground_z, 0.0) AS ground FROM p LEFT JOIN co USING (ix, iy)) SELECT point_id, {e('roof', 3)} AS roof_e3, {e('ground', 3)} AS ground_e3, {e('roof + 8.0', 3)} AS safe_e3, {e('ground + 0.35', 3)} AS car_e3 FROM h",
+    "height_lookup": f"WITH {_COLUMNS}, {_RAYS}, p AS (SELECT ray_id AS point_id, {_cell('bx')} AS ix, {_cell('by_')} AS iy FROM ry), h AS (SELECT point_id, CASE WHEN ix IS NOT NULL AND iy IS NOT NULL THEN coalesce(roof_z, 0.0) END AS roof, CASE WHEN ix IS NOT NULL AND iy IS NOT NULL THEN coalesce(ground_z, 0.0) END AS ground FROM p LEFT JOIN co USING (ix, iy)) SELECT point_id, {e('roof', 3)} AS roof_e3, {e('ground', 3)} AS ground_e3, {e('roof + 8.0', 3)} AS safe_e3, {e('ground + 0.35', 3)} AS car_e3 FROM h",
     "connected_components": f"""WITH RECURSIVE {_BLD}, r(ix, iy, sx, sy) AS (SELECT ix, iy, ix, iy FROM bl UNION SELECT b.ix, b.iy, r.sx, r.sy FROM r JOIN bl b ON b.ix BETWEEN r.ix - 1 AND r.ix + 1 AND b.iy BETWEEN r.iy - 1 AND r.iy + 1)
       SELECT ix, iy, min((CAST(sx AS BIGINT) + 1073741824) * 2147483648 + sy + 1073741824) AS label FROM r GROUP BY 1, 2""",
 }
