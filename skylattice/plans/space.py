@@ -169,7 +169,7 @@ def _cell(x: str, s: float = 4.0) -> str:
 
 
 def _real(*columns: str) -> str:
-    return " AND ".join(f"coalesce(abs({c}) < {occ.REAL}, false)" for c in columns)
+    return " AND ".join(f"coalesce(isfinite({c}) AND abs({c}) < {occ.REAL}, false)" for c in columns)
 
 
 _POINTS = f"""pt0 AS (SELECT target_pose_world AS p FROM frame_records UNION ALL SELECT drone_pose_world FROM frame_records),
