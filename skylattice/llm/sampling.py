@@ -27,7 +27,7 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, group: str, categor
     """(sample, report). rows: group, category, key, one row per key. targets: group, category, wanted (one row each).
 
     The sample has exactly min(wanted, observed) rows of each (group, category). The report has every target with
-    wanted, observed, sampled and deficit. Rows whose group, category or key is null, or whose category has no target,
+    wanted, observed, sampled (counted from the sample itself) and deficit = wanted - sampled. Rows whose group, category or key is null, or whose category has no target,
     can't be drawn. Targets of zero draw nothing. Empty inputs give an empty sample."""
     rows = rows.select(F.col(group).alias("g"), F.col(category).alias("c"), F.col(key).alias("k")).where("g is not null and c is not null and k is not null")
     wanted = targets.select(F.col(group).alias("g"), F.col(category).alias("c"), F.col("wanted").cast("bigint").alias("wanted"))
@@ -51,8 +51,9 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, group: str, categor
     rank = F.row_number().over(Window.partitionBy("g", "c", "slice").orderBy("u", "k"))
     part = placed.where("m > room").withColumn("rank", rank).where("rank <= room").select("g", "c", "k")
     sample = whole.unionByName(part).select(F.col("g").alias(group), F.col("c").alias(category), F.col("k").alias(key))
-    sampled = F.least("wanted", "observed")
-    report = plan.select(F.col("g").alias(group), F.col("c").alias(category), "wanted", "observed", sampled.alias("sampled"), (F.col("wanted") - sampled).alias("deficit"))
+    counted = sample.groupBy(group, category).agg(F.count(F.lit(1)).alias("sampled")).select(F.col(group).alias("g"), F.col(category).alias("c"), "sampled")
+    sampled = F.coalesce("sampled", F.lit(0))
+    report = plan.join(counted, ["g", "c"], "left").select(F.col("g").alias(group), F.col("c").alias(category), "wanted", "observed", sampled.alias("sampled"), (F.col("wanted") - sampled).alias("deficit"))
     return sample, report
 
 
