@@ -3,19 +3,20 @@
 Texts with the same word set form a class; the join runs over classes. Jaccard distance is a metric, so the classes can
 be cut into Voronoi regions of pivots; a class x of region p is replicated to region q if d(x, q) <= d(x, p) + 2r, which
 by the triangle inequality loses no pair within r = 1 - threshold. Unrelated texts lie at nearly the same distance from
-everything (see the README for figures), so Voronoi regions alone would replicate every class everywhere. The join
-therefore goes from coarse to fine:
+everything (see the README for figures), so pivots drawn from all classes would replicate every class everywhere. The
+pivots therefore divide regions that share something already:
 
 1. Word regions: words are ordered by frequency, and a pair within r shares one of each side's rarest words. A class
-   enters the region of each such word that at most CAP classes have.
+   enters the region of each such word that at most `cap` classes have.
 2. Where the shared words are all more frequent than that, the pair shares three of them among slightly longer prefixes:
-   the class enters the region of each such triple.
-3. A triple region that still has more than CAP classes (many small edits of one text) is cut by pivots into Voronoi
-   regions with triangle-inequality windows, again and again while that divides it. What pivots can't divide is compared
-   tile by tile.
-
-Inside a region pairs are compared through 128-bit signatures, which never miss a pair; only pairs that pass leave the
-task, and they are then verified on the words themselves. Nothing is capped: every step is exact.
+   the class enters the region of each such triple. Texts of LONG words and more, which would make too many triples, and
+   those so short that two shared words suffice, enter the regions of their frequent words one by one.
+3. Every region of more than LEAF classes is joined by pivots: Voronoi regions with triangle-inequality windows, again
+   and again while that divides it; what it doesn't divide is compared block by block. Regions of more than `cap` classes
+   are cut so by Spark first, so that no task holds more than `cap` classes of a region.
+
+In the last regions pairs are compared through 128-bit signatures, which never miss a pair, and those that pass by their
+whole word sets (64-bit hashes). Nothing is capped: every step is exact.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,19 @@ THRESHOLD = Fraction(7, 10)
 CAP = 5_000
 PIVOTS = 16
 DEPTH = 8
-#: Word frequencies are kept for BUCKETS hash buckets, whatever the vocabulary; any total order of the words is exact.
-BUCKETS = 1 << 17
-#: Copies of exactly one text are paired one by one up to this many; beyond, each is linked to the first copy.
+#: Regions of up to this many classes are compared as they are; larger ones go through pivots inside the task.
+LEAF = 32
+#: From this many words on, a text's frequent words are taken one by one and not in threes (at most 969 at a threshold of 1/2).
+LONG = 32
+#: Word frequencies are kept as powers of two for hash buckets, one for every BUCKET_LOAD occurrences within these
+#: bounds (a byte each); any total order of the words is exact.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_LOAD = 1 << 17, 1 << 24, 64
+#: Copies of exactly one text are paired one by one up to this many; beyond, each is linked to the first copy, and two
+#: such groups are linked by their first copies.
 COPIES = 1_000
 #: Pivot tables of up to this many regions (a few KB each) are broadcast.
 BROADCAST_REGIONS = 1_000
-ROWS = "region bigint, cid string, probe boolean, index boolean, size int, s0 bigint, s1 bigint"
+ROWS = "region bigint, cid string, probe boolean, index boolean, hashes array<bigint>"
 
 
 def word_set(text: str):
@@ -66,86 +74,187 @@ def members(records: DataFrame) -> DataFrame:
     return sets.select("key", "tid", F.md5(F.concat_ws(" ", "words")).alias("cid"), "words")
 
 
-def signature(hashes: np.ndarray) -> tuple[int, int]:
-    s = [0, 0]
-    for h in ((hashes >> np.uint64(20)) & np.uint64(127)).tolist():
-        s[h >> 6] |= 1 << (h & 63)
-    return tuple(v - (1 << 64) if v >> 63 else v for v in s)
+def lists_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists one after another, and the lists' lengths."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def region_rows(batches: Iterable[pa.RecordBatch], frequency: np.ndarray, t: Fraction, cap: int, triples: bool) -> Iterator[pa.RecordBatch]:
-    """The word regions (or, with triples, the regions of three frequent words) that each class enters."""
-    names = ["region", "cid", "probe", "index", "size", "s0", "s1"]
-    types = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-    ceil = lambda x: -(-x.numerator // x.denominator)
+def region_rows(batches: Iterable[pa.RecordBatch], levels: np.ndarray, t: Fraction, cap: int, frequent: bool) -> Iterator[pa.RecordBatch]:
+    """The regions of rare words (or, with frequent, of frequent words and threes of them) that each class enters.
+    levels: the power of two that bounds a bucket's frequency."""
+    num, den = t.numerator, t.denominator
+    rare_level = cap.bit_length() - 1
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for cid, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
-            h = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            n = len(h)
-            f = frequency[(h % np.uint64(BUCKETS)).astype(np.int64)]
-            order = np.lexsort((h, f))
-            h, f = h[order], f[order]
-            probe, index = n - ceil(t * n) + 1, n - ceil(2 * t / (1 + t) * n) + 1
-            rare = int((f[:probe] <= cap).sum())
-            if not triples:
-                regions = h[:rare].view(np.int64).tolist()
-                indexed = [i < index for i in range(rare)]
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            flat, n = lists_of(part.column(1))
+            f = levels[(flat % np.uint64(len(levels))).astype(np.int64)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, f, row))
+            h, rare = flat[order], f[order] <= rare_level
+            start = np.cumsum(n) - n
+            pos = np.arange(len(h)) - start[row]
+            probe, index = n + num * n // -den + 1, n + 2 * num * n // -(den + num) + 1
+            found = []  # (region, row, probe, index)
+            if not frequent:
+                at = np.flatnonzero(rare & (pos < probe[row]))
+                found.append((h[at], row[at], np.ones(len(at), dtype=bool), pos[at] < index[row[at]]))
             else:
-                if rare == probe:
-                    continue
-                tail, reach = h[rare : probe + 2], index + 2 - rare
-                picks = list(combinations(range(len(tail)), 3))
-                if not picks:
-                    continue
-                at = np.array(picks)
-                with np.errstate(over="ignore"):
-                    v = tail[at]
-                    key = (v[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ v[:, 1]) * np.uint64(0xBF58476D1CE4E5B9) ^ v[:, 2]
-                regions = (key * np.uint64(0x94D049BB133111EB)).view(np.int64).tolist()
-                indexed = (at[:, 2] < reach).tolist()
-            s0, s1 = signature(h)
-            k = len(regions)
-            for column, values in zip(out, (regions, [cid] * k, [True] * k, indexed, [n] * k, [s0] * k, [s1] * k)):
-                column += values
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(out, types)], names)
+                long, meets_long = n >= LONG, n * den >= LONG * num
+                at = np.flatnonzero(~rare & meets_long[row] & (pos < probe[row]))
+                found.append((h[at], row[at], long[row[at]], pos[at] < index[row[at]]))
+                few = num * n <= 2 * den  # two shared words may suffice here
+                at = np.flatnonzero(~rare & few[row] & ~long[row] & (pos < probe[row]))
+                found.append((h[at] ^ np.uint64(0x5851F42D4C957F2D), row[at], np.ones(len(at), dtype=bool), pos[at] < index[row[at]]))
+                first = np.bincount(row[rare], minlength=len(n))
+                tail = np.where(long | (first >= probe), 0, np.minimum(probe + 2, n) - first)
+                for m in np.unique(tail[tail >= 3]):
+                    of = np.flatnonzero(tail == m)
+                    v = h[(start + first)[of][:, None] + np.arange(m)[None, :]]
+                    picks = np.array(list(combinations(range(m), 3)))
+                    with np.errstate(over="ignore"):
+                        key = ((v[:, picks[:, 0]] * np.uint64(0x9E3779B97F4A7C15) ^ v[:, picks[:, 1]]) * np.uint64(0xBF58476D1CE4E5B9) ^ v[:, picks[:, 2]]) * np.uint64(0x94D049BB133111EB)
+                    indexed = picks[None, :, 2] < (index + 2 - first)[of][:, None]
+                    found.append((key.ravel(), np.repeat(of, len(picks)), np.ones(key.size, dtype=bool), indexed.ravel()))
+            region, row, probes, indexed = (np.concatenate(c) for c in zip(*found))
+            for a in range(0, len(region), 20_000):
+                b = a + 20_000
+                at = pa.array(row[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(region[a:b].view(np.int64)), part.column(0).take(at), pa.array(probes[a:b]), pa.array(indexed[a:b]), part.column(1).take(at)], ["region", "cid", "probe", "index", "hashes"])
+
+
+class Sets:
+    """The word sets of a table of region rows, with what the comparisons need of them."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray, probe: np.ndarray, index: np.ndarray, t: Fraction):
+        self.flat, self.size, self.probe, self.index, self.t = flat, size, probe, index, t
+        self.start = np.cumsum(size) - size
+        bit = (flat >> np.uint64(20)) & np.uint64(127)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        none = np.uint64(0)
+        self.s0, self.s1 = (np.bitwise_or.reduceat(np.where((bit >> np.uint64(6)) == k, one, none), self.start) if len(flat) else np.zeros(0, dtype=np.uint64) for k in (0, 1))
+
+    def words(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the rows one after another, and for each its place in rows."""
+        n = self.size[rows]
+        of = np.repeat(np.arange(len(rows)), n)
+        return self.flat[self.start[rows][of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], of
+
+    def distances(self, rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """Jaccard distances [pivot, row]."""
+        words, of = self.words(rows)
+        out = np.empty((len(pivots), len(rows)))
+        for k, p in enumerate(pivots):
+            own = np.sort(self.flat[self.start[p] : self.start[p] + self.size[p]])
+            at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+            common = np.bincount(of[own[at] == words], minlength=len(rows))
+            out[k] = 1 - common / (self.size[p] + self.size[rows] - common)
+        return out
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the signatures leave it open that rows i and j are similar, and the region is one where they must meet:
+        the larger one probes it and the smaller one is indexed (one of the two ways will do for equal sizes)."""
+        apart = np.bitwise_count(self.s0[i] ^ self.s0[j]).astype(np.int64) + np.bitwise_count(self.s1[i] ^ self.s1[j])
+        a, b = self.size[i], self.size[j]
+        ok = (self.t.denominator + self.t.numerator) * apart <= (self.t.denominator - self.t.numerator) * (a + b)
+        return ok & (((a >= b) & self.probe[i] & self.index[j]) | ((b >= a) & self.probe[j] & self.index[i]))
+
+    def similar(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are at or above the threshold, and how many words those share."""
+        (x, of_x), (y, of_y) = self.words(i), self.words(j)
+        of, w = np.concatenate([of_x, of_y]), np.concatenate([x, y])
+        order = np.lexsort((w, of))
+        of, w = of[order], w[order]
+        common = np.bincount(of[1:][(of[1:] == of[:-1]) & (w[1:] == w[:-1])], minlength=len(i))
+        good = np.flatnonzero(common * self.t.denominator >= (self.size[i] + self.size[j] - common) * self.t.numerator)
+        return good, common[good]
+
+
+def voronoi_cells(sets: Sets, rows: np.ndarray, outside: np.ndarray, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, outside, divided) of the last regions that a region is cut into by pivots and windows, recursively. A pair
+    needs comparing where the two rows' bits `outside` don't meet: bit k is set for rows that the window of level k let
+    in from a region that will hold the pair as well. divided is False for parts that pivots don't divide further."""
+    n = len(rows)
+    if n <= LEAF or level == DEPTH:
+        yield rows, outside, n <= LEAF
+        return
+    count = min(PIVOTS, int(n**0.5) + 1)
+    d = sets.distances(rows, rows[np.arange(count) * n // count])
+    home, near = np.argmin(d, axis=0), d.min(axis=0)
+    inside = d <= near + float(2 * (1 - sets.t)) + 1e-9
+    cells, work = [], 0.0
+    for q in range(count):
+        own, let_in = home == q, inside[q] & (home > q)  # a pair of two regions is compared in the lower one
+        members = np.flatnonzero(own | let_in)
+        inner = int(own.sum())
+        work += inner * (len(members) - inner / 2)
+        if inner:
+            cells.append((rows[members], outside[members] | (let_in[members].astype(np.int64) << level)))
+    if work > 0.7 * n * n / 2:
+        yield rows, outside, False
+        return
+    for cell in cells:
+        yield from voronoi_cells(sets, *cell, level + 1)
+
+
+def compared(sets: Sets, cells: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of many small cells that the signatures let pass; all cells are compared at once."""
+    if not cells:
+        return
+    rows, outside = (np.concatenate(c) for c in zip(*cells))
+    of = np.repeat(np.arange(len(cells)), [len(c[0]) for c in cells])
+    for k in range(1, LEAF):
+        at = np.flatnonzero((of[k:] == of[:-k]) & (outside[k:] & outside[:-k] == 0)) if len(of) > k else []
+        if not len(at):
+            break
+        i, j = rows[at], rows[at + k]
+        ok = sets.fit(i, j)
+        yield i[ok], j[ok]
+
+
+def in_blocks(sets: Sets, rows: np.ndarray, outside: np.ndarray, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of one cell that the signatures let pass, a block of rows against the rows after it at a time."""
+    for lo in range(0, len(rows), block):
+        own = np.arange(lo, min(len(rows), lo + block))
+        rest = np.arange(lo, len(rows))
+        for cut in range(0, len(rest), block):
+            other = rest[cut : cut + block]
+            i, j = np.nonzero((own[:, None] < other[None, :]) & (outside[own][:, None] & outside[other][None, :] == 0))
+            i, j = rows[own[i]], rows[other[j]]
+            ok = sets.fit(i, j)
+            yield i[ok], j[ok]
 
 
 def close_pairs(batches: Iterable[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of a region's classes whose signatures don't rule the threshold out."""
-    give, take = t.denominator - t.numerator, t.denominator + t.numerator
+    """Pairs (a, b), a < b, of a region's classes at or above the threshold, with common and united words. Pairs leave as
+    they are found; nothing but one block of them is held."""
     for table in whole_chunks(batches, ["region"]):
-        region, size = codes(table["region"]), codes(table["size"]).astype(np.int64)
-        s0, s1 = (codes(table[c]).view(np.uint64) for c in ("s0", "s1"))
+        region = codes(table["region"])
+        flat, size = lists_of(table["hashes"])
         probe, index = (table[c].to_numpy().astype(bool) for c in ("probe", "index"))
+        sets = Sets(flat, size, probe, index, t)
+        cid = table["cid"].combine_chunks()
         bounds = np.append(np.flatnonzero(changes([region])), table.num_rows)
-        left, right = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if b - a < 2:
-                continue
-            inside = np.flatnonzero(index[a:b]) + a
-            if not len(inside):
-                continue
-            for lo in range(a, b, 512):  # a block of probes against all indexed classes
-                rows = np.arange(lo, min(b, lo + 512))
-                rows = rows[probe[rows]]
-                apart = np.bitwise_count(s0[rows][:, None] ^ s0[inside][None, :]).astype(np.int64) + np.bitwise_count(s1[rows][:, None] ^ s1[inside][None, :])
-                fits = (take * apart <= give * (size[rows][:, None] + size[inside][None, :])) & (size[inside][None, :] <= size[rows][:, None])
-                i, j = np.nonzero(fits)
-                i, j = rows[i], inside[j]
-                keep = i != j
-                left.append(i[keep])
-                right.append(j[keep])
-        if left and sum(map(len, left)):
-            cid = table["cid"]
-            x, y = (cid.take(pa.array(np.concatenate(v))).combine_chunks() for v in (left, right))
-            x, y = np.array(x.to_pylist(), dtype=object), np.array(y.to_pylist(), dtype=object)
-            swap = x > y
-            x[swap], y[swap] = y[swap], x[swap]
-            pairs = {p for p in zip(x, y) if p[0] != p[1]}
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["a", "b"])
+        spans = [(a, b) for a, b in zip(bounds[:-1], bounds[1:]) if b - a > 1]
+        everywhere = np.zeros(table.num_rows, dtype=np.int64)
+        small, large = [], []
+        for a, b in spans:
+            for rows, outside, divided in voronoi_cells(sets, np.arange(a, b), everywhere[a:b]):
+                (small if divided else large).append((rows, outside))
+        parts = [compared(sets, small), *(in_blocks(sets, *c) for c in large)]
+        for i, j in (p for part in parts for p in part):
+            for lo in range(0, len(i), 50_000):
+                x, y = i[lo : lo + 50_000], j[lo : lo + 50_000]
+                good, common = sets.similar(x, y)
+                if not len(good):
+                    continue
+                x, y = x[good], y[good]
+                left, right = cid.take(pa.array(x)), cid.take(pa.array(y))
+                swap = pc.greater(left, right)
+                united = sets.size[x] + sets.size[y] - common
+                yield pa.RecordBatch.from_arrays([pc.if_else(swap, right, left), pc.if_else(swap, left, right), pa.array(common.astype(np.int32)), pa.array(united.astype(np.int32))], ["a", "b", "common", "united"])
 
 
 def jaccard_distance(a, b):
@@ -206,25 +315,22 @@ def similar_classes(found: DataFrame, threshold: Fraction = THRESHOLD, cap: int
     t = threshold
     classes = materialize(found.groupBy("cid").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies")), "p2-classes")
     spark = classes.sparkSession
-    counts = classes.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count().toPandas()  # at most BUCKETS rows
-    table = np.zeros(BUCKETS, dtype=np.int64)
+    occurrences = classes.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (occurrences // BUCKET_LOAD).bit_length()))
+    counts = classes.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("b")).agg(F.ceil(F.log2(F.count(F.lit(1)))).cast("byte").alias("level")).toPandas()  # at most MOST_BUCKETS rows
+    table = np.zeros(buckets, dtype=np.int8)
     # xxhash64 is signed; the task takes the unsigned remainder, which is the same for a power of two
-    table[counts["b"].to_numpy(dtype=np.int64)] = counts["count"].to_numpy(dtype=np.int64)
-    frequency = spark.sparkContext.broadcast(table)
+    table[counts["b"].to_numpy(dtype=np.int64)] = counts["level"].to_numpy(dtype=np.int8)
+    levels = spark.sparkContext.broadcast(table)
     hashed = classes.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    by_word = hashed.mapInArrow(lambda b: region_rows(b, frequency.value, t, cap, False), ROWS)
-    by_triple = materialize(hashed.mapInArrow(lambda b: region_rows(b, frequency.value, t, cap, True), ROWS), "p2-triples")
-    hot = materialize(by_triple.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("region"), "p2-hot-regions")
+    rare = hashed.mapInArrow(lambda b: region_rows(b, levels.value, t, cap, False), ROWS)
+    common = materialize(hashed.mapInArrow(lambda b: region_rows(b, levels.value, t, cap, True), ROWS), "p2-frequent")
+    hot = materialize(common.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("region"), "p2-hot-regions")
     if not hot.isEmpty():
-        crowded = by_triple.join(hot, "region", "left_semi").select("region", "cid", "size", "s0", "s1").distinct()
-        both = crowded.select("region", "cid", F.lit(True).alias("probe"), F.lit(True).alias("index"), "size", "s0", "s1")
-        by_triple = by_triple.join(hot, "region", "left_anti").unionByName(voronoi(both, classes, float(1 - t), cap))
-    candidates = by_chunk(by_word.unionByName(by_triple), ["region"], ["cid"]).mapInArrow(lambda b: close_pairs(b, t), "a string, b string").distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("words").alias(f"words_{c}"))
-    joined = candidates.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
-    joined = joined.withColumn("united", F.size("words_a") + F.size("words_b") - F.col("common"))
-    pairs = joined.where(F.col("common") * t.denominator >= F.col("united") * t.numerator).select("a", "b", "common", "united")
-    return classes, pairs
+        crowded = common.join(hot, "region", "left_semi").groupBy("region", "cid").agg(F.max("probe").alias("probe"), F.max("index").alias("index"), F.first("hashes").alias("hashes"))
+        common = common.join(hot, "region", "left_anti").unionByName(voronoi(crowded, classes, float(1 - t), cap))
+    pairs = by_chunk(rare.unionByName(common), ["region"], ["cid"]).mapInArrow(lambda b: close_pairs(b, t), "a string, b string, common int, united int")
+    return classes, pairs.where("a <> b").distinct()
 
 
 def reordered(texts: DataFrame, cap: int) -> DataFrame:
@@ -243,7 +349,8 @@ def similar_pairs(records: DataFrame, threshold: Fraction = THRESHOLD, cap: int
 
     records: key, text. Null keys and texts, and texts without a word, give no pairs; a repeated key counts once (its
     first text stands); empty tables give no rows. Records of exactly the same text are paired up to `copies` of them; of
-    more, each is linked to the first. Pairs of different texts stay complete, whether their word sets are equal or not."""
+    more, each is linked to the first. Records of different texts are paired completely, whether their word sets are equal
+    or not, unless both texts have more than `copies` records: then their first records stand for them."""
     found = materialize(members(records.groupBy("key").agg(F.min("text").alias("text"))), "p2-members")
     classes, pairs = similar_classes(found, threshold, cap)
     keyed = found.select("cid", "tid", "key")
@@ -252,11 +359,18 @@ def similar_pairs(records: DataFrame, threshold: Fraction = THRESHOLD, cap: int
     same = some.alias("x").join(some.alias("y"), "tid").where("x.key < y.key").select(F.col("x.key").alias("rec_a"), F.col("y.key").alias("rec_b"))
     first = texts.where(F.col("copies") > copies).select("tid", F.col("first").alias("rec_a"))
     star = keyed.join(first, "tid").where("key <> rec_a").select("rec_a", F.col("key").alias("rec_b"))
-    k = lambda c, n: keyed.select(F.col("tid").alias(c), F.col("key").alias(n))
-    inside = reordered(texts, cap).join(k("a", "k1"), "a").join(k("b", "k2"), "b").select(F.least("k1", "k2").alias("rec_a"), F.greatest("k1", "k2").alias("rec_b"))
-    x, y = keyed.select(F.col("cid").alias("a"), F.col("key").alias("k1")), keyed.select(F.col("cid").alias("b"), F.col("key").alias("k2"))
-    across = pairs.select("a", "b").join(x, "a").join(y, "b").select(F.least("k1", "k2").alias("rec_a"), F.greatest("k1", "k2").alias("rec_b"))
-    return same.unionByName(star).unionByName(inside).unionByName(across)
+    # links between different texts, of one word set or of similar ones
+    of = lambda c, n: texts.select(F.col("cid").alias(c), F.col("tid").alias(f"t{n}"))
+    across = pairs.select("a", "b").join(of("a", 1), "a").join(of("b", 2), "b").select("t1", "t2")
+    links = across.unionByName(reordered(texts, cap).select(F.col("a").alias("t1"), F.col("b").alias("t2")))
+    group = lambda n: texts.where(F.col("copies") > copies).select(F.col("tid").alias(f"t{n}"), F.col("first").alias(f"f{n}"))
+    links = links.join(group(1), "t1", "left").join(group(2), "t2", "left")
+    both = F.col("f1").isNotNull() & F.col("f2").isNotNull()
+    ends = [F.least("k1", "k2").alias("rec_a"), F.greatest("k1", "k2").alias("rec_b")]
+    k = lambda n: keyed.select(F.col("tid").alias(f"t{n}"), F.col("key").alias(f"k{n}"))
+    whole = links.where(~both).select("t1", "t2").join(k(1), "t1").join(k(2), "t2").select(*ends)
+    by_first = links.where(both).select(F.col("f1").alias("k1"), F.col("f2").alias("k2")).select(*ends)
+    return same.unionByName(star).unionByName(whole).unionByName(by_first)
 
 
 def record_classes(records: DataFrame, threshold: Fraction = THRESHOLD, cap: int = CAP) -> DataFrame:

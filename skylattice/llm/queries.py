@@ -132,6 +132,14 @@ report AS (
   FROM want LEFT JOIN use USING (batch_id, difficulty))
 """
 
+#: Counted in words and single other characters, a tokenizer of its own.
+SHARES = r"""
+WITH t AS (SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(13))) AS s, len(regexp_extract_all(coalesce(text, ''), '[\pL\pN]+|[^\s\pL\pN]')) AS n FROM documents),
+o AS (SELECT s, sum(n) AS n FROM t WHERE s <> '' GROUP BY 1)
+SELECT source FROM source_targets LEFT JOIN o ON o.s = lower(trim(source, ' ' || chr(9) || chr(10) || chr(13)))
+WHERE target_weight * (SELECT sum(n) FROM o) > max_repeats * coalesce(o.n, 0)
+"""
+
 GRAMS = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
@@ -148,6 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": RECORDS + "SELECT rec_a, rec_b FROM p WHERE 10 * common >= 7 * (both_ - common)",
         "p3_found": LEVELS + "SELECT batch_id, difficulty FROM report WHERE deficit > 0",
         "p3_report": LEVELS + "SELECT * FROM report",
+        "p7_found": SHARES,
         "p6_found": GRAMS + "SELECT doc_id, item_id FROM leak",
         "p6_clean": GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leak)",
     }

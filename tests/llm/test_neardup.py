@@ -104,3 +104,48 @@ def test_records_and_classes(spark):
 
 def test_empty(spark):
     assert neardup.similar_pairs(spark.createDataFrame([], "key string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(2, 3), Fraction(7, 10)])
+@pytest.mark.parametrize("sizes", [(1, 6), (28, 40)])
+def test_when_all_words_are_frequent(spark, t, sizes):
+    """No word forms a rare region: short, middling and long texts meet by other ways."""
+    rng = random.Random(9)
+    pool = WORDS[: 2 * sizes[1]]
+    records = {f"k{i}": " ".join(rng.sample(pool, rng.randint(*sizes))) for i in range(80)}
+    for i in range(60):
+        w = records[f"k{i}"].split()
+        for _ in range(rng.randint(0, len(w) // 4 + 1)):
+            w[rng.randrange(len(w))] = rng.choice(pool)
+        records[f"e{i}"] = " ".join(w)
+    assert pairs(spark, records, threshold=t, cap=1) == brute(records, t)
+
+
+def test_cells_keep_every_pair_once(monkeypatch):
+    """Pivots inside a task: every similar pair meets in exactly one cell, and cells are smaller than the region."""
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    rng = np.random.default_rng(2)
+    centres = [rng.choice(500, size=20, replace=False) for _ in range(12)]
+    sets = []
+    for i in range(300):
+        s = set(centres[i % 12].tolist())
+        for _ in range(int(rng.integers(0, 4))):
+            s.discard(int(rng.choice(sorted(s))))
+            s.add(int(rng.integers(0, 500)))
+        sets.append(s)
+    flat = np.array([x * 2654435761 % 2**61 for s in sets for x in sorted(s)], dtype=np.uint64)
+    t, every = Fraction(7, 10), np.ones(300, dtype=bool)
+    have = neardup.Sets(flat, np.array([len(s) for s in sets]), every, every, t)
+    cells = list(neardup.voronoi_cells(have, np.arange(300), np.zeros(300, dtype=np.int64)))
+    assert max(len(c[0]) for c in cells) < 150
+    met = []
+    for rows, outside, _ in cells:
+        met += [(min(a, b), max(a, b)) for x, a in enumerate(rows) for y, b in enumerate(rows[:x]) if not outside[x] & outside[y]]
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    assert len(met) == len(set(met)) and near <= set(met) and len(met) < 300 * 299 / 4
+
+
+def test_two_large_groups_of_copies_are_linked_once(spark):
+    records = {f"k{i}": "one two three four five six seven" for i in range(7)} | {f"z{i}": "one two three four five six eight" for i in range(8)}
+    got = pairs(spark, records, copies=5)
+    assert {p for p in got if p[0][0] != p[1][0]} == {("k0", "z0")} and len(got) == 1 + 6 + 7
