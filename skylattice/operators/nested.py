@@ -1,24 +1,28 @@
 """Deeply nested JSON records to related flat tables with parent-child links.
 
 First a merged schema is inferred over all records: every path that occurs, with the kinds of value found there. Then
-each array level (an array of objects, or a lone object where other records hold an array) becomes a child table. A
-child row carries the record id, the key of its parent row and its ordinal in the array. Both passes are row-local and
-need no shuffle of the records; only the distinct schema paths are brought together, and their number is bounded by
-the schema, not by the data.
+each array level (an array of objects or of arrays, or a lone object where other records hold an array) becomes a child
+table. A child row carries the record id, the key of its parent row and its ordinal in the array. Both passes are
+row-local and need no shuffle of the records; only the distinct schema paths are brought together, and their number is
+bounded by the schema, not by the data.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A record with more distinct paths than this has data in its keys; the inference then refuses rather than grow.
+from skylattice.session import materialize
+
+#: Records with more distinct paths than this, all taken together, have data in their keys; they are refused.
 MAX_PATHS = 20_000
 ARRAY = "[]"
+TOO_MANY = "the records have data in their keys; name a narrower payload"
 
 
 def _reject(_: str) -> None:
@@ -87,8 +91,8 @@ def infer_schema(records: DataFrame, payload: str, text_at: tuple[str, ...] = ()
                 record = parse_object(text)
                 if record is not None:
                     seen.update(paths(record, marked))
-            if len(seen) > MAX_PATHS:
-                raise ValueError("the records have data in their keys; name a narrower payload")
+            if len(seen) > 6 * MAX_PATHS:  # six kinds: the merged schema is beyond its bound for certain
+                raise ValueError(TOO_MANY)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.string())], ["path", "kind"])
 
@@ -96,18 +100,42 @@ def infer_schema(records: DataFrame, payload: str, text_at: tuple[str, ...] = ()
     return found.groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
+def merged_schema(records: DataFrame, payload: str, text_at: tuple[str, ...] = ()) -> list[tuple[str, list[str]]]:
+    """infer_schema on the driver, refused beyond MAX_PATHS paths."""
+    rows = infer_schema(records, payload, text_at).limit(MAX_PATHS + 1).collect()
+    if len(rows) > MAX_PATHS:
+        raise ValueError(TOO_MANY)
+    return [(r.path, list(r.kinds)) for r in rows]
+
+
+def in_rows(path: str) -> str:
+    """A schema path as the rows of tables have it: the elements of an array carry its name, those of an array in an
+    array its name and []."""
+    return re.sub(r"((?:\[\])+)", lambda m: m[1][2:], path)
+
+
 def array_levels(schema: list[tuple[str, list[str]]], names: tuple[str, ...] = ()) -> frozenset[str]:
-    """Paths, without [], that become child tables: those with arrays of objects somewhere, and those whose last name is
-    in names. In other records the same path may hold a lone object, which then is a list of one."""
-    kinds: dict[str, set[str]] = {}
-    for p, k in schema:
-        kinds.setdefault(p, set()).update(k)
-    return frozenset(p.replace(ARRAY, "") for p, k in kinds.items() if p and ("array" in k and "object" in kinds.get(p + ARRAY, ()) or p.rpartition(".")[2] in names))
+    """Paths that become child tables: those with arrays of objects or arrays somewhere, and those whose last name is in
+    names. In other records the same path may hold a lone object, which then is a list of one."""
+    kinds = {p: set(k) for p, k in schema}
+    holds = lambda p: kinds.get(p + ARRAY, set()) & {"object", "array"}
+    return frozenset(in_rows(p + ARRAY) for p, k in kinds.items() if p and ("array" in k and holds(p) or p.rpartition(".")[2] in names))
 
 
 NODES = "record_id bigint, path string, node_key string, parent_path string, parent_key string, ordinal int, fields map<string,string>"
 
 
+_text, _encoder = json.encoder.encode_basestring, json.JSONEncoder(ensure_ascii=False)
+
+
+def as_json(value: object) -> str:
+    if isinstance(value, str):
+        return _text(value)
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return repr(value) if isinstance(value, (int, float)) else _encoder.encode(value)
+
+
 def nodes_of(record: dict, levels: frozenset[str], text_at: frozenset[str]) -> Iterator[tuple[str, str, str, str, int | None, dict]]:
     """The record's rows: one of the root table (path '') and one per element of each array level. Keys are ordinals
     joined by '/': an element's key starts with its parent's. Nulls in an array give no row but keep their place."""
@@ -120,14 +148,15 @@ def nodes_of(record: dict, levels: frozenset[str], text_at: frozenset[str]) -> I
             v, at, name = inner.pop()
             if at in text_at:
                 v = decoded(v)
-            if at in levels and at != path and isinstance(v, (dict, list)):
+            level = at + ARRAY if path and at == path and isinstance(v, list) else at
+            if level in levels and level != path and isinstance(v, (dict, list)):
                 for i, x in enumerate(v if isinstance(v, list) else [v]):
                     if x is not None:
-                        stack.append((x, at, f"{key}/{i}" if key else str(i), path, key, i))
+                        stack.append((x, level, f"{key}/{i}" if key else str(i), path, key, i))
             elif isinstance(v, dict):
                 inner.extend((x, f"{at}.{k}" if at else k, f"{name}.{k}" if name else k) for k, x in v.items())
             elif v is not None:
-                fields[name] = json.dumps(v, ensure_ascii=False)
+                fields[name] = as_json(v)
         yield path, key, parent_path, parent_key, ordinal, fields
 
 
@@ -138,25 +167,89 @@ def flatten(records: DataFrame, record_id: str, payload: str, text_at: tuple[str
     fields holds the other values below the row (scalars, arrays of scalars) as JSON text, by path relative to the row. Payloads
     that are null, broken or not an object give no rows; repeated record ids give repeated rows; an empty table gives
     none. A null record_id stays null."""
-    rows = infer_schema(records, payload, text_at).collect()  # bounded by MAX_PATHS
-    levels, marked = array_levels([(r.path, r.kinds) for r in rows], level_names), frozenset(text_at)
+    return _flattened(records, record_id, payload, text_at, array_levels(merged_schema(records, payload, text_at), level_names))
+
+
+def _flattened(records: DataFrame, record_id: str, payload: str, text_at: tuple[str, ...], levels: frozenset[str]) -> DataFrame:
+    marked = frozenset(text_at)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
         names = ["record_id", "path", "node_key", "parent_path", "parent_key", "ordinal", "fields"]
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):  # very long payloads: small pieces bound what is held
-                out = []
+                out, ends, keys, values = [], [0], [], []
                 for rid, text in zip(*(c.to_pylist() for c in batch.slice(lo, 500).columns)):
                     record = parse_object(text)
-                    if record is not None:
-                        out.extend((rid, *n[:5], list(n[5].items())) for n in nodes_of(record, levels, marked))
+                    if record is None:
+                        continue
+                    for *row, fields in nodes_of(record, levels, marked):
+                        out.append((rid, *row))
+                        keys.extend(fields)
+                        values.extend(fields.values())
+                        ends.append(len(keys))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
+                    fields = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), types)), fields], names)
 
     return records.select(F.col(record_id).cast("bigint"), F.col(payload).cast("string")).mapInArrow(run, NODES)
 
 
+def text_of(value: Column) -> Column:
+    """The text that a JSON string holds; other JSON as it stands."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
+SCALARS = {"number": "double", "boolean": "boolean", "string": "string"}
+
+
+def column_type(kinds: set[str], elements: set[str]) -> str | None:
+    """The SQL type of a value with these kinds (and, in arrays, elements of those): null for what is a table of its own
+    or never has a value, string (JSON text) for a mixture."""
+    kinds, elements = kinds - {"null"}, elements - {"null"}
+    if kinds == {"array"} and not elements & {"object", "array"}:
+        return f"array<{SCALARS[next(iter(elements))] if len(elements) == 1 else 'string'}>"
+    if not kinds or kinds <= {"object", "array"}:
+        return None
+    return SCALARS[next(iter(kinds))] if len(kinds) == 1 else "string"
+
+
+def tables(records: DataFrame, record_id: str, payload: str, text_at: tuple[str, ...] = (), level_names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """One typed DataFrame per table, by path ('' is the root): _record_id, _key, _parent_key and _ordinal, then a column
+    for every value of the merged schema below the row, by its path relative to the row with '_' for '.', its type from
+    the kinds found (a mixture is kept as JSON text). Names that clash get a number. A table joins its parent by
+    (_record_id, _parent_key) = (_record_id, _key). Defined cases as in flatten."""
+    schema = merged_schema(records, payload, text_at)
+    levels = array_levels(schema, level_names)
+    kinds = {p: set(k) for p, k in schema}
+    nodes = materialize(_flattened(records, record_id, payload, text_at, levels), "nested")
+    columns: dict[str, dict[str, set[str]]] = {level: {} for level in ("", *levels)}
+    for p, k in kinds.items():
+        # an element of an array of scalars stands in its array; all else belongs to the longest level above it
+        if p.endswith(ARRAY) and in_rows(p) not in levels:
+            continue
+        at = in_rows(p)
+        level = max((x for x in columns if at == x or not x or at.startswith(x + ".")), key=len)
+        kind = column_type(k, kinds.get(p + ARRAY, set()))
+        if kind and (at != level or p.endswith(ARRAY)):
+            columns[level].setdefault(at[len(level) :].lstrip("."), set()).add(kind)
+    out = {}
+    for level, names in columns.items():
+        taken, chosen = {"_record_id", "_key", "_parent_key", "_ordinal"}, []
+        for name, types in sorted(names.items()):
+            label = base = name.replace(".", "_") or "value"
+            n = 1
+            while label.lower() in taken:
+                n += 1
+                label = f"{base}_{n}"
+            taken.add(label.lower())
+            kind, value = next(iter(types)) if len(types) == 1 else "string", F.col("fields")[name]
+            typed = text_of(value) if kind == "string" else F.from_json(value, kind) if kind.startswith("array") else value.try_cast(kind)
+            chosen.append(typed.alias(label))
+        out[level] = nodes.where(F.col("path") == level).select(F.col("record_id").alias("_record_id"), F.col("node_key").alias("_key"), F.col("parent_key").alias("_parent_key"), F.col("ordinal").alias("_ordinal"), *chosen)
+    return out
+
+
 # The export of one tracking frame -----------------------------------------------------------------------------------
 
 EXPORT_TEXT = ("adversary_log",)
@@ -170,7 +263,7 @@ def export_links(exports: DataFrame) -> DataFrame:
     payload count once; other defined cases as in flatten."""
     nodes = flatten(exports, "raw_id", "payload", EXPORT_TEXT, EXPORT_LEVELS)
     fields = F.col("fields")
-    text = lambda c: F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+    text = text_of
 
     def by_place(c, i):
         return F.try_element_at(F.from_json(c, "array<string>"), F.lit(i + 1))

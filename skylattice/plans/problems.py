@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skylattice.operators import nested, spikes
 from skylattice.session import table
@@ -17,15 +18,41 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
-    """All flat tables of the exports, one row per record or array element."""
-    return nested.flatten(table(spark, d, "frame_exports"), "raw_id", "payload", nested.EXPORT_TEXT, nested.EXPORT_LEVELS)
+    """All flat tables of the exports, one row per record or array element, with its number of values."""
+    rows = nested.flatten(table(spark, d, "frame_exports"), "raw_id", "payload", nested.EXPORT_TEXT, nested.EXPORT_LEVELS)
+    return rows.select("record_id", "path", "node_key", "parent_path", "parent_key", "ordinal", F.size("fields").alias("n_fields"))
 
 
 def p5_schema(spark: SparkSession, d: str) -> DataFrame:
-    return nested.infer_schema(table(spark, d, "frame_exports"), "payload", nested.EXPORT_TEXT)
+    s = nested.infer_schema(table(spark, d, "frame_exports"), "payload", nested.EXPORT_TEXT)
+    return s.select("path", F.array_join("kinds", ",").alias("kinds"))
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p5_found, p5_tables, p5_schema)}
+def _links(spark: SparkSession, d: str, node: str) -> DataFrame:
+    return nested.export_links(table(spark, d, "frame_exports")).where(F.col("node") == node)
+
+
+def p5_poses(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d, "pose").select("raw_id", *[F.col("fields")[c].cast("double").alias(c) for c in "xyz"])
+
+
+def p5_candidates(spark: SparkSession, d: str) -> DataFrame:
+    f = F.col("fields")
+    xy = F.from_json(f["xy"], "array<double>")
+    at = lambda i: F.try_element_at(xy, F.lit(i))
+    return _links(spark, d, "candidate").select("raw_id", F.col("child_key").cast("int").alias("candidate"), at(1).alias("x"), at(2).alias("y"), f["score"].try_cast("double").alias("score"))
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    f = F.col("fields")
+    return _links(spark, d, "term").select("raw_id", F.col("parent_key").cast("int").alias("candidate"), F.col("child_key").cast("int").alias("place"), nested.text_of(f["term"]).alias("term"), f["value"].try_cast("double").alias("value"), nested.text_of(f["note.by"]).alias("note_by"))
+
+
+def p5_images(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d, "image").select("raw_id", F.col("child_key").alias("modality"), F.col("fields")["path"].alias("path"))
+
+
+QUERIES = {q.__name__: q for q in (p4_found, p5_found, p5_tables, p5_schema, p5_poses, p5_candidates, p5_terms, p5_images)}
 
 
 def _field_sql(field: str, parts: tuple[str, str, str], bad: str) -> str:
@@ -94,10 +121,30 @@ m1 AS (SELECT raw_id, unnest(json_keys(images)) AS k, images FROM g WHERE json_t
 m2 AS (SELECT raw_id, k, json_extract(images, '$."' || k || '"') AS e FROM m1
        UNION ALL SELECT raw_id, json_extract_string(e, '$.modality'), e FROM (SELECT raw_id, unnest(CAST(images AS JSON[])) AS e FROM g WHERE json_type(images) = 'ARRAY')),
 m3 AS (SELECT DISTINCT raw_id, k FROM m2 WHERE k IS NOT NULL AND CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$') WHEN 'OBJECT' THEN json_extract_string(e, '$.path') END <> '')
+"""
+P5_LINKS = """
 SELECT raw_id, 'pose' AS node, '' AS parent_key, '' AS child_key FROM poses
 UNION ALL SELECT raw_id, 'candidate', '', CAST(i AS VARCHAR) FROM cand
 UNION ALL SELECT raw_id, 'term', CAST(i AS VARCHAR), CAST(j AS VARCHAR) FROM t2 WHERE json_type(t) <> 'NULL'
 UNION ALL SELECT raw_id, 'image', '', k FROM m3
 """
 
-ORACLE = {"p4_found": _p4_sql(), "p5_found": P5}
+#: Each value with the path of the row it belongs to: array levels of the exports are named, other arrays are values.
+P5_TREE = r"""
+WITH p AS (SELECT raw_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN json_extract_string(payload, '$') ELSE payload END END AS v FROM frame_exports),
+o AS (SELECT raw_id, v, json_type(v, '$.adversary_log') = 'VARCHAR' AND json_valid(json_extract_string(v, '$.adversary_log')) AS packed FROM p WHERE json_valid(v) AND json_type(v) = 'OBJECT'),
+t AS (SELECT raw_id, t.fullkey AS k, t.type AS ty FROM o, json_tree(o.v) t WHERE NOT (coalesce(packed, false) AND t.fullkey = '$.adversary_log')
+      UNION ALL SELECT raw_id, '$.adversary_log' || substr(t.fullkey, 2), t.type FROM o, json_tree(CASE WHEN packed THEN json_extract_string(o.v, '$.adversary_log') ELSE 'null' END) t WHERE packed),
+k AS (SELECT raw_id, ltrim(replace(regexp_replace(substr(k, 2), '\[[0-9]+\]', '[]', 'g'), '"', ''), '.') AS path, CASE ty WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind FROM t)
+"""
+
+_NUMBER = "CASE WHEN json_type({0}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST({0} AS DOUBLE) END"
+ORACLE = {
+    "p4_found": _p4_sql(),
+    "p5_found": P5 + P5_LINKS,
+    "p5_schema": P5_TREE + "SELECT path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k GROUP BY 1",
+    "p5_poses": P5 + "SELECT raw_id, CAST(json_extract(xyz, '$[0]') AS DOUBLE) AS x, CAST(json_extract(xyz, '$[1]') AS DOUBLE) AS y, CAST(json_extract(xyz, '$[2]') AS DOUBLE) AS z FROM x JOIN poses USING (raw_id)",
+    "p5_candidates": P5 + f"SELECT raw_id, CAST(i AS INT) AS candidate, {_NUMBER.format('json_extract(c, $$$.xy[0]$$)')} AS x, {_NUMBER.format('json_extract(c, $$$.xy[1]$$)')} AS y, {_NUMBER.format('json_extract(c, $$$.score$$)')} AS score FROM c2 WHERE json_type(c) <> 'NULL'",
+    "p5_terms": P5 + f"SELECT raw_id, CAST(i AS INT) AS candidate, CAST(j AS INT) AS place, json_extract_string(t, '$.term') AS term, {_NUMBER.format('json_extract(t, $$$.value$$)')} AS value, json_extract_string(t, '$.note.by') AS note_by FROM t2 WHERE json_type(t) <> 'NULL'",
+    "p5_images": P5 + "SELECT DISTINCT raw_id, k AS modality, CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$') WHEN 'OBJECT' THEN json_extract_string(e, '$.path') END AS path FROM m2 WHERE k IS NOT NULL AND CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$') WHEN 'OBJECT' THEN json_extract_string(e, '$.path') END <> ''",
+}

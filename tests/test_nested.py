@@ -50,3 +50,32 @@ def test_very_deep_and_long_payloads(spark):
     long = json.dumps({"adversary_log": {"candidates": [{"terms": []}] * 5000}})
     got = links(spark, deep, long)
     assert len(got) == 5000
+
+
+def test_typed_tables_and_arrays_of_arrays(spark):
+    records = [
+        {"a": 1, "b": "x", "on": True, "s": ["p", "q"], "m": [[1, 2], [3], None], "l": [{"v": 1.5, "n": {"w": "y"}, "k": [[{"z": 1}], [{"z": 2}, {"z": 3}]]}, {"v": None}]},
+        {"a": 2, "b": 7, "l": {"v": 2, "_key": 4}, "m": []},
+        {"a": None},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r), None, None) for i, r in enumerate(records)], SCHEMA)
+    t = nested.tables(df, "raw_id", "payload")
+    assert set(t) == {"", "m", "l", "l.k", "l.k[]"}
+    root = {r._record_id: r for r in t[""].collect()}
+    assert (root[0].a, root[0].b, root[0].on, root[0].s) == (1.0, "x", True, ["p", "q"]) and (root[1].a, root[1].b, root[1].on) == (2.0, "7", None) and root[2].a is None
+    assert {(r._key, r._ordinal): r.value for r in t["m"].collect()} == {("0", 0): [1.0, 2.0], ("1", 1): [3.0]}
+    rows = {(r._record_id, r._key): r for r in t["l"].collect()}
+    assert rows[0, "0"].v == 1.5 and rows[0, "0"].n_w == "y" and rows[0, "1"].v is None and rows[1, "0"].v == 2.0 and rows[1, "0"]._key_2 == 4.0
+    deep = {(r._key, r._parent_key): r.z for r in t["l.k[]"].collect()}
+    assert deep == {("0/0/0", "0/0"): 1.0, ("0/1/0", "0/1"): 2.0, ("0/1/1", "0/1"): 3.0}
+    assert {r._key for r in t["l.k"].collect()} == {"0/0", "0/1"}
+
+
+def test_too_many_paths_are_refused_however_they_are_spread(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(nested, "MAX_PATHS", 20)
+    df = spark.createDataFrame([(i, json.dumps({f"k{i}": i}), None, None) for i in range(30)], SCHEMA)
+    for parts in (1, 15):
+        with pytest.raises(ValueError):
+            nested.flatten(df.repartition(parts), "raw_id", "payload")
