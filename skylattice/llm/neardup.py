@@ -41,6 +41,8 @@ PIVOTS = 16
 DEPTH = 8
 #: Regions of up to this many classes are compared as they are; larger ones go through pivots inside the task.
 LEAF = 32
+#: Classes of a region by which it is judged whether its pivots divide it at all.
+SOME = 64
 #: From this many words on, a text's frequent words are taken one by one and not in threes (at most 969 at a threshold of 1/2).
 LONG = 32
 #: Word frequencies are kept as powers of two for hash buckets, one for every BUCKET_LOAD occurrences within these
@@ -181,9 +183,14 @@ def voronoi_cells(sets: Sets, rows: np.ndarray, outside: np.ndarray, level: int
         yield rows, outside, n <= LEAF
         return
     count = min(PIVOTS, int(n**0.5) + 1)
-    d = sets.distances(rows, rows[np.arange(count) * n // count])
+    pivots, window = rows[np.arange(count) * n // count], float(2 * (1 - sets.t)) + 1e-9
+    some = sets.distances(rows[np.arange(SOME) * n // SOME], pivots) if n > 2 * SOME else None
+    if some is not None and (some <= some.min(axis=0) + window).mean() > 0.8:
+        yield rows, outside, False  # most classes would go to most regions
+        return
+    d = sets.distances(rows, pivots)
     home, near = np.argmin(d, axis=0), d.min(axis=0)
-    inside = d <= near + float(2 * (1 - sets.t)) + 1e-9
+    inside = d <= near + window
     cells, work = [], 0.0
     for q in range(count):
         own, let_in = home == q, inside[q] & (home > q)  # a pair of two regions is compared in the lower one
@@ -215,16 +222,30 @@ def compared(sets: Sets, cells: list[tuple[np.ndarray, np.ndarray]]) -> Iterator
 
 
 def in_blocks(sets: Sets, rows: np.ndarray, outside: np.ndarray, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of one cell that the signatures let pass, a block of rows against the rows after it at a time."""
-    for lo in range(0, len(rows), block):
-        own = np.arange(lo, min(len(rows), lo + block))
-        rest = np.arange(lo, len(rows))
-        for cut in range(0, len(rest), block):
-            other = rest[cut : cut + block]
-            i, j = np.nonzero((own[:, None] < other[None, :]) & (outside[own][:, None] & outside[other][None, :] == 0))
-            i, j = rows[own[i]], rows[other[j]]
-            ok = sets.fit(i, j)
-            yield i[ok], j[ok]
+    """Pairs (i, j) of one cell that the signatures let pass: blocks of probing rows of one size against the indexed rows
+    of the sizes that can be similar."""
+    t, size = sets.t, sets.size[rows]
+    by_size = np.argsort(size, kind="stable")
+    rows, outside, size = rows[by_size], outside[by_size], size[by_size]
+    small = np.flatnonzero(sets.index[rows])
+    small_size = size[small]
+    big = np.flatnonzero(sets.probe[rows])
+    cuts = np.append(np.flatnonzero(np.append(True, size[big][1:] != size[big][:-1])) if len(big) else [], len(big)).astype(np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        n = int(size[big[a]])
+        lo, hi = np.searchsorted(small_size, -(-t.numerator * n // t.denominator)), np.searchsorted(small_size, n, side="right")
+        other = small[lo:hi]
+        limit = np.minimum((t.denominator - t.numerator) * (n + size[other]) // (t.denominator + t.numerator), 128).astype(np.uint8)
+        for first in range(a, b, block):
+            own = big[first : min(b, first + block)]
+            for cut in range(0, len(other), 8192):
+                at = other[cut : cut + 8192]
+                apart = np.bitwise_count(sets.s0[rows[own]][:, None] ^ sets.s0[rows[at]][None, :]) + np.bitwise_count(sets.s1[rows[own]][:, None] ^ sets.s1[rows[at]][None, :])
+                i, j = np.nonzero(apart <= limit[None, cut : cut + 8192])
+                i, j = own[i], at[j]
+                once = (size[i] != size[j]) | (i < j) | ~(sets.probe[rows[j]] & sets.index[rows[i]])
+                ok = once & (i != j) & (outside[i] & outside[j] == 0)
+                yield rows[i[ok]], rows[j[ok]]
 
 
 def close_pairs(batches: Iterable[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
