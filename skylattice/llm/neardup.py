@@ -1,8 +1,8 @@
 """Near-duplicate records: an exact Jaccard join over word sets.
 
 Texts with the same word set form a class; the join runs over classes. Jaccard distance is a metric, so the classes can
-be cut into Voronoi regions of pivots; a class x of region p is replicated to region q if d(x, q) <= d(x, p) + 2r, which
-by the triangle inequality loses no pair within r = 1 - threshold. Unrelated texts lie at nearly the same distance from
+be cut into Voronoi regions of pivots; a class x of region p is replicated to region q if d(x, q) <= d(x, p) + 2r and
+d(x, q) <= r plus q's radius, which by the triangle inequality loses no pair within r = 1 - threshold. Unrelated texts lie at nearly the same distance from
 everything (see the README for figures), so pivots drawn from all classes would replicate every class everywhere. The
 pivots therefore divide regions that share something already:
 
@@ -190,7 +190,8 @@ def voronoi_cells(sets: Sets, rows: np.ndarray, outside: np.ndarray, level: int
         return
     d = sets.distances(rows, pivots)
     home, near = np.argmin(d, axis=0), d.min(axis=0)
-    inside = d <= near + window
+    radius = np.array([d[q][home == q].max(initial=-1) for q in range(count)])
+    inside = d <= np.minimum(near + window, radius[:, None] + window / 2 + 1e-9)
     cells, work = [], 0.0
     for q in range(count):
         own, let_in = home == q, inside[q] & (home > q)  # a pair of two regions is compared in the lower one
