@@ -5,7 +5,9 @@ doubling, binary-searches every test suffix in it and so gets the longest verbat
 its places. Words that no test item has can't be part of a match; they act as separators, and suffixes with fewer than
 `least` test words ahead are left out of the array. The corpus is read once and not shuffled.
 
-The test items are sent to all tasks in blocks of at most ITEM_BLOCK words, so the size of what is broadcast is bounded.
+The test items are sent to all tasks in blocks of at most ITEM_BLOCK words, one block at a time, so the size of what is
+held and broadcast is bounded. Matches are expanded EXPAND at a time and at once reduced to the longest one of each
+document and item; only those that begin a match are measured.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.session import materialize
+
 LEAST = 12
 #: Words of test items handled at once, and words of documents in one suffix array.
 ITEM_BLOCK = 2_000_000
 SHARD_WORDS = 1_000_000
+#: Pairs of matching suffixes that are expanded at once.
+EXPAND = 500_000
 
 
 def words(text) -> F.Column:
@@ -59,17 +66,16 @@ def compare(x: np.ndarray, at: np.ndarray, y: np.ndarray, start: np.ndarray, lon
     return length, smaller
 
 
-def matches_in_shard(corpus: np.ndarray, tests: np.ndarray, least: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(corpus place, test place, common words) for all pairs of suffixes that share at least `least` words. Separators
-    are negative and different in both sequences."""
+def matches_in_shard(corpus: np.ndarray, tests: np.ndarray, least: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(corpus place, test place, common words), in parts, for all pairs of suffixes that share at least `least` words and
+    whose words before them differ. Separators are negative and different in both sequences."""
     def starts(x: np.ndarray) -> np.ndarray:
         stops = np.append(np.flatnonzero(x < 0), len(x))
         return np.flatnonzero((stops[np.searchsorted(stops, np.arange(len(x)))] - np.arange(len(x))) >= least)
 
-    empty = np.empty(0, dtype=np.int64)
     at, queries = starts(corpus), starts(tests)
     if not len(at) or not len(queries):
-        return empty, empty, empty
+        return
     x, y = np.append(corpus, -1), np.append(tests, -2)
     order = ranks_of_suffixes(x, at, least)
     bounds = []
@@ -83,10 +89,15 @@ def matches_in_shard(corpus: np.ndarray, tests: np.ndarray, least: int, longest:
             hi[open_[~right]] = mid[~right]
         bounds.append(lo)
     counts = bounds[1] - bounds[0]
-    which = np.repeat(np.arange(len(queries)), counts)
-    place = order[np.repeat(bounds[0], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    length, _ = compare(x, place, y, queries[which], longest)
-    return place, queries[which], length
+    ends = np.cumsum(counts)
+    for lo in range(0, int(ends[-1]), EXPAND):
+        k = np.arange(lo, min(int(ends[-1]), lo + EXPAND))
+        which = np.searchsorted(ends, k, side="right")
+        place, test = order[bounds[0][which] + k - (ends[which] - counts[which])], queries[which]
+        # a pair whose words before agree continues a match that begins earlier; before the first word stands a separator
+        begins = x[place - 1] != y[test - 1]
+        place, test = place[begins], test[begins]
+        yield place, test, compare(x, place, y, test, longest)[0]
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:
@@ -95,11 +106,15 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST)
 
     Whole texts are searched. Null and empty texts match nothing, nor do texts of fewer than `least` words; repeated
     rows give one row; other columns are ignored; empty tables give no rows; null ids give none."""
-    blocks = item_blocks(items)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), words("text").alias("words"))
-    found = None
-    for item_ids, starts, vocabulary, tests in blocks:
-        part = search(texts, item_ids, starts, vocabulary, tests, least)
+    found, blocks = None, item_blocks(items)
+    block = next(blocks, None)
+    while block is not None:
+        part, shared = search(texts, *block, least)
+        block = next(blocks, None)
+        if found is not None or block is not None:  # several blocks: each is searched and let go before the next
+            part = materialize(part, "p6-matches")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, match_words int, doc_word int, item_word int")
@@ -107,12 +122,13 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = LEAST)
     return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.*")
 
 
-def item_blocks(items: DataFrame) -> list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
-    """The test items as word numbers, in blocks of bounded size; a stated query set that is held against all rows."""
+def item_blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """The test items as word numbers, in blocks of bounded size, one at a time; a stated query set that is held against
+    all rows."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), words("text")).toLocalIterator()
-    blocks, ids, texts, size = [], [], [], 0
+    ids, texts, size = [], [], 0
 
-    def close() -> None:
+    def block() -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         flat = pa.array([w for t in texts for w in t], pa.string())
         vocabulary = flat.unique()
         numbers = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -120,21 +136,21 @@ def item_blocks(items: DataFrame) -> list[tuple[np.ndarray, np.ndarray, pa.Array
         starts = np.cumsum(lengths + 1) - lengths - 1
         tests = np.full(int((lengths + 1).sum()), -2, dtype=np.int64)
         tests[np.delete(np.arange(len(tests)), starts + lengths)] = numbers
-        blocks.append((np.array(ids, dtype=np.int64), starts, vocabulary, tests))
+        return np.array(ids, dtype=np.int64), starts, vocabulary, tests
 
     for item_id, text in rows:
         if size + len(text) > ITEM_BLOCK and ids:
-            close()
+            yield block()
             ids, texts, size = [], [], 0
         ids.append(item_id)
         texts.append(text)
         size += len(text)
     if ids:
-        close()
-    return blocks
+        yield block()
 
 
-def search(texts: DataFrame, item_ids: np.ndarray, item_starts: np.ndarray, vocabulary: pa.Array, tests: np.ndarray, least: int) -> DataFrame:
+def search(texts: DataFrame, item_ids: np.ndarray, item_starts: np.ndarray, vocabulary: pa.Array, tests: np.ndarray, least: int) -> tuple[DataFrame, Broadcast]:
+    """The matches of one block of items with all texts, and the broadcast that holds the block."""
     longest = int(np.diff(np.append(item_starts, len(tests))).max())
     shared = texts.sparkSession.sparkContext.broadcast((item_ids, item_starts, vocabulary.to_pylist(), tests))
 
@@ -146,21 +162,21 @@ def search(texts: DataFrame, item_ids: np.ndarray, item_starts: np.ndarray, voca
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def shard() -> pa.RecordBatch:
+        def shard() -> Iterator[pa.RecordBatch]:
             doc_ids, lengths, numbers = (np.concatenate(c) for c in zip(*held))
             starts = np.cumsum(lengths + 1) - lengths - 1
             corpus = np.full(len(numbers) + len(lengths), -1, dtype=np.int64)
             corpus[np.delete(np.arange(len(corpus)), starts + lengths)] = numbers
             # stretches without enough test words ahead can't match; their separators are merged away with them
-            place, test, length = matches_in_shard(corpus, tests, least, longest)
-            doc, item = np.searchsorted(starts, place, side="right") - 1, np.searchsorted(item_starts, test, side="right") - 1
-            doc_word, item_word = place - starts[doc], test - item_starts[item]
-            order = np.lexsort((item_word, doc_word, -length, item, doc))
-            doc, item = doc[order], item[order]
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-            pick = order[first]
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids[doc[first]]), pa.array(item_ids[item[first]]), *(pa.array(v[pick].astype(np.int32)) for v in (length, doc_word, item_word))], ["doc_id", "item_id", "match_words", "doc_word", "item_word"])
+            for place, test, length in matches_in_shard(corpus, tests, least, longest):
+                doc, item = np.searchsorted(starts, place, side="right") - 1, np.searchsorted(item_starts, test, side="right") - 1
+                doc_word, item_word = place - starts[doc], test - item_starts[item]
+                order = np.lexsort((item_word, doc_word, -length, item, doc))
+                doc, item = doc[order], item[order]
+                first = np.ones(len(order), dtype=bool)
+                first[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+                pick = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[doc[first]]), pa.array(item_ids[item[first]]), *(pa.array(v[pick].astype(np.int32)) for v in (length, doc_word, item_word))], ["doc_id", "item_id", "match_words", "doc_word", "item_word"])
 
         for batch in batches:
             lists = batch.column(1)
@@ -170,12 +186,12 @@ def search(texts: DataFrame, item_ids: np.ndarray, item_starts: np.ndarray, voca
             held.append((batch.column(0).to_numpy(zero_copy_only=False), lengths, numbers))
             size += len(numbers)
             if size >= SHARD_WORDS:
-                yield shard()
+                yield from shard()
                 held, size = [], 0
         if held:
-            yield shard()
+            yield from shard()
 
-    return texts.mapInArrow(run, "doc_id bigint, item_id bigint, match_words int, doc_word int, item_word int")
+    return texts.mapInArrow(run, "doc_id bigint, item_id bigint, match_words int, doc_word int, item_word int"), shared
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, least: int = LEAST) -> DataFrame:

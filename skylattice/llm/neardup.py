@@ -222,7 +222,7 @@ def compared(sets: Sets, cells: list[tuple[np.ndarray, np.ndarray]]) -> Iterator
         yield i[ok], j[ok]
 
 
-def in_blocks(sets: Sets, rows: np.ndarray, outside: np.ndarray, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def in_blocks(sets: Sets, rows: np.ndarray, outside: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of one cell that the signatures let pass: blocks of probing rows of one size against the indexed rows
     of the sizes that can be similar."""
     t, size = sets.t, sets.size[rows]
@@ -239,10 +239,10 @@ def in_blocks(sets: Sets, rows: np.ndarray, outside: np.ndarray, block: int = 51
         limit = np.minimum((t.denominator - t.numerator) * (n + size[other]) // (t.denominator + t.numerator), 128).astype(np.uint8)
         for first in range(a, b, block):
             own = big[first : min(b, first + block)]
-            for cut in range(0, len(other), 8192):
-                at = other[cut : cut + 8192]
+            for cut in range(0, len(other), 4096):
+                at = other[cut : cut + 4096]
                 apart = np.bitwise_count(sets.s0[rows[own]][:, None] ^ sets.s0[rows[at]][None, :]) + np.bitwise_count(sets.s1[rows[own]][:, None] ^ sets.s1[rows[at]][None, :])
-                i, j = np.nonzero(apart <= limit[None, cut : cut + 8192])
+                i, j = np.nonzero(apart <= limit[None, cut : cut + 4096])
                 i, j = own[i], at[j]
                 once = (size[i] != size[j]) | (i < j) | ~(sets.probe[rows[j]] & sets.index[rows[i]])
                 ok = once & (i != j) & (outside[i] & outside[j] == 0)

@@ -72,3 +72,15 @@ def test_suffix_array_is_sorted():
     order = leakage.ranks_of_suffixes(x, np.arange(500), 501)
     suffixes = [tuple(x[i:]) for i in order]
     assert suffixes == sorted(suffixes)
+
+
+def test_a_passage_that_is_everywhere_is_expanded_in_parts(monkeypatch):
+    """Many copies of one passage on both sides: parts are bounded, and only the beginnings of matches are measured."""
+    monkeypatch.setattr(leakage, "EXPAND", 500)
+    passage = list(range(20))
+    corpus = np.array([x for i in range(60) for x in (*passage, -1)])
+    tests = np.array([x for i in range(40) for x in (*passage, -2)])
+    parts = list(leakage.matches_in_shard(corpus, tests, 12, 20))
+    assert all(len(p[0]) <= 500 for p in parts)
+    found = {(int(a) // 21, int(b) // 21, int(n)) for part in parts for a, b, n in zip(*part)}
+    assert found == {(a, b, 20) for a in range(60) for b in range(40)} and sum(len(p[0]) for p in parts) == 2400
