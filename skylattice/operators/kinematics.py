@@ -30,6 +30,64 @@ def actions(frames: DataFrame) -> DataFrame:
     return f.select("episode_id", "frame_idx", step("x").alias("dx"), step("y").alias("dy"), step("z").alias("dz"), "turn", label.alias("action"), size.alias("degrees"), F.coalesce(F.col("target_visible").cast("int"), F.lit(0)).alias("visible"))
 
 
+def action_vectors(frames: DataFrame) -> DataFrame:
+    """The eight numbers of a frame's action: change of position and wrapped turn since the frame before (zeros in the
+    first), the target's recorded velocity and whether it is seen. Null readings give nulls."""
+    pose = F.struct("uav_x", "uav_y", "uav_z", "uav_yaw")
+    f = annotate(frames.select("episode_id", "frame_idx", "uav_x", "uav_y", "uav_z", "uav_yaw", "vx", "vy", "vz", "target_visible"), "episode_id", "frame_idx", lag={"b": pose})
+    first = F.col("b").isNull()
+    step = [F.when(first, 0.0).otherwise(F.col(f"uav_{c}") - F.col("b")[f"uav_{c}"]).alias(f"d{c}") for c in "xyz"]
+    turn = F.when(first, 0.0).otherwise(wrap_to_pi(F.col("uav_yaw") - F.col("b")["uav_yaw"])).alias("turn")
+    return f.select("episode_id", "frame_idx", *step, turn, "vx", "vy", "vz", F.when(F.coalesce("target_visible", F.lit(False)), 1.0).otherwise(0.0).alias("visible"))
+
+
+def filled_times(frames: DataFrame) -> DataFrame:
+    """episode_id, frame_idx, timestamp_s: the recorded times of episodes that have them all; where any is missing, frame
+    number times the mean tick between the first and last known time (0.05 without two)."""
+    counted = annotate(frames.select("episode_id", "frame_idx", "timestamp_s", F.lit(1).alias("one")), "episode_id", "frame_idx", running={"n": F.col("one")})
+    timed = F.when(F.col("timestamp_s").isNotNull(), F.col("n"))
+    per = counted.groupBy("episode_id").agg(F.count(F.lit(1)).alias("rows"), F.count("timestamp_s").alias("known"), F.min(timed).alias("n0"), F.max(timed).alias("n1"), F.min_by("timestamp_s", timed).alias("t0"), F.max_by("timestamp_s", timed).alias("t1"))
+    dt = F.when((F.col("known") >= 2) & (F.col("t1") > F.col("t0")), (F.col("t1") - F.col("t0")) / (F.col("n1") - F.col("n0"))).otherwise(0.05)
+    per = per.select("episode_id", (F.col("known") < F.col("rows")).alias("fill"), dt.alias("dt"))
+    return counted.join(per, "episode_id").select("episode_id", "frame_idx", F.when(F.col("fill"), (F.col("n") - 1) * F.col("dt")).otherwise(F.col("timestamp_s")).alias("timestamp_s"))
+
+
+def waypoint_headings(points: DataFrame) -> DataFrame:
+    """Heading from each point (episode_id, frame_idx, target_x, target_y) to the next, 0 where it doesn't move; the last
+    point repeats the one before."""
+    f = annotate(points.select("episode_id", "frame_idx", "target_x", "target_y"), "episode_id", "frame_idx", lead={"n": F.struct("target_x", "target_y")})
+    dx, dy = F.col("n")["target_x"] - F.col("target_x"), F.col("n")["target_y"] - F.col("target_y")
+    own = F.when(F.col("n").isNotNull(), F.when(dx * dx + dy * dy > 1e-9, F.atan2(dy, dx)).otherwise(0.0))
+    f = annotate(f.select("episode_id", "frame_idx", own.alias("own")), "episode_id", "frame_idx", carry={"kept": F.col("own")})
+    return f.select("episode_id", "frame_idx", F.coalesce("own", "kept", F.lit(0.0)).alias("heading"))
+
+
+def resampled(points: DataFrame, step: float) -> DataFrame:
+    """episode_id, k, x, y: places every `step` metres along the line through the points, from the first on, and linear
+    between them. The way before each point is a running sum over chunks, so long lines are cut like all sequences."""
+    f = annotate(points.select("episode_id", "frame_idx", "target_x", "target_y"), "episode_id", "frame_idx", lag={"p": F.struct("target_x", "target_y")})
+    px, py = F.coalesce(F.col("p")["target_x"], F.col("target_x")), F.coalesce(F.col("p")["target_y"], F.col("target_y"))
+    f = f.select("episode_id", "frame_idx", "target_x", "target_y", px.alias("px"), py.alias("py"), F.col("p").isNull().alias("first"))
+    way = F.sqrt((F.col("target_x") - F.col("px")) ** 2 + (F.col("target_y") - F.col("py")) ** 2)
+    f = annotate(f.withColumn("way", way), "episode_id", "frame_idx", running={"s": F.col("way")})
+    before = F.col("s") - F.col("way")
+    inside = F.when(F.col("first"), F.array(F.lit(0).cast("bigint"))).when(F.floor(F.col("s") / step) > F.floor(before / step), F.sequence(F.floor(before / step) + 1, F.floor(F.col("s") / step)))
+    on = f.withColumn("k", F.explode(inside)).withColumn("t", F.when(F.col("way") > 0, (F.col("k") * step - before) / F.col("way")).otherwise(0.0))
+    return on.select("episode_id", "k", *[(F.col(f"p{c}") + (F.col(f"target_{c}") - F.col(f"p{c}")) * F.col("t")).alias(c) for c in "xy"])
+
+
+def stuck_resets(frames: DataFrame, slow: float = 0.05, patience: int = 6) -> DataFrame:
+    """episode_id, frame_idx where a target that moved less than `slow` at `patience` frames in a row is taken out of its
+    place; counting then begins anew. A run of slow steps resets at each multiple of the patience."""
+    f = annotate(frames.where("target_x is not null and target_y is not null").select("episode_id", "frame_idx", "target_x", "target_y"), "episode_id", "frame_idx", lag={"p": F.struct("target_x", "target_y")})
+    way = F.sqrt((F.col("target_x") - F.col("p")["target_x"]) ** 2 + (F.col("target_y") - F.col("p")["target_y"]) ** 2)
+    f = f.select("episode_id", "frame_idx", F.coalesce(way < slow, F.lit(False)).alias("still"))
+    f = annotate(f, "episode_id", "frame_idx", running={"n": F.lit(1)})
+    f = annotate(f, "episode_id", "frame_idx", carry={"moved": F.when(~F.col("still"), F.col("n"))})
+    length = F.col("n") - F.coalesce("moved", F.lit(0))
+    return f.where(F.col("still") & (F.pmod(length, F.lit(patience)) == 0)).select("episode_id", "frame_idx")
+
+
 def velocities(frames: DataFrame) -> DataFrame:
     """Target velocity by central differences, one-sided at the ends; the recorded one where there is one."""
     f = frames.where("target_x is not null and target_y is not null and timestamp_s is not null").select("episode_id", "frame_idx", "timestamp_s", "target_x", "target_y", "vx", "vy")

@@ -49,6 +49,32 @@ TEMPLATES = {
     ),
 }
 OCCLUSION_PHRASE = "an occluded street"
+# Tiers of difficulties and their templates; phrases that stand in where no image is described.
+TIERS = {"easy": "easy", "medium": "medium", "hide_seek": "hard", "hard": "hard"}
+TIER_TEMPLATES = {
+    "easy": ("Track {appearance}.", "Follow {appearance}.", "Keep tracking {appearance}.", "Stay with {appearance}.", "Maintain tracking of {appearance}."),
+    "medium": (
+        "Track {appearance} that is {behavior}.",
+        "Follow {appearance} while it is {behavior}.",
+        "Keep tracking {appearance} as it keeps {behavior}.",
+        "Stay with {appearance}, which is {behavior}.",
+        "Maintain tracking of {appearance} that is {behavior}.",
+    ),
+    "hard": (
+        "Track {appearance} that is {behavior} near {cover}.",
+        "Follow {appearance} as it is {behavior} around {cover}.",
+        "Keep tracking {appearance}, which is {behavior} while using {cover}.",
+        "Stay with {appearance} that is {behavior} amid {cover}.",
+        "Maintain tracking of {appearance} that is {behavior} close to {cover}.",
+    ),
+}
+STAND_INS = {
+    "car": ("the small car", "the compact sedan", "the dark-colored car", "the little hatchback"),
+    "vehicle": ("the small vehicle", "the moving vehicle"),
+    "default": ("the small motorized car", "the tracked vehicle"),
+}
+CAR_WORDS = ("car", "sedan", "taxi", "hatchback")
+COVER_PHRASE = "the nearby buildings"
 FEWEST, MOST, SAME = 5, 30, 0.85
 
 
@@ -187,6 +213,55 @@ def instruction(rows: DataFrame) -> DataFrame:
     return out.select("episode_id", "family", "template_no", F.when(F.size(violations("instruction")) > 0, safe).otherwise(F.col("instruction")).alias("instruction"))
 
 
+def tier(difficulty: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), difficulty), F.lit("medium"))
+
+
+def seeded(key: Column, at: Column) -> Column:
+    """A number that puts choices in a pseudorandom order by key, the same on every engine."""
+    return F.md5(F.concat_ws("|", key, at.cast("string")))
+
+
+def tier_fills(key: Column, difficulty: Column, appearance: Column, behavior: Column, cover: Column, n: int = 3) -> Column:
+    """array<string>: up to n different filled templates of the difficulty's tier, in an order drawn by key; white space
+    collapsed. Null slots are filled with nothing."""
+    fill = lambda t: collapsed(F.replace(F.replace(F.replace(t, F.lit("{appearance}"), F.coalesce(appearance, F.lit(""))), F.lit("{behavior}"), F.coalesce(behavior, F.lit(""))), F.lit("{cover}"), F.coalesce(cover, F.lit(""))))
+    table = F.create_map(*[x for k, v in TIER_TEMPLATES.items() for x in (F.lit(k), lit_array(v))])
+    pool = F.element_at(table, tier(difficulty))
+    drawn = F.array_sort(F.transform(pool, lambda t, i: F.struct(seeded(key, i).alias("o"), fill(t).alias("t"))))
+    return F.slice(F.array_distinct(F.transform(drawn, lambda d: d["t"])), 1, n)
+
+
+def stand_in_appearance(key: Column, label: Column) -> Column:
+    """A phrase for a target that wasn't described, drawn by key from the label's kind."""
+    low = F.lower(F.coalesce(label, F.lit("")))
+    car = F.lit(False)
+    for w in CAR_WORDS:
+        car = car | low.contains(w)
+    kind = F.when(car, "car").when(low.contains("vehicle"), "vehicle").otherwise("default")
+    phrases = F.element_at(F.create_map(*[x for k, v in STAND_INS.items() for x in (F.lit(k), lit_array(v))]), kind)
+    place = F.conv(F.substring(seeded(key, kind), 1, 6), 16, 10).cast("bigint") % F.size(phrases)
+    return F.element_at(phrases, place.cast("int") + 1)
+
+
+def last_known(rows: DataFrame, group: str, order: str, value: Column, otherwise: str = "vehicle") -> DataFrame:
+    """Per group the last value, by order, that is neither null nor empty; `otherwise` for groups without one."""
+    kept = F.when(value != "", value)
+    return rows.groupBy(group).agg(F.coalesce(F.max_by(kept, F.when(kept.isNotNull(), F.col(order))), F.lit(otherwise)).alias("label"))
+
+
+def first_known(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """Per group the first value, by order, of each column that isn't null."""
+    return rows.groupBy(group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def first_category(names: DataFrame, priority: dict[str, int]) -> DataFrame:
+    """category, name: each name once, in the first category (by priority) that lists it."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv]), F.col("category"))
+    best = names.where("name is not null and category is not null").withColumn("r", rank).where("r is not null").groupBy("name").agg(F.min_by("category", "r").alias("category"))
+    return best.select("category", "name")
+
+
 def instruction_stats(results: DataFrame) -> DataFrame:
     """One row: episodes, instructions, rejected, blacklist_rejected, words. results: kept, rejected, one row each."""
     per = results.select(
