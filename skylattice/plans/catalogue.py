@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skylattice.plans import checks, problems, projections, search, space, texts, tracking
+from skylattice.plans import checks, problems, projections, search, sight, space, texts, tracking
 
-MODULES = (tracking, projections, texts, space, search, checks, problems)
+MODULES = (tracking, projections, texts, space, sight, search, checks, problems)
 
 
 def queries() -> dict:
