@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import wrap_to_pi
-from skylattice.operators.sequence import annotate
+from skylattice.operators.sequence import annotate, following
 
 #: Fixed values of the behaviour classes.
 COVER, DODGE_DEG, ZIGZAG, DEADBAND_DEG, LEAST_STEP = 0.12, 35.0, 4, 8.0, 1e-3
@@ -127,13 +125,9 @@ def lookahead(frames: DataFrame, k: int = 4) -> DataFrame:
     """Mean occlusion over this and the next k frames; at the end the last frame stands in for missing ones. Only the
     last k frames of an episode look past its end, so their number decides the repetition."""
     f = frames.select("episode_id", "frame_idx", F.when(F.coalesce("line_of_sight_clear", F.lit(True)), 0).otherwise(1).alias("hidden"))
-    f = annotate(f, "episode_id", "frame_idx", lead={"n1": F.col("hidden")})
-    for i in range(2, k + 1):
-        f = annotate(f, "episode_id", "frame_idx", lead={f"n{i}": F.col(f"n{i - 1}")})
-    total, last = F.col("hidden"), F.col("hidden")
-    for i in range(1, k + 1):
-        last = F.coalesce(f"n{i}", last)
-        total = total + last
+    f = following(f, "episode_id", "frame_idx", F.col("hidden"), k, "next")
+    last = F.coalesce(F.try_element_at("next", F.lit(-1)), F.col("hidden"))
+    total = F.aggregate("next", F.col("hidden"), lambda a, x: a + x) + last * (k - F.size("next"))
     return f.select("episode_id", "frame_idx", "hidden", (total / (k + 1)).alias("risk"))
 
 
@@ -191,26 +185,6 @@ def smoothed(frames: DataFrame, column: str, tau: float = 0.5, seconds: float =
     return by_chunk(f.join(begin, ["episode_id", "chunk"]), ["episode_id", "chunk"], ["frame_idx"]).mapInArrow(values, "episode_id string, frame_idx int, smoothed double")
 
 
-def viewpoints(frames: DataFrame, distance: float = 12.0, altitude: float = 18.0, angles: int = 12, hfov_half: float = math.radians(35.0), reach: float = 100.0) -> DataFrame:
-    """Per frame the best of 12 x 3 x 3 candidate viewpoints around the target: seen is good, off the wished distance,
-    low flight and hidden targets are bad. Ties go to the first candidate. Candidates are one array of constants and the
-    choice is one aggregate over it, so no rows are multiplied and nothing is shuffled."""
-    places = [(i, -math.pi + 2 * math.pi * i / angles, distance * r, altitude * a) for i in range(angles) for r in (0.8, 1.0, 1.2) for a in (0.85, 1.0, 1.15)]
-    candidates = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r * math.cos(t)).alias("dx"), F.lit(r * math.sin(t)).alias("dy"), F.lit(alt).alias("alt"), F.lit(r).alias("r")) for n, (_, t, r, alt) in enumerate(places)])
-    hidden = F.when(F.coalesce("line_of_sight_clear", F.lit(True)), 0.0).otherwise(1.0)
-
-    def score(c: Column) -> Column:
-        off = F.least(F.lit(1.0), F.abs(c["r"] - distance) / distance)
-        low = F.when(c["alt"] < 6.0, 1.0).otherwise(0.0)
-        move = F.sqrt((F.col("target_x") + c["dx"] - F.col("uav_x")) ** 2 + (F.col("target_y") + c["dy"] - F.col("uav_y")) ** 2)
-        seen = F.when(c["r"] <= reach, 1.0).otherwise(0.0)
-        return seen - 0.8 * hidden - 0.3 * off - low - 0.2 * 0.7 * F.least(F.lit(1.0), move / 12.0)
-
-    scored = F.transform(candidates, lambda c: F.struct(F.floor(score(c) * 1e6 + 0.5).cast("bigint").alias("score"), (-c["n"]).alias("o")))
-    best = F.array_max(scored)
-    return frames.where("target_x is not null and target_y is not null and uav_x is not null and uav_y is not null").select("episode_id", "frame_idx", (-best["o"]).alias("candidate"), best["score"].alias("score_e6"))
-
-
 def thinned(points: DataFrame, group: str, order: str, score: str, apart: float) -> DataFrame:
     """Greedy non-maximum suppression of a group's points (x, y): by falling score, keep those at least `apart` from all
     kept. Kept points are found through a grid, so a group's cost grows with its size. A group is one scene's field."""

@@ -7,18 +7,13 @@ the best by one aggregation. Ties go to the first candidate.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import wrap_to_pi
 from skylattice.operators import occupancy as occ
-from skylattice.operators.chunks import by_chunk, changes, codes, floats, whole_chunks
 from skylattice.operators.metrics import scaled
-from skylattice.session import materialize
 
 
 def evaluated(frames: DataFrame, hfov: Column, reach: float = 100.0) -> DataFrame:
@@ -109,80 +104,3 @@ def lifted(points: DataFrame, voxel_set: DataFrame, g: occ.Grid, lifts: tuple[in
     every = placed.select("point_id", F.explode(F.sequence(F.lit(0), F.lit(len(lifts) - 1))).alias("k"))
     free = every.join(taken, ["point_id", "k"], "left_anti").groupBy("point_id").agg(F.min("k").alias("k"))
     return points.select("point_id").join(free, "point_id", "left").select("point_id", F.try_element_at(F.array(*[F.lit(n) for n in lifts]), F.col("k") + 1).alias("lift"))
-
-
-# A plan whose choice depends on the one before ------------------------------------------------------------------------
-
-ANGLES, DISTANCE, ALTITUDE = 12, 12.0, 18.0
-PLACES = np.array([(r * math.cos(a), r * math.sin(a), h, r) for a in (-math.pi + 2 * math.pi * i / ANGLES for i in range(ANGLES)) for r in (0.8 * DISTANCE, DISTANCE, 1.2 * DISTANCE) for h in (0.85 * ALTITUDE, ALTITUDE, 1.15 * ALTITUDE)])
-#: Yaw from a candidate towards the target.
-YAWS = np.arctan2(-PLACES[:, 1], -PLACES[:, 0])
-#: Cost of turning from one candidate's yaw to another's, without the way between them.
-TURNS = 0.2 * 0.3 * np.abs((YAWS[:, None] - YAWS[None, :] + math.pi) % (2 * math.pi) - math.pi) / math.pi
-
-
-def next_choice(base: np.ndarray, before: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """For each candidate chosen before, the one chosen now: base score less the way and the turn. step: how far the
-    target moved."""
-    dx = step[0] + PLACES[None, :, 0] - PLACES[before][:, None, 0]
-    dy = step[1] + PLACES[None, :, 1] - PLACES[before][:, None, 1]
-    way = 0.2 * 0.7 * np.minimum(1.0, np.sqrt(dx * dx + dy * dy) / DISTANCE)
-    return np.argmax(np.round(base[None, :] - way - TURNS[before], 9), axis=1)
-
-
-def planned(frames: DataFrame, block: int = 512) -> DataFrame:
-    """The viewpoint chosen at each frame when staying near the last choice counts.
-
-    The choice at a frame is a function of the choice before it, and there are 108 choices; so each chunk of an episode
-    is a map of 108 numbers, chunks are composed in order (a bounded number per episode), and every chunk is then
-    followed from its true beginning. An episode with a third of all frames is planned by all tasks."""
-    f = frames.where("target_x is not null and target_y is not null").select("episode_id", F.expr(f"cast(floor(frame_idx / {block}) as int)").alias("chunk"), "frame_idx", "target_x", "target_y", F.when(F.coalesce("line_of_sight_clear", F.lit(True)), 0.0).otherwise(1.0).alias("hidden"))
-    from skylattice.operators.sequence import annotate
-
-    f = annotate(f, "episode_id", "frame_idx", lag={"p": F.struct("target_x", "target_y")})
-    f = materialize(f.select("episode_id", "chunk", "frame_idx", "hidden", (F.col("target_x") - F.col("p")["target_x"]).alias("sx"), (F.col("target_y") - F.col("p")["target_y"]).alias("sy")), "plan")
-    fixed = 1.0 - 0.3 * np.minimum(1.0, np.abs(PLACES[:, 3] - DISTANCE) / DISTANCE)
-
-    def parts(table: pa.Table):
-        bounds = np.append(np.flatnonzero(changes([codes(table["episode_id"]), codes(table["chunk"])])), table.num_rows)
-        hidden, sx, sy = (floats(table[c])[0] for c in ("hidden", "sx", "sy"))
-        return bounds, fixed[None, :] - 0.8 * hidden[:, None], np.stack([sx, sy], axis=1)
-
-    def follow(base: np.ndarray, step: np.ndarray, state: np.ndarray) -> Iterator[np.ndarray]:
-        for b, s in zip(base, step):
-            if np.isnan(s[0]):
-                state = np.full(len(state), int(np.argmax(np.round(b, 9))))
-            else:
-                kept, back = np.unique(state, return_inverse=True)
-                state = next_choice(b, kept, s)[back]
-            yield state
-
-    def maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_chunks(batches, ["episode_id", "chunk"]):
-            bounds, base, step = parts(t)
-            ends = [list(follow(base[a:b], step[a:b], np.arange(len(PLACES))))[-1].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
-            at = pa.array(bounds[:-1])
-            yield pa.RecordBatch.from_arrays([t["episode_id"].take(at).combine_chunks(), t["chunk"].take(at).combine_chunks(), pa.array(ends, pa.list_(pa.int32()))], ["episode_id", "chunk", "map"])
-
-    def begins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_chunks(batches, ["episode_id"]):
-            new, state, out = changes([codes(t["episode_id"])]), 0, []
-            for first, m in zip(new, t["map"].to_pylist()):
-                state = 0 if first else state
-                out.append(state)
-                state = m[state]
-            yield pa.RecordBatch.from_arrays([t["episode_id"].combine_chunks(), t["chunk"].combine_chunks(), pa.array(out, pa.int32())], ["episode_id", "chunk", "begin"])
-
-    def choices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_chunks(batches, ["episode_id", "chunk"]):
-            bounds, base, step = parts(t)
-            begin = codes(t["begin"])
-            out = [s[0] for a, b in zip(bounds[:-1], bounds[1:]) for s in follow(base[a:b], step[a:b], begin[a : a + 1])]
-            yield pa.RecordBatch.from_arrays([t["episode_id"].combine_chunks(), t["frame_idx"].combine_chunks(), pa.array(np.array(out, dtype=np.int32))], ["episode_id", "frame_idx", "candidate"])
-
-    keys = ["episode_id", "chunk"]
-    composed = by_chunk(f, keys, ["frame_idx"]).mapInArrow(maps, "episode_id string, chunk int, map array<int>")
-    begin = by_chunk(composed, ["episode_id"], ["chunk"]).mapInArrow(begins, "episode_id string, chunk int, begin int")
-    return by_chunk(f.join(begin, keys), keys, ["frame_idx"]).mapInArrow(choices, "episode_id string, frame_idx int, candidate int")
-
-

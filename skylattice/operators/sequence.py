@@ -69,6 +69,19 @@ def annotate(
     )
 
 
+def following(df: DataFrame, entity: str, order: str, value: Column, k: int, name: str, block: int = BLOCK) -> DataFrame:
+    """df with an array of the values in the next k rows, fewer at an entity's end. (entity, order) must be unique and not
+    null; order must be a 32-bit int. One shuffle; a chunk's first k values are handed to the chunks before it."""
+    rows = df.withColumn(CHUNK, F.expr(f"cast(floor(`{order}` / {block}) as int)")).withColumn("_v", F.struct(value.alias("v"))).repartition(entity, CHUNK)
+    at = Window.partitionBy(entity, CHUNK).orderBy(order)
+    placed = rows.select("*", F.collect_list("_v").over(at.rowsBetween(1, k)).alias("_inside"), F.row_number().over(at).alias("_place"))
+    heads = placed.where(F.col("_place") <= k).groupBy(entity, CHUNK).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_v"))), lambda s: s["_v"]).alias("_head"))
+    over = Window.partitionBy(entity).orderBy(CHUNK).rowsBetween(1, k)  # each chunk has a row, so k chunks have k values
+    after = heads.select(F.col(entity).alias("_k0"), F.col(CHUNK).alias("_k1"), F.flatten(F.collect_list("_head").over(over)).alias("_after"))
+    joined = placed.join(after, (F.col(entity) == F.col("_k0")) & (F.col(CHUNK) == F.col("_k1")))
+    return joined.select(*df.columns, F.transform(F.slice(F.concat("_inside", "_after"), 1, k), lambda s: s["v"]).alias(name))
+
+
 def runs(df: DataFrame, entity: str, order: str, state: str) -> DataFrame:
     """Gaps and islands: entity, run (from 1), state, length, first_order, last_order of maximal runs of equal state."""
     marked = annotate(df.select(entity, order, state), entity, order, lag={"_before": F.struct(F.col(state).alias("s"))})

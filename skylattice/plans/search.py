@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylattice.operators import occupancy as occ
-from skylattice.operators import planning
+from skylattice.operators import planning, viewpoints
 from skylattice.operators.metrics import distinct_episodes, distinct_frames, readable, scaled
 from skylattice.plans import space
 from skylattice.plans.tracking import EPISODES, FRAMES
@@ -63,12 +63,21 @@ def drone_lift(spark, d):
     return planning.lifted(p, space._voxels(spark, d), space.GRID)
 
 
+def _judged(spark, d):
+    v, flags, _ = _world(spark, d)
+    return viewpoints.judged(distinct_frames(table(spark, d, "frame_records")), v, flags, space.GRID)
+
+
+def best_viewpoint(spark, d):
+    return viewpoints.best(_judged(spark, d))
+
+
 def expert_plan(spark, d):
-    p = planning.planned(distinct_frames(table(spark, d, "frame_records")))
+    p = viewpoints.planned(_judged(spark, d))
     return p.groupBy("episode_id", "candidate").agg(F.count(F.lit(1)).alias("frames"))
 
 
-QUERIES = {q.__name__: q for q in (frame_evaluation, clear_vantage, hide_goal, start_gates, wall_probe, alley_corridors, drone_lift, expert_plan)}
+QUERIES = {q.__name__: q for q in (frame_evaluation, clear_vantage, hide_goal, start_gates, wall_probe, alley_corridors, drone_lift, best_viewpoint, expert_plan)}
 
 e = space.e
 _OFF = "coalesce(drone_bearing_to_target_rad, ((atan2(target_y - uav_y, target_x - uav_x) - uav_yaw + pi()) - 2 * pi() * floor((atan2(target_y - uav_y, target_x - uav_x) - uav_yaw + pi()) / (2 * pi())) - pi()))"
@@ -78,7 +87,26 @@ _HIT = f"{space._SAMPLES}, vx AS (SELECT DISTINCT ix, iy, iz FROM pt), hit AS (S
 
 _ROAD_HEAD = space.ORACLE["road_score"].rpartition("SELECT start_id, heading, forward")[0]
 
+_SPOTS = ", ".join(f"({i}, {p[0]!r}::DOUBLE, {p[1]!r}::DOUBLE, {p[3]!r}::DOUBLE)" for i, p in enumerate(viewpoints.PLACES[::3].tolist()))
+_HEIGHTS = ", ".join(f"({i}, {h!r}::DOUBLE, {viewpoints.EYES[i == 2]!r}::DOUBLE)" for i, h in enumerate(viewpoints.PLACES[:3, 2].tolist()))
+_BEST = f"""WITH {space._FLAGS}, {FRAMES}, vx AS (SELECT DISTINCT ix, iy, iz FROM pt), sx AS (SELECT ix, iy, iz FROM vx JOIN fl USING (ix, iy) WHERE blocks), sp(s, dx, dy, r) AS (VALUES {_SPOTS}), hg(h, alt, eye) AS (VALUES {_HEIGHTS}),
+f0 AS (SELECT episode_id, frame_idx, target_x AS x, -target_y AS y, greatest(0.5, coalesce(-target_z, 0.5)) AS agl, {space._cell('target_x')} AS cx, {space._cell('(-target_y)')} AS cy FROM fr WHERE abs(target_x) < 1e5 AND abs(target_y) < 1e5),
+f1 AS (SELECT episode_id, frame_idx, x, y, greatest(coalesce(ground_z, 0.0) + agl, 0.5) AS z, row_number() OVER (PARTITION BY episode_id ORDER BY frame_idx) AS rn, count(*) OVER (PARTITION BY episode_id) AS n FROM f0 LEFT JOIN co ON co.ix = cx AND co.iy = cy),
+f2 AS (SELECT a.episode_id, a.frame_idx, a.x, a.y, b.x AS bx, b.y AS by_, b.z AS bz, k FROM f1 a, (SELECT unnest(range(5)) AS k) JOIN f1 b ON b.episode_id = a.episode_id AND b.rn = least(a.rn + k, a.n)),
+r0 AS (SELECT row_number() OVER () AS ray_id, f2.*, s, eye, r, x + dx AS ax, y + dy AS ay, eye AS az FROM f2, sp, (SELECT DISTINCT eye FROM hg)),
+r1 AS (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) AS length, atan2(by_ - ay, bx - ax) - atan2(y - ay, x - ax) AS turn FROM r0),
+r2 AS (SELECT *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) <= 100 AND abs((turn + pi()) - 2 * pi() * floor((turn + pi()) / (2 * pi())) - pi()) <= radians(35.0) AS view FROM r1),
+s0 AS (SELECT ray_id, ax, ay, az, bx, by_, bz, greatest(4, CAST(floor(length / 4.0) AS INT)) AS steps FROM r2 WHERE length <= 100 AND length >= 2), s1 AS (SELECT *, unnest(range(1, steps)) AS step FROM s0),
+s2 AS (SELECT ray_id, {space._cell('(ax + (bx - ax) * (step / steps))')} AS ix, {space._cell('(ay + (by_ - ay) * (step / steps))')} AS iy, {space._cell('(az + (bz - az) * (step / steps))')} AS iz FROM s1),
+ht AS (SELECT DISTINCT ray_id, true AS hit FROM s2 JOIN sx USING (ix, iy, iz)),
+vs AS (SELECT episode_id, frame_idx, s, eye, any_value(x) AS x, any_value(y) AS y, any_value(r) AS r, count(*) FILTER (view AND hit IS NULL) AS seen, count(*) FILTER (hit) AS hidden FROM r2 LEFT JOIN ht USING (ray_id) GROUP BY 1, 2, 3, 4),
+cd AS (SELECT vs.*, h, alt, s * 3 + h AS n, {space._cell('(x + dx)')} AS cx, {space._cell('(y + dy)')} AS cy, {space._cell('alt')} AS cz FROM vs JOIN hg USING (eye) JOIN sp USING (s)),
+cl AS (SELECT cd.*, CASE WHEN vx.ix IS NOT NULL THEN 1.0 WHEN alt < roof_z + 1 THEN 0.7 ELSE 0.0 END AS hit FROM cd LEFT JOIN vx ON vx.ix = cx AND vx.iy = cy AND vx.iz = cz LEFT JOIN co ON co.ix = cx AND co.iy = cy),
+sc AS (SELECT episode_id, frame_idx, n, {e('seen / 5.0 - 0.8 * hidden / 5.0 - 0.3 * least(1.0, abs(cl.r - 12.0) / 12.0) - hit', 6)} AS score FROM cl)
+SELECT episode_id, frame_idx, n AS candidate, score AS score_e6 FROM sc QUALIFY row_number() OVER (PARTITION BY episode_id, frame_idx ORDER BY score DESC, n) = 1"""
+
 ORACLE = {
+    "best_viewpoint": _BEST,
     "frame_evaluation": f"""WITH {FRAMES}, {EPISODES}, c AS (SELECT fr.*, radians(camera_config.hfov_deg) AS hfov, {_OFF} AS off FROM fr JOIN ep USING (episode_id)),
       g AS (SELECT *, abs(off) <= hfov / 2 AND sqrt((target_x - uav_x) ** 2 + (target_y - uav_y) ** 2) <= 100 AS geo FROM c), v AS (SELECT *, coalesce(in_camera_frustum, geo) AS fru FROM g),
       w AS (SELECT *, coalesce(target_visible, fru AND coalesce(line_of_sight_clear, true)) AS vis FROM v)

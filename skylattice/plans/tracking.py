@@ -130,10 +130,6 @@ def smoothed_distance(spark, d):
     return s.select("episode_id", "frame_idx", scaled(F.col("smoothed"), 3).alias("smoothed_e3"))
 
 
-def best_viewpoint(spark, d):
-    return kinematics.viewpoints(frames(spark, d))
-
-
 def stride_sample(spark, d):
     f = annotate(frames(spark, d).select("episode_id", "frame_idx"), "episode_id", "frame_idx", running={"n": F.lit(1)})
     return f.where((F.col("n") - 1) % 5 == 0).select("episode_id", "frame_idx")
@@ -198,7 +194,7 @@ QUERIES = {
     for q in (
         episode_metrics, redetection_metrics, metrics_summary, consistency_report, reason_counts, report_cube, report_rollup, tier_counts, visible_runs,
         relative_geometry, pixel_projection, visibility_score, action_labels, velocity_central, heading_carry, behavior_class, lookahead_occlusion,
-        smoothed_distance, best_viewpoint, stride_sample, trail_window, first_visible, top_frames, policy_comparison, initial_poses, environment_json, session_gaps,
+        smoothed_distance, stride_sample, trail_window, first_visible, top_frames, policy_comparison, initial_poses, environment_json, session_gaps,
     )
 }
 
@@ -267,7 +263,6 @@ _DOWN = f"({_DZ} - body_down_m)"
 _HEADINGS = f"""h0 AS (SELECT *, target_x - lag(target_x) OVER w AS dx, target_y - lag(target_y) OVER w AS dy FROM fr WHERE target_x IS NOT NULL AND target_y IS NOT NULL WINDOW w AS {_ORDER}),
 h1 AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-3 THEN atan2(dy, dx) END AS h FROM h0),
 hd AS (SELECT episode_id, frame_idx, target_visible, line_of_sight_clear, coalesce(last_value(h IGNORE NULLS) OVER w, 0.0) AS heading FROM h1 WINDOW w AS {_ORDER})"""
-_CAND = [(n, -3.141592653589793 + 2 * 3.141592653589793 * i / 12, r, a) for n, (i, r, a) in enumerate((i, 12.0 * r, 18.0 * a) for i in range(12) for r in (0.8, 1.0, 1.2) for a in (0.85, 1.0, 1.15))]
 
 ORACLE = {
     "episode_metrics": _METRICS
@@ -308,10 +303,6 @@ ORACLE = {
     "lookahead_occlusion": f"""WITH {FRAMES}, a AS (SELECT episode_id, frame_idx, CASE WHEN coalesce(line_of_sight_clear, true) THEN 0 ELSE 1 END AS h FROM fr),
       b AS (SELECT *, lead(h, 1) OVER w AS n1, lead(h, 2) OVER w AS n2, lead(h, 3) OVER w AS n3, lead(h, 4) OVER w AS n4, last_value(h) OVER (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM a WINDOW w AS {_ORDER})
       SELECT episode_id, frame_idx, h AS hidden, {e('(h + coalesce(n1, l) + coalesce(n2, l) + coalesce(n3, l) + coalesce(n4, l)) / 5.0')} AS risk_e4 FROM b""",
-    "best_viewpoint": f"""WITH {FRAMES}, c(n, t, r, alt) AS (VALUES {", ".join(f"({n}, {t!r}::DOUBLE, {r!r}::DOUBLE, {a!r}::DOUBLE)" for n, t, r, a in _CAND)}),
-      s AS (SELECT episode_id, frame_idx, n, {e("1.0 - 0.8 * CASE WHEN coalesce(line_of_sight_clear, true) THEN 0.0 ELSE 1.0 END - 0.3 * least(1.0, abs(r - 12.0) / 12.0) - CASE WHEN alt < 6 THEN 1.0 ELSE 0.0 END - 0.2 * 0.7 * least(1.0, sqrt((target_x + r * cos(t) - uav_x) ** 2 + (target_y + r * sin(t) - uav_y) ** 2) / 12.0)", 6)} AS score
-        FROM fr, c WHERE target_x IS NOT NULL AND target_y IS NOT NULL AND uav_x IS NOT NULL AND uav_y IS NOT NULL)
-      SELECT episode_id, frame_idx, n AS candidate, score AS score_e6 FROM s QUALIFY row_number() OVER (PARTITION BY episode_id, frame_idx ORDER BY score DESC, n) = 1""",
     "stride_sample": f"WITH {FRAMES} SELECT episode_id, frame_idx FROM fr QUALIFY (row_number() OVER {_ORDER} - 1) % 5 = 0",
     "trail_window": f"WITH {FRAMES}, a AS (SELECT episode_id, frame_idx, {e('coalesce(drone_distance_m, 0.0)', 3)} AS x FROM fr) SELECT episode_id, frame_idx, CAST(sum(x) OVER w AS BIGINT) AS total_e3, count(*) OVER w AS frames FROM a WINDOW w AS (PARTITION BY episode_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING)",
     "first_visible": f"WITH {FRAMES} SELECT episode_id, min(frame_idx) AS frame_idx, count(*) AS visible FROM fr WHERE target_visible GROUP BY 1",
