@@ -2,8 +2,9 @@
 
 Spikes are searched by robust principal components. The readings of an entity chunk are laid out as a profile
 matrix (rows are successive stretches of WIDTH ticks, vector components stacked), which is split into a low-rank
-part, the normal motion, and a sparse part. Readings with a sparse part beyond CANDIDATE usual changes are candidates,
-and an exact check against their neighbours decides. Range and constant runs are tested on their own.
+part, the normal motion, and a sparse part. Readings with a sparse part beyond CANDIDATE usual changes leave the normal
+motion, as spikes do and jumps to another level; an exact check against their neighbours tells the two apart. Readings
+out of range are masked beforehand, so those beside them are checked too. Range and constant runs are tested on their own.
 
 Plan: one shuffle by (episode, chunk) for the summaries (usual change, chunk ends, constant runs), a small merge per
 episode for sequences of more than one chunk, one more shuffle by (episode, chunk) with the merged context added as
@@ -26,8 +27,8 @@ from skylattice.session import BLOCK, materialize
 FIELDS = ("drone_distance_m", "target_velocity", "target_pose_world")
 COMPONENTS = (("d",), ("vx", "vy", "vz"), ("px", "py", "pz"))
 WIDTH = 8
-#: Profile values beyond this many usual changes off the low-rank part are candidates.
-CANDIDATE = 6.0
+#: Readings whose sparse part is beyond this many usual changes are spikes or jumps; the rule's limit is 20.
+CANDIDATE = 12.0
 ITERATIONS = 18
 #: Weight of the sparse part against the usual 1 / sqrt(rows): below 1, so that a stretch of three spikes in all
 #: components of a short series still is cheaper as sparse than as a low-rank part.
