@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import wrap_to_pi
+from skylattice.operators.chunks import by_chunk, changes, codes, floats, whole_chunks
+from skylattice.operators.greedy import taken
 from skylattice.operators.sequence import annotate, following
+from skylattice.session import materialize
 
 #: Fixed values of the behaviour classes.
 COVER, DODGE_DEG, ZIGZAG, DEADBAND_DEG, LEAST_STEP = 0.12, 35.0, 4, 8.0, 1e-3
@@ -131,28 +136,34 @@ def lookahead(frames: DataFrame, k: int = 4) -> DataFrame:
     return f.select("episode_id", "frame_idx", "hidden", (total / (k + 1)).alias("risk"))
 
 
-def smoothed(frames: DataFrame, column: str, tau: float = 0.5, seconds: float = 1e9) -> DataFrame:
-    """Exponential smoothing x += clip(dt / tau, 0, 1) * (new - x) of a column along an episode's frames.
+def fold(x: float, a: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """x after each step x += a (new - x): affine maps, composed by doubling, so a chunk takes a logarithmic number of
+    array operations."""
+    scale, shift = 1.0 - a, a * new
+    step = 1
+    while step < len(a):
+        shift[step:] = scale[step:] * shift[:-step] + shift[step:]
+        scale[step:] = scale[step:] * scale[:-step]
+        step *= 2
+    return scale * x + shift
+
+
+def smoothed(frames: DataFrame, column: str, tau: float = 0.5, exponential: bool = False) -> DataFrame:
+    """Exponential smoothing x += a (new - x) of a column along an episode's frames, with a = clip(dt / tau, 0, 1) or, if
+    exponential, 1 - exp(-dt / tau). The first reading stands.
 
     The recursion is affine: x' = (1 - a) x + a new. Affine maps compose, so each chunk of an episode is first reduced to
     one map, the maps are composed over chunks (a bounded number per episode), and each chunk then starts from its true
     value; no task handles a whole episode."""
-    from skylattice.operators.chunks import by_chunk, changes, codes, floats, whole_chunks
-    from skylattice.session import BLOCK, materialize
-    import pyarrow as pa
+    from skylattice.session import BLOCK
 
     f = frames.where(F.col(column).isNotNull() & F.col("timestamp_s").isNotNull()).select("episode_id", "frame_idx", "timestamp_s", F.col(column).cast("double").alias("new"))
     f = annotate(f, "episode_id", "frame_idx", lag={"t0": F.col("timestamp_s")})
-    share = F.when(F.col("t0").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("timestamp_s") - F.col("t0")) / tau)))
+    dt = (F.col("timestamp_s") - F.col("t0")) / tau
+    step = 1.0 - F.exp(-F.greatest(F.lit(0.0), dt)) if exponential else F.greatest(F.lit(0.0), F.least(F.lit(1.0), dt))
+    share = F.when(F.col("t0").isNull(), 1.0).otherwise(step)
     f = materialize(f.select("episode_id", F.expr(f"cast(floor(frame_idx / {BLOCK}) as int)").alias("chunk"), "frame_idx", "new", share.alias("a")), "ema")
 
-    def fold(x: float, a: np.ndarray, new: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a))
-        for i in range(len(a)):
-            x = x + a[i] * (new[i] - x)
-            out[i] = x
-        return out
-
     def maps(batches):
         for t in whole_chunks(batches, ["episode_id", "chunk"]):
             bounds = np.append(np.flatnonzero(changes([codes(t["episode_id"]), codes(t["chunk"])])), t.num_rows)
@@ -185,19 +196,48 @@ def smoothed(frames: DataFrame, column: str, tau: float = 0.5, seconds: float =
     return by_chunk(f.join(begin, ["episode_id", "chunk"]), ["episode_id", "chunk"], ["frame_idx"]).mapInArrow(values, "episode_id string, frame_idx int, smoothed double")
 
 
-def thinned(points: DataFrame, group: str, order: str, score: str, apart: float) -> DataFrame:
-    """Greedy non-maximum suppression of a group's points (x, y): by falling score, keep those at least `apart` from all
-    kept. Kept points are found through a grid, so a group's cost grows with its size. A group is one scene's field."""
-
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([score, order], ascending=[False, True], kind="stable")
-        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        chosen = []
-        for i, (x, y) in enumerate(zip(part["x"], part["y"])):
-            cx, cy = int(x // apart), int(y // apart)
-            if all((x - a) ** 2 + (y - b) ** 2 >= apart * apart for i_ in (-1, 0, 1) for j in (-1, 0, 1) for a, b in grid.get((cx + i_, cy + j), ())):
-                grid.setdefault((cx, cy), []).append((x, y))
-                chosen.append(i)
-        return part.iloc[chosen]
-
-    return points.groupBy(group).applyInPandas(keep, points.schema)
+def thinned(points: DataFrame, apart: float) -> DataFrame:
+    """Greedy non-maximum suppression of points (point_id, x, y, score): by falling score (ties in a hash order, which keeps chains of conflicts short), those at least
+    `apart` from all taken before them. Points meet in cells as large as `apart`, and conflicts are settled in rounds."""
+    cell = lambda c: F.floor(F.col(c) / apart).cast("bigint")
+    p = materialize(points.where("point_id is not null and x is not null and y is not null and score is not null").select("point_id", "x", "y", F.struct((-F.col("score")).alias("s"), F.xxhash64("point_id").alias("h"), "point_id").alias("at")), "peaks")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = p.withColumn("o", around).select(F.col("point_id").alias("before"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("at").alias("a"), (cell("x") + F.col("o.i")).alias("cx"), (cell("y") + F.col("o.j")).alias("cy"))
+    b = p.select(F.col("point_id").alias("after"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("at").alias("b"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 < apart * apart
+    kept = taken(p.select(F.col("point_id").alias("node"), F.lit(False).alias("given")), a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & near).select("before", "after"))
+    return points.join(kept.select(F.col("node").alias("point_id")), "point_id", "left_semi")
+
+
+def spaced(points: DataFrame, apart: float = 2.0) -> DataFrame:
+    """episode_id, frame_idx of the points (episode_id, frame_idx, target_x, target_y) that are at least `apart` from the
+    last one kept; the first is kept. What is kept depends on all kept before, so an episode streams through one task,
+    which holds one batch and the last kept point."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, bounds = batch.column(0), np.append(np.flatnonzero(changes([codes(batch.column(0))])), batch.num_rows)
+            xy = np.stack([floats(pa.chunked_array([batch.column(i)]))[0] for i in (2, 3)], axis=1)
+            keep = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                name = names[int(a)].as_py()
+                last = last if name == entity else None
+                entity, i = name, int(a)
+                while i < b:
+                    if last is not None:  # look ahead in stretches for the next point that is far enough
+                        far = np.flatnonzero(((xy[i : i + 64] - last) ** 2).sum(axis=1)[: b - i] >= apart * apart)
+                        if not len(far):
+                            i += 64
+                            continue
+                        i += int(far[0])
+                    keep.append(i)
+                    last, i = xy[i], i + 1
+            if keep:
+                at = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([names.take(at), batch.column(1).take(at)], ["episode_id", "frame_idx"])
+
+    p = points.where("episode_id is not null and frame_idx is not null and target_x is not null and target_y is not null").select("episode_id", "frame_idx", "target_x", "target_y")
+    return by_chunk(p, ["episode_id"], ["frame_idx"]).mapInArrow(run, "episode_id string, frame_idx int")

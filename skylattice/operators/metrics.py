@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.operators.sequence import annotate, runs
@@ -140,11 +140,40 @@ def series_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
+#: Bins of an octave; a bin holds about a hundredth of evenly spread values, and all values have at most 300,000 bins.
+OCTAVE = 64
+
+
+def quantile(values: DataFrame, group: str, value: str, q: float, name: str) -> DataFrame:
+    """group and its quantile (linear between neighbours) of the values that are numbers; groups without one have no row.
+
+    Values are counted in bins that keep their order, the bins that hold the two middle ranks are found among the counts,
+    and only the values of these are looked at again, counted by value. No buffer holds a group's values."""
+    x = F.col("v")
+    level = F.lit(200_000) + F.floor((F.log2(F.abs(x)) + 1100) * OCTAVE).cast("int")
+    v = values.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    v = v.withColumn("bin", F.when(x > 0, level).when(x < 0, -level).otherwise(0))
+    of = Window.partitionBy("g")
+    upto = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = v.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("m")).select("g", "bin", "m", F.sum("m").over(of).alias("n"), F.sum("m").over(upto).alias("upto"))
+    place = F.lit(q) * (F.col("n") - 1)
+    low = F.floor(place)
+    ranks = F.array(low, F.least(low + 1, F.col("n") - 1))
+    wanted = bins.select("g", "bin", (F.col("upto") - F.col("m")).alias("before"), "upto", F.explode(F.array(F.struct(ranks[0].alias("rank"), F.lit(0).alias("k")), F.struct(ranks[1].alias("rank"), F.lit(1).alias("k")))).alias("r"), (place - low).alias("part"))
+    wanted = wanted.where("r.rank >= before and r.rank < upto").select("g", "bin", "before", "r.rank", "r.k", "part")
+    inside = v.join(wanted.select("g", "bin").distinct(), (v["g"].eqNullSafe(wanted["g"])) & (v["bin"] == wanted["bin"]), "left_semi")
+    counted = inside.groupBy("g", "bin", "v").agg(F.count(F.lit(1)).alias("m"))
+    ranked = counted.select("g", "bin", "v", "m", F.sum("m").over(Window.partitionBy("g", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
+    met = ranked.alias("a").join(wanted.alias("w"), F.col("a.g").eqNullSafe(F.col("w.g")) & (F.col("a.bin") == F.col("w.bin"))).where("w.rank - w.before < a.upto and w.rank - w.before >= a.upto - a.m")
+    ends = met.groupBy(F.col("w.g").alias(group)).agg(F.max(F.when(F.col("w.k") == 0, F.col("a.v"))).alias("lo"), F.max(F.when(F.col("w.k") == 1, F.col("a.v"))).alias("hi"), F.max("w.part").alias("part"))
+    return ends.select(group, (F.col("lo") * (1 - F.col("part")) + F.col("hi") * F.col("part")).alias(name))
+
+
 def summary(series: DataFrame, columns: tuple[str, ...] = ("track_auc", "lost_rate", "redetection_time_s", "collision_rate", "total_frames")) -> DataFrame:
-    """metric, mean, min, max, p10 (linear) over episodes, in one aggregation; one row per metric."""
-    parts = series.agg(*[F.struct(F.avg(c).alias("mean"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"), F.percentile(F.col(c).cast("double"), 0.1).alias("p10")).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("s")) for c in columns])
-    return parts.select(F.explode(rows).alias("r")).select("r.metric", "r.s.*")
+    """metric, mean, min, max, p10 (linear) over episodes, one row per metric."""
+    rows = series.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
+    parts = rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return parts.join(quantile(rows, "metric", "value", 0.1, "p10"), "metric", "left")
 
 
 def consistency_report(metrics: DataFrame, by: str = "difficulty_level") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -10,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.operators.greedy import taken
+from skylattice.session import materialize
+
 # Phrases that an instruction must not have, by rule, in the order in which they are reported.
 NAVIGATION = (
     "take off", "takeoff", "land", "fly forward", "fly toward", "fly to", "fly straight", "fly up", "fly down", "fly left", "fly right",
@@ -118,43 +120,36 @@ def gate_reason(text: Column) -> Column:
     return F.when((n < FEWEST) | (n > MOST), F.concat(F.lit("length:"), n.cast("string"))).when(F.size(hits) > 0, F.concat(F.lit("blacklist:"), F.try_element_at(hits, F.lit(1))))
 
 
-def ordered_filter(candidates: DataFrame, group: str, order: str, text: str) -> DataFrame:
+def ordered_filter(candidates: DataFrame, group: str, order: str, text: str, existing: DataFrame | None = None) -> DataFrame:
     """Per group and in order: length, safety phrases, then similarity to what was accepted before. Adds clean_text and
-    reason (null: kept; 'duplicate' for the third gate).
+    reason (null: kept; 'duplicate' for the third gate). existing: texts (group, text) that were accepted earlier.
 
-    The first two gates are expressions; only texts that pass them enter the ordered fold, which is one group's affair:
-    a group is one instruction set of a scene. Accepted texts are indexed by their rarest words, so that a text is
-    compared with few of them."""
+    The first two gates are expressions. Of the texts that pass them, those of one token set share their fate but for the
+    first; different sets that are similar share one of each other's longest words (by a prefix that no pair at SAME can
+    evade), meet there and form conflicts, and conflicts are settled in rounds. So no task walks through a group, and an
+    episode with a third of all texts is spread over all tasks. Null groups are a group; null texts give no row."""
+    key = lambda df: df.withColumn("set_id", F.md5(F.concat_ws(" ", F.coalesce(F.col("g").cast("string"), F.lit("\x00")), "tokens")))
     gated = candidates.select(F.col(group).alias("g"), F.col(order).alias("o"), collapsed(text).alias("clean_text")).where("clean_text is not null")
-    gated = gated.withColumn("reason", gate_reason(F.col("clean_text")))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o", kind="stable")
-        seen: dict[str, list[int]] = {}
-        sets: list[frozenset[str]] = []
-        reasons = []
-        tokens = [frozenset(re.findall("[a-z0-9]+", t.lower())) for t in part["clean_text"]]
-        frequency: dict[str, int] = {}
-        for s in tokens:
-            for w in s:
-                frequency[w] = frequency.get(w, 0) + 1
-        for s in tokens:
-            # two sets of similarity SAME share one of the rarest (1 - SAME) share of words of either, plus one
-            rare = sorted(s, key=lambda w: (frequency[w], w))[: len(s) - int(np.ceil(SAME * len(s) - 1e-9)) + 1]
-            near = {i for w in rare for i in seen.get(w, ())}
-            if s and any(len(s & sets[i]) >= SAME * len(s | sets[i]) - 1e-12 for i in near):
-                reasons.append("duplicate")
-                continue
-            for w in rare:
-                seen.setdefault(w, []).append(len(sets))
-            sets.append(s)
-            reasons.append(None)
-        return part.assign(reason=reasons)
-
-    passed = gated.where("reason is null").select("g", "o", "clean_text")
-    types = dict(gated.dtypes)
-    folded = passed.groupBy("g").applyInPandas(fold, f"g {types['g']}, o {types['o']}, clean_text string, reason string")
-    return gated.where("reason is not null").unionByName(folded).select(F.col("g").alias(group), F.col("o").alias(order), "clean_text", "reason")
+    gated = key(gated.withColumn("reason", gate_reason(F.col("clean_text"))).withColumn("tokens", F.array_sort(token_set("clean_text"))))
+    gated = materialize(gated, "filter-gated")
+    passed = gated.where("reason is null and size(tokens) > 0").select("set_id", "g", "tokens", F.lit(1).alias("rank"), "o")
+    if existing is not None:
+        known = key(existing.select(F.col(group).alias("g"), F.array_sort(token_set(collapsed(text))).alias("tokens")).where("size(tokens) > 0"))
+        passed = passed.unionByName(known.select("set_id", "g", "tokens", F.lit(0).alias("rank"), F.lit(None).cast(dict(passed.dtypes)["o"]).alias("o")))
+    sets = materialize(passed.groupBy("set_id").agg(F.first("g").alias("g"), F.first("tokens").alias("tokens"), F.min(F.struct("rank", "o")).alias("at")), "filter-sets")
+    n = F.size("tokens")
+    longest = F.array_sort(F.transform("tokens", lambda w: F.struct(-F.length(w), w)))
+    reach = n - F.ceil(n * SAME - 1e-9).cast("int") + 1
+    posted = sets.select("set_id", "g", "tokens", "at", F.explode(F.slice(longest, F.lit(1), reach)).alias("w"))
+    side = lambda c: posted.select(F.col("set_id").alias(c), "g", "w", F.col("tokens").alias(f"t_{c}"), F.col("at").alias(f"at_{c}"))
+    a, b = side("before").alias("x"), side("after").alias("y")
+    met = a.join(b, F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.w") == F.col("y.w"))).where((F.col("at_before") < F.col("at_after")) & (F.size("t_before") >= SAME * F.size("t_after") - 1e-9) & (F.size("t_after") >= SAME * F.size("t_before") - 1e-9))
+    conflicts = met.where(jaccard(F.col("t_before"), F.col("t_after")) >= SAME - 1e-12).select("before", "after").distinct()
+    kept = taken(sets.select(F.col("set_id").alias("node"), (F.col("at.rank") == 0).alias("given")), conflicts)
+    first = sets.where("at.rank = 1").join(kept.select(F.col("node").alias("set_id")), "set_id", "left_semi").select("set_id", F.col("at.o").alias("first"))
+    judged = gated.join(first, "set_id", "left")
+    again = F.when(F.col("reason").isNull() & (F.size("tokens") > 0) & ~F.coalesce(F.col("first") == F.col("o"), F.lit(False)), "duplicate")
+    return judged.select(F.col("g").alias(group), F.col("o").alias(order), "clean_text", F.coalesce("reason", again).alias("reason"))
 
 
 def attributes(label: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.poses import parse_pose
 from skylattice.operators import paths, policies, validation
-from skylattice.operators.metrics import distinct_episodes, distinct_frames, scaled
+from skylattice.operators.metrics import distinct_episodes, distinct_frames, quantile, scaled
 from skylattice.plans.tracking import FRAMES
 from skylattice.session import scratch_dir, table
 from skylattice.streaming import live
@@ -79,7 +79,9 @@ def latest_report(spark, d):
 
 def distance_percentiles(spark, d):
     r = table(spark, d, "demo_reports").dropDuplicates(["report_id"])
-    return r.groupBy("target_name").agg(F.count(F.lit(1)).alias("n"), scaled(F.percentile("final_drone_target_distance_m", 0.5), 3).alias("median_e3"), scaled(F.stddev_pop("duration_s"), 3).alias("spread_e3"))
+    spread = r.groupBy("target_name").agg(F.count(F.lit(1)).alias("n"), scaled(F.stddev_pop("duration_s"), 3).alias("spread_e3"))
+    middle = quantile(r, "target_name", "final_drone_target_distance_m", 0.5, "median").withColumnRenamed("target_name", "name")
+    return spread.join(middle, F.col("target_name").eqNullSafe(F.col("name")), "left").select("target_name", "n", scaled(F.col("median"), 3).alias("median_e3"), "spread_e3")
 
 
 def _stream(spark, d):
@@ -88,8 +90,7 @@ def _stream(spark, d):
 
 
 def _run(spark, df, mode):
-    name = f"live_{uuid.uuid4().hex}"
-    return live.drained(df, name, mode, f"{scratch_dir(spark)}/{name}")
+    return live.drained(df, mode, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/live-{uuid.uuid4().hex}")
 
 
 def stream_window_counts(spark, d):
@@ -97,14 +98,22 @@ def stream_window_counts(spark, d):
 
 
 def stream_live_metrics(spark, d):
+    """The last totals that the stream gave for each episode."""
     out = _run(spark, live.live_metrics(_stream(spark, d)), "update")
-    w = Window.partitionBy("episode_id").orderBy(F.desc("frames"))
-    return out.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    last = out.groupBy("episode_id").agg(F.max_by(F.struct("frames", "visible", "collisions", "last_frame"), "batch").alias("r"))
+    return last.select("episode_id", "r.*")
+
+
+def stream_ticks(spark, d):
+    """Ticks that a streaming file sink has taken in, each frame once, counted by episode."""
+    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/ticks-{uuid.uuid4().hex}"
+    ticks = live.append_ticks(_stream(spark, d), path)
+    return ticks.groupBy("episode_id").agg(F.count(F.lit(1)).alias("ticks"), F.max("frame_idx").alias("last_frame"))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics)
+    for q in (validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics, stream_ticks)
 }
 
 _SPATIAL = "json_valid({0}) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[0]'), json_extract_string({0}, '$.pos[0]'), json_extract_string({0}, '$.x')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[1]'), json_extract_string({0}, '$.pos[1]'), json_extract_string({0}, '$.y')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[2]'), json_extract_string({0}, '$.pos[2]'), json_extract_string({0}, '$.z')) AS DOUBLE) IS NOT NULL)"
@@ -150,5 +159,7 @@ ORACLE = {
     "distance_percentiles": f"WITH {_ONE} SELECT target_name, count(*) AS n, CAST(floor(median(final_drone_target_distance_m) * 1e3 + 0.5) AS BIGINT) AS median_e3, CAST(floor(stddev_pop(duration_s) * 1e3 + 0.5) AS BIGINT) AS spread_e3 FROM r GROUP BY 1",
     "stream_window_counts": """SELECT time_bucket(INTERVAL 10 MINUTE, received_at) AS start, regexp_replace(lower(coalesce(tracker_mode, '')), '[^a-z]', '', 'g') AS mode, count(*) AS frames, count(*) FILTER (coalesce(target_visible, false)) AS visible
       FROM frame_records WHERE received_at IS NOT NULL GROUP BY 1, 2""",
-    "stream_live_metrics": "SELECT episode_id, count(*) AS frames, count(*) FILTER (coalesce(target_visible, false)) AS visible, count(*) FILTER (coalesce(collision, false)) AS collisions, CAST(max(frame_idx) AS BIGINT) AS last_frame FROM frame_records WHERE episode_id IS NOT NULL AND frame_idx IS NOT NULL GROUP BY 1",
+    "stream_live_metrics": """SELECT episode_id, count(*) AS frames, count(*) FILTER (coalesce(visible, false)) AS visible, count(*) FILTER (coalesce(hit, false)) AS collisions, CAST(max(frame_idx) AS BIGINT) AS last_frame
+      FROM (SELECT episode_id, frame_idx, any_value(target_visible) AS visible, any_value(collision) AS hit FROM frame_records WHERE episode_id IS NOT NULL AND frame_idx IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
+    "stream_ticks": "SELECT episode_id, count(DISTINCT frame_idx) AS ticks, max(frame_idx) AS last_frame FROM frame_records WHERE episode_id IS NOT NULL AND frame_idx IS NOT NULL GROUP BY 1",
 }

@@ -193,12 +193,29 @@ def stuck_resets(spark, d):
     return kinematics.stuck_resets(_track(spark, d))
 
 
+def spaced_track(spark, d):
+    return kinematics.spaced(_track(spark, d), 2.0)
+
+
+def exponential_distance(spark, d):
+    """The drone's distance, smoothed by 1 - exp(-dt / tau)."""
+    s = kinematics.smoothed(frames(spark, d), "drone_distance_m", 0.8, exponential=True)
+    return s.select("episode_id", "frame_idx", scaled(F.col("smoothed"), 3).alias("smoothed_e3"))
+
+
+def smoothed_pose(spark, d):
+    """The drone's place as a camera that is damped sees it: x and y follow within 0.4 s, z within 1 s."""
+    f = frames(spark, d).where("abs(uav_x) < 1e5 and abs(uav_y) < 1e5 and abs(uav_z) < 1e5")
+    x, y, z = (kinematics.smoothed(f, f"uav_{c}", t).select("episode_id", "frame_idx", scaled(F.col("smoothed"), 3).alias(f"{c}_e3")) for c, t in (("x", 0.4), ("y", 0.4), ("z", 1.0)))
+    return x.join(y, ["episode_id", "frame_idx"]).join(z, ["episode_id", "frame_idx"])
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         engine_coordinates, box_motion, quaternion_headings, occluded_frames, action_vector, camera_projection, episode_names, fov_centering, frustum_wedges, valid_poses,
         last_labels, first_values, tier_fills, stand_in_appearance, building_names, pose_numbers, shuffled_reports, first_category, scene_bounds, frustum_fraction,
-        filled_times, track_headings, track_resample, stuck_resets,
+        filled_times, track_headings, track_resample, stuck_resets, spaced_track, exponential_distance, smoothed_pose,
     )
 }
 
@@ -228,6 +245,16 @@ _STAND = f"""WITH {EPISODES}, k0 AS (SELECT *, lower(coalesce(target_class, ''))
 k2 AS (SELECT *, {_APPEARANCE} AS phrases FROM k1), ap AS (SELECT *, phrases[CAST(CAST('0x' || substr(md5(episode_id || '|' || kind), 1, 6) AS BIGINT) % len(phrases) AS INT) + 1] AS appearance FROM k2)"""
 _POOL = "CASE tier " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(p) for p in v)}]" for k, v in text.TIER_TEMPLATES.items()) + " END"
 _TIER = "CASE difficulty_level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.TIERS.items()) + " ELSE 'medium' END"
+
+
+def _smooth(name: str, column: str, share: str, where: str = "true") -> str:
+    """Two recursive steps: the readings in order, and the smoothed value of each."""
+    return f"""{name}a AS (SELECT episode_id, frame_idx, {column} AS new, row_number() OVER w AS i, {share} AS s FROM fr WHERE {column} IS NOT NULL AND timestamp_s IS NOT NULL AND {where} {_OVER}),
+      {name}r AS (SELECT episode_id, i, frame_idx, new AS x FROM {name}a WHERE i = 1 UNION ALL SELECT a.episode_id, a.i, a.frame_idx, r.x + a.s * (a.new - r.x) FROM {name}r r JOIN {name}a a ON a.episode_id = r.episode_id AND a.i = r.i + 1)"""
+
+
+_DT = "(timestamp_s - lag(timestamp_s) OVER w)"
+_REAL_UAV = "abs(uav_x) < 1e5 AND abs(uav_y) < 1e5 AND abs(uav_z) < 1e5"
 _W, _H, _FX, _FY, _CX, _CY = 480, 270, 240.0, 240.625, 240.0, 135.0
 
 ORACLE = {
@@ -280,6 +307,12 @@ ORACLE = {
       k0 AS (SELECT *, CASE WHEN x0 IS NULL THEN [0] ELSE range(CAST(floor((s - way) / 5) AS BIGINT) + 1, CAST(floor(s / 5) AS BIGINT) + 1) END AS ks FROM s1), k1 AS (SELECT *, unnest(ks) AS k FROM k0),
       k2 AS (SELECT episode_id, k, CASE WHEN way > 0 THEN (k * 5 - (s - way)) / way ELSE 0.0 END AS t, coalesce(x0, x1) AS x0, coalesce(y0, y1) AS y0, x1, y1 FROM k1)
       SELECT episode_id, count(*) AS places, max(k) AS last, {e('avg(x0 + (x1 - x0) * t)', 1)} AS x_e1, {e('avg(y0 + (y1 - y0) * t)', 1)} AS y_e1 FROM k2 GROUP BY 1""",
+    "exponential_distance": f"WITH RECURSIVE {FRAMES}, {_smooth('d', 'drone_distance_m', f'1.0 - exp(-greatest(0.0, {_DT} / 0.8))')} SELECT episode_id, frame_idx, {e('x', 3)} AS smoothed_e3 FROM dr",
+    "smoothed_pose": f"WITH RECURSIVE {FRAMES}, {', '.join(_smooth(c, f'uav_{c}', f'least(1.0, greatest(0.0, {_DT} / {t}))', _REAL_UAV) for c, t in (('x', 0.4), ('y', 0.4), ('z', 1.0)))} SELECT episode_id, frame_idx, {e('xr.x', 3)} AS x_e3, {e('yr.x', 3)} AS y_e3, {e('zr.x', 3)} AS z_e3 FROM xr JOIN yr USING (episode_id, frame_idx) JOIN zr USING (episode_id, frame_idx)",
+    "spaced_track": _TRACK.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame_idx) AS n FROM tk), k AS (SELECT episode_id, frame_idx, x, y, n FROM n WHERE n = 1 UNION ALL
+      SELECT episode_id, frame_idx, x, y, n FROM (SELECT b.*, row_number() OVER (PARTITION BY b.episode_id ORDER BY b.n) AS r FROM k a JOIN n b ON b.episode_id = a.episode_id AND b.n > a.n AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 >= 4.0) WHERE r = 1)
+      SELECT episode_id, frame_idx FROM k""",
     "stuck_resets": _TRACK
     + f""", l AS (SELECT episode_id, frame_idx, {_LAG}, row_number() OVER w AS n FROM tk {_OVER}), s AS (SELECT *, coalesce(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) < 0.05, false) AS still FROM l),
       m AS (SELECT *, coalesce(max(CASE WHEN NOT still THEN n END) OVER (PARTITION BY episode_id ORDER BY frame_idx), 0) AS moved FROM s) SELECT episode_id, frame_idx FROM m WHERE still AND (n - moved) % 6 = 0""",

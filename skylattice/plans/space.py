@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators import kinematics
 from skylattice.operators import occupancy as occ
 from skylattice.operators.metrics import scaled
 from skylattice.session import table
@@ -143,6 +144,13 @@ def risk_field(spark, d):
     return r.select("ix", "iy", *[scaled(F.col(c)).alias(f"{c}_e4") for c in ("edge", "alley", "risk")])
 
 
+def risk_peaks(spark, d):
+    """The riskiest free cells, none within twelve metres of a riskier one."""
+    r = occ.risk_field(_columns(spark, d).where("is_building"), GRID)
+    p = r.select((F.col("ix").cast("bigint") * (1 << 31) + F.col("iy")).alias("point_id"), "ix", "iy", (F.col("ix") * GRID.voxel).alias("x"), (F.col("iy") * GRID.voxel).alias("y"), scaled(F.col("risk")).alias("score"))
+    return kinematics.thinned(p, 12.0).select("ix", "iy", F.col("score").alias("risk_e4"))
+
+
 def height_lookup(spark, d):
     p = rays(spark, d).select(F.col("ray_id").alias("point_id"), F.col("bx").alias("x"), F.col("by").alias("y"))
     h = occ.lookup_heights(p, _columns(spark, d), GRID)
@@ -153,7 +161,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         voxelize, column_heights, building_footprint, dilate_2d, dilate_3d, blocked_union, occupied_lookup, los_raymarch, first_hit, building_los, roof_los,
-        nearest_site, site_pairs, free_run_length, road_score, move_resolution, connected_components, histogram_floor, openness, parked_cars, risk_field, height_lookup,
+        nearest_site, site_pairs, free_run_length, road_score, move_resolution, connected_components, histogram_floor, openness, parked_cars, risk_field, risk_peaks, height_lookup,
     )
 }
 

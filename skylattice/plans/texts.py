@@ -46,6 +46,13 @@ def ordered_quality_filter(spark, d):
     return text.ordered_filter(c, "episode_id", "ord", "text")
 
 
+def filter_against_existing(spark, d):
+    """Kept texts of each scene, in order, against the instructions its episodes already have."""
+    ep = distinct_episodes(table(spark, d, "episodes")).select("episode_id", F.coalesce("scene_id", F.lit("?")).alias("scene"), "instruction")
+    c = _candidates(spark, d).join(ep.select("episode_id", "scene"), "episode_id").select("scene", F.concat_ws(":", F.lpad(F.col("result_id").cast("string"), 12, "0"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("ord"), "text")
+    return text.ordered_filter(c, "scene", "ord", "text", ep.select("scene", F.col("instruction").alias("text")))
+
+
 def attribute_extract(spark, d):
     a = text.attributes("text")
     return _documents(spark, d).select("doc_id", a["color"].alias("color"), a["size"].alias("size"), a["type"].alias("type"))
@@ -101,7 +108,7 @@ def pose_codec(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (blacklist_hits, word_gate, token_jaccard, ordered_quality_filter, attribute_extract, appearance_phrase, instruction_stats, generated_instructions, rejected_reasons, clean_labels, report_category, pose_codec)
+    for q in (blacklist_hits, word_gate, token_jaccard, ordered_quality_filter, filter_against_existing, attribute_extract, appearance_phrase, instruction_stats, generated_instructions, rejected_reasons, clean_labels, report_category, pose_codec)
 }
 
 

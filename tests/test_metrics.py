@@ -44,3 +44,19 @@ def test_success_thresholds(spark):
 def test_episode_without_frames(spark):
     r = measured(spark, "").first()
     assert (r.total_frames, r.tracking_success, r.visibility_ratio) == (0, False, 0.0)
+
+
+def test_quantiles_equal_sorting(spark):
+    import numpy as np
+
+    from skylattice.operators import metrics
+
+    rng = np.random.default_rng(1)
+    data = {"a": rng.normal(0, 50, 501), "b": np.repeat([0.0, 3.0], 200), "c": np.array([-1e9]), "d": np.exp(rng.normal(0, 9, 300)), None: rng.integers(-3, 4, 99).astype(float)}
+    rows = [(g, float(v), "x") for g, vs in data.items() for v in vs] + [("a", None, "x"), ("a", float("nan"), "x"), ("e", None, "x")]
+    df = spark.createDataFrame(rows, "grp string, v double, bin string").repartition(5)
+    for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+        got = {r.grp: r.at for r in metrics.quantile(df, "grp", "v", q, "at").collect()}
+        assert set(got) == set(data)
+        for g, vs in data.items():
+            assert np.isclose(got[g], np.quantile(vs, q), rtol=1e-12, atol=1e-12)

@@ -48,5 +48,38 @@ def test_altitude_stays_within_its_rates():
 
 
 def test_thinning(spark):
-    df = spark.createDataFrame([("s", i, float(x), 0.0, float(sc)) for i, (x, sc) in enumerate([(0, 5), (1, 9), (2, 5), (10, 1)])], "g string, o int, x double, y double, score double")
-    assert {r.x for r in kinematics.thinned(df, "g", "o", "score", 1.5).collect()} == {1.0, 10.0}
+    df = spark.createDataFrame([(i, float(x), 0.0, float(sc), "s") for i, (x, sc) in enumerate([(0, 5), (1, 9), (2, 5), (10, 1)])] + [(9, None, 0.0, 1.0, "s")], "point_id long, x double, y double, score double, at string")
+    assert {r.x for r in kinematics.thinned(df, 1.5).collect()} == {1.0, 10.0}
+    assert kinematics.thinned(df.limit(0), 1.5).count() == 0
+
+
+def test_thinning_equals_the_walk(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(0, 20), rng.uniform(0, 20), float(i * 7919 % 1009)) for i in range(400)]
+    kept = []
+    for r in sorted(rows, key=lambda r: -r[3]):
+        if all((r[1] - k[1]) ** 2 + (r[2] - k[2]) ** 2 >= 4 for k in kept):
+            kept.append(r)
+    got = kinematics.thinned(spark.createDataFrame(rows, "point_id long, x double, y double, score double"), 2.0)
+    assert {r.point_id for r in got.collect()} == {k[0] for k in kept}
+
+
+def test_spacing_equals_the_walk(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, want = [], set()
+    for e in ("a", "b", "c"):
+        x = y = 0.0
+        last = None
+        for i in range(300):
+            x, y = x + rng.uniform(-0.5, 0.8) * (i % 90 > 20), y + rng.uniform(-0.5, 0.5) * (i % 90 > 20)
+            rows.append((e, i * 3, x, y, "n"))
+            if last is None or (x - last[0]) ** 2 + (y - last[1]) ** 2 >= 4:
+                want.add((e, i * 3))
+                last = (x, y)
+    df = spark.createDataFrame(rows + [("d", 1, None, 0.0, "n"), (None, 1, 0.0, 0.0, "n")], "episode_id string, frame_idx int, target_x double, target_y double, last string").repartition(6)
+    got = [(r.episode_id, r.frame_idx) for r in kinematics.spaced(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -40,3 +40,34 @@ def test_building_coordinates(spark):
     r = one(spark, "x=281.78Y=-816.76z=31.15.PNG", text.building_coordinates("t"))
     assert (r.x, r.y, r.z) == (281.78, -816.76, 31.15)
     assert one(spark, "house.png", text.building_coordinates("t")) is None
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ordered_filter_equals_the_walk(spark, seed):
+    import random
+    import re
+
+    rng = random.Random(seed)
+    vocab = ["keep", "tracking", "the", "red", "blue", "taxi", "van", "near", "bridge", "slowly", "moving", "along", "a", "narrow", "street", "with", "trees"]
+    base = [rng.sample(vocab, rng.randint(6, 14)) for _ in range(12)]
+    rows, known = [], [(f"g{k}", " ".join(base[k])) for k in range(2)] + [("g0", None)]
+    for i in range(240):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rng.shuffle(w)
+        rows.append((f"g{rng.randrange(3)}", i, " ".join(w) + rng.choice(["", "!", " "]), None))
+    want = {}
+    for g in ("g0", "g1", "g2"):
+        kept = [set(t.split()) for h, t in known if h == g and t]
+        for _, o, t, _ in sorted(r for r in rows if r[0] == g):
+            s = set(re.findall("[a-z0-9]+", t.lower()))
+            if any(len(s & k) >= 0.85 * len(s | k) - 1e-12 for k in kept):
+                want[g, o] = "duplicate"
+            else:
+                want[g, o] = None
+                kept.append(s)
+    df = spark.createDataFrame(rows, "g string, o int, t string, tokens string")
+    got = {(r.g, r.o): r.reason for r in text.ordered_filter(df, "g", "o", "t", spark.createDataFrame(known, "g string, t string")).collect()}
+    assert got == want
+    assert text.ordered_filter(df.limit(0), "g", "o", "t").count() == 0
