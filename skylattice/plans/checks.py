@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.poses import parse_pose
-from skylattice.operators import paths, policies, validation
-from skylattice.operators.metrics import distinct_episodes, distinct_frames, quantile, scaled
-from skylattice.plans.tracking import FRAMES
+from skylattice.operators import episode_files, paths, policies, validation
+from skylattice.operators.metrics import distinct_episodes, distinct_frames, episode_metrics, quantile, scaled
+from skylattice.operators.text import instruction_stats
+from skylattice.plans import texts, tracking
+from skylattice.plans.tracking import EPISODES, FRAMES, e
 from skylattice.session import scratch_dir, table
 from skylattice.streaming import live
 
@@ -39,6 +41,31 @@ def missing_exports(spark, d):
     return f.join(x, ["episode_id", "frame_idx"], "left_anti").groupBy("episode_id").agg(F.count(F.lit(1)).alias("missing"))
 
 
+def export_types(spark, d):
+    """Of each readable export: whether frame_idx is an integer (no truth value) and timestamp_s a number."""
+    x = table(spark, d, "frame_exports").select("raw_id", F.try_parse_json("payload").alias("r")).where("r is not null and schema_of_variant(r) like 'OBJECT%'")
+    return x.select("raw_id", episode_files.is_whole(F.col("r"), "frame_idx").alias("whole_index"), episode_files.is_number(F.col("r"), "timestamp_s").alias("numeric_time"))
+
+
+def frame_bundle(spark, d):
+    """Frames with their episode, its kept texts and its last report; nulls as a viewer reads them: frustum as visible, line
+    of sight clear, distance and risk unknown."""
+    ep = distinct_episodes(table(spark, d, "episodes")).select("episode_id", "difficulty_level")
+    kept = table(spark, d, "filter_results").where("episode_id is not null").dropDuplicates(["result_id"]).groupBy("episode_id").agg(F.sum(F.greatest(F.size("kept"), F.lit(0))).alias("texts"))
+    last = table(spark, d, "demo_reports").where("episode_id is not null and reported_at is not null").groupBy("episode_id").agg(F.max(F.struct("reported_at", "report_id", "success")).alias("r")).select("episode_id", "r.success")
+    f = distinct_frames(table(spark, d, "frame_records")).join(ep, "episode_id", "left").join(kept, "episode_id", "left").join(last, "episode_id", "left")
+    number = lambda c, k: scaled(F.coalesce(F.col(c), F.lit(-1.0)), k).alias(f"{c}_e{k}")
+    return f.select("episode_id", "frame_idx", "difficulty_level", F.coalesce("texts", F.lit(0)).alias("texts"), "success", F.coalesce("in_camera_frustum", "target_visible").alias("in_frustum"), F.coalesce("line_of_sight_clear", F.lit(True)).alias("clear"), number("occlusion_risk", 4), number("drone_distance_m", 3))
+
+
+def dataset_report(spark, d):
+    """One row: episodes, levels, mean visible share, kept and rejected texts."""
+    ep = distinct_episodes(table(spark, d, "episodes"))
+    m = episode_metrics(distinct_frames(table(spark, d, "frame_records")), ep)
+    quality = m.agg(F.count(F.lit(1)).alias("episodes"), F.countDistinct("difficulty_level").alias("levels"), scaled(F.avg("visibility_ratio")).alias("visible_e4"), F.count_if("tracking_success").alias("successes"))
+    return quality.join(instruction_stats(table(spark, d, "filter_results").dropDuplicates(["result_id"])).select("results", "instructions", "rejected"))
+
+
 def tracker_fsm(spark, d):
     return policies.tracker_modes(distinct_frames(table(spark, d, "frame_records")))
 
@@ -113,7 +140,7 @@ def stream_ticks(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics, stream_ticks)
+    for q in (export_types, frame_bundle, dataset_report, validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics, stream_ticks)
 }
 
 _SPATIAL = "json_valid({0}) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[0]'), json_extract_string({0}, '$.pos[0]'), json_extract_string({0}, '$.x')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[1]'), json_extract_string({0}, '$.pos[1]'), json_extract_string({0}, '$.y')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[2]'), json_extract_string({0}, '$.pos[2]'), json_extract_string({0}, '$.z')) AS DOUBLE) IS NOT NULL)"
@@ -139,6 +166,8 @@ rp AS (SELECT p.episode_id, frames, CAST(k0 + coalesce(ei.k, 0) + coalesce(fi.k,
 """
 _ONE = "r AS (SELECT * FROM demo_reports QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY reported_at) = 1)"
 
+ORACLE_METRICS, ORACLE_STATS = tracking.ORACLE["episode_metrics"], texts.ORACLE["instruction_stats"]
+
 ORACLE = {
     "validate_episodes": f"SELECT coalesce(issue, 'ok') AS outcome, count(*) AS n FROM (SELECT {_EPISODE} AS issue FROM episodes) GROUP BY 1",
     "validate_frames": f"SELECT * FROM (SELECT record_id, {_FRAME} AS issue FROM frame_records) WHERE issue IS NOT NULL",
@@ -161,5 +190,11 @@ ORACLE = {
       FROM frame_records WHERE received_at IS NOT NULL GROUP BY 1, 2""",
     "stream_live_metrics": """SELECT episode_id, count(*) AS frames, count(*) FILTER (coalesce(visible, false)) AS visible, count(*) FILTER (coalesce(hit, false)) AS collisions, CAST(max(frame_idx) AS BIGINT) AS last_frame
       FROM (SELECT episode_id, frame_idx, any_value(target_visible) AS visible, any_value(collision) AS hit FROM frame_records WHERE episode_id IS NOT NULL AND frame_idx IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
+    "export_types": """WITH o AS (SELECT raw_id, payload AS v FROM frame_exports WHERE json_valid(payload)) SELECT raw_id, coalesce(json_type(v, '$.frame_idx') IN ('BIGINT', 'UBIGINT'), false) AS whole_index, coalesce(json_type(v, '$.timestamp_s') IN ('BIGINT', 'UBIGINT', 'DOUBLE'), false) AS numeric_time FROM o WHERE json_type(v) = 'OBJECT'""",
+    "frame_bundle": f"""WITH {FRAMES}, {EPISODES}, k AS (SELECT episode_id, CAST(sum(n) AS BIGINT) AS texts FROM (SELECT result_id, any_value(episode_id) AS episode_id, any_value(coalesce(len(kept), 0)) AS n FROM filter_results WHERE episode_id IS NOT NULL GROUP BY 1) GROUP BY 1),
+      l AS (SELECT episode_id, success FROM demo_reports WHERE episode_id IS NOT NULL AND reported_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY reported_at DESC, report_id DESC, success DESC) = 1)
+      SELECT fr.episode_id, frame_idx, difficulty_level, coalesce(texts, 0) AS texts, success, coalesce(in_camera_frustum, target_visible) AS in_frustum, coalesce(line_of_sight_clear, true) AS clear, {e('coalesce(occlusion_risk, -1.0)')} AS occlusion_risk_e4, {e('coalesce(drone_distance_m, -1.0)', 3)} AS drone_distance_m_e3
+      FROM fr LEFT JOIN ep USING (episode_id) LEFT JOIN k USING (episode_id) LEFT JOIN l USING (episode_id)""",
+    "dataset_report": f"""WITH m AS ({ORACLE_METRICS}), s AS ({ORACLE_STATS}) SELECT (SELECT count(*) FROM m) AS episodes, (SELECT count(DISTINCT difficulty_level) FROM m) AS levels, (SELECT {e('avg(visibility_ratio_e4 / 1e4)')} FROM m) AS visible_e4, (SELECT count(*) FILTER (tracking_success) FROM m) AS successes, results, instructions, rejected FROM s""",
     "stream_ticks": "SELECT episode_id, count(DISTINCT frame_idx) AS ticks, max(frame_idx) AS last_frame FROM frame_records WHERE episode_id IS NOT NULL AND frame_idx IS NOT NULL GROUP BY 1",
 }

@@ -204,9 +204,9 @@ def exponential_distance(spark, d):
 
 
 def smoothed_pose(spark, d):
-    """The drone's place as a camera that is damped sees it: x and y follow within 0.4 s, z within 1 s."""
+    """The drone's place as a camera that is damped sees it: x and y follow within 0.45 s, z within 1.1 s."""
     f = frames(spark, d).where("abs(uav_x) < 1e5 and abs(uav_y) < 1e5 and abs(uav_z) < 1e5")
-    x, y, z = (kinematics.smoothed(f, f"uav_{c}", t).select("episode_id", "frame_idx", scaled(F.col("smoothed"), 3).alias(f"{c}_e3")) for c, t in (("x", 0.4), ("y", 0.4), ("z", 1.0)))
+    x, y, z = (kinematics.smoothed(f, f"uav_{c}", t).select("episode_id", "frame_idx", scaled(F.col("smoothed"), 3).alias(f"{c}_e3")) for c, t in (("x", 0.45), ("y", 0.45), ("z", 1.1)))
     return x.join(y, ["episode_id", "frame_idx"]).join(z, ["episode_id", "frame_idx"])
 
 
@@ -308,7 +308,7 @@ ORACLE = {
       k2 AS (SELECT episode_id, k, CASE WHEN way > 0 THEN (k * 5 - (s - way)) / way ELSE 0.0 END AS t, coalesce(x0, x1) AS x0, coalesce(y0, y1) AS y0, x1, y1 FROM k1)
       SELECT episode_id, count(*) AS places, max(k) AS last, {e('avg(x0 + (x1 - x0) * t)', 1)} AS x_e1, {e('avg(y0 + (y1 - y0) * t)', 1)} AS y_e1 FROM k2 GROUP BY 1""",
     "exponential_distance": f"WITH RECURSIVE {FRAMES}, {_smooth('d', 'drone_distance_m', f'1.0 - exp(-greatest(0.0, {_DT} / 0.8))')} SELECT episode_id, frame_idx, {e('x', 3)} AS smoothed_e3 FROM dr",
-    "smoothed_pose": f"WITH RECURSIVE {FRAMES}, {', '.join(_smooth(c, f'uav_{c}', f'least(1.0, greatest(0.0, {_DT} / {t}))', _REAL_UAV) for c, t in (('x', 0.4), ('y', 0.4), ('z', 1.0)))} SELECT episode_id, frame_idx, {e('xr.x', 3)} AS x_e3, {e('yr.x', 3)} AS y_e3, {e('zr.x', 3)} AS z_e3 FROM xr JOIN yr USING (episode_id, frame_idx) JOIN zr USING (episode_id, frame_idx)",
+    "smoothed_pose": f"WITH RECURSIVE {FRAMES}, {', '.join(_smooth(c, f'uav_{c}', f'least(1.0, greatest(0.0, {_DT} / {t}))', _REAL_UAV) for c, t in (('x', 0.45), ('y', 0.45), ('z', 1.1)))} SELECT episode_id, frame_idx, {e('xr.x', 3)} AS x_e3, {e('yr.x', 3)} AS y_e3, {e('zr.x', 3)} AS z_e3 FROM xr JOIN yr USING (episode_id, frame_idx) JOIN zr USING (episode_id, frame_idx)",
     "spaced_track": _TRACK.replace("WITH ", "WITH RECURSIVE ", 1)
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame_idx) AS n FROM tk), k AS (SELECT episode_id, frame_idx, x, y, n FROM n WHERE n = 1 UNION ALL
       SELECT episode_id, frame_idx, x, y, n FROM (SELECT b.*, row_number() OVER (PARTITION BY b.episode_id ORDER BY b.n) AS r FROM k a JOIN n b ON b.episode_id = a.episode_id AND b.n > a.n AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 >= 4.0) WHERE r = 1)

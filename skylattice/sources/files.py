@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.episode_files import listing
 from skylattice.operators.text import building_coordinates
 
 
@@ -34,10 +35,34 @@ def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> Data
 
 
 def episode_folders(spark: SparkSession, path: str, required: tuple[str, ...] = ("metadata.json", "frames.jsonl")) -> DataFrame:
-    """Folders that hold all required files."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    parts = listing.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    return parts.where(F.col("name").isin(*required)).groupBy("folder").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(required)).select("folder")
+    """Folders that hold all required files, the root alone if it does. File contents are not read."""
+    parts = listing(spark, path)
+    found = parts.where(F.col("name").isin(*required)).groupBy("folder").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(required)).select("folder")
+    shortest = parts.agg(F.min(F.struct(F.length("folder"), "folder")).alias("r")).select(F.col("r.folder").alias("folder"))
+    root = found.join(shortest, "folder", "left_semi").where(F.col("folder").endswith(path.rstrip("/")))
+    return root if not root.isEmpty() else found
+
+
+def series_folders(spark: SparkSession, path: str, ending: str = "_meta.jsonl") -> DataFrame:
+    """Folders with a file whose name has the given ending (the older layout), the root alone if it has one."""
+    found = listing(spark, path).where(F.col("name").endswith(ending)).select("folder").distinct()
+    root = found.where(F.col("folder").endswith(path.rstrip("/")))
+    return root if not root.isEmpty() else found
+
+
+def replay_poses(spark: SparkSession, path: str, glob: str = "*pose*.jsonl") -> DataFrame:
+    """file, x, y, z (NED) and yaw of the lines that have an action with a place on the map; others are passed over."""
+    get = lambda p: F.try_variant_get("record", p, "double")
+    r = jsonl_lenient(spark, path, glob).select("file", *[get(f"$.action.pos[{i}]").alias(c) for i, c in enumerate("xyz")], get("$.action.yaw").alias("yaw"))
+    return r.where("x is not null and y is not null and z is not null").select("file", "x", (-F.col("y")).alias("y"), (-F.col("z")).alias("z"), "yaw")
+
+
+def write_records(df: DataFrame, path: str, failure: Column | None = None, fmt: str = "json") -> None:
+    """Write records as files, folders made as needed; with a failure expression, the first record that has one stops the
+    write with its message."""
+    if failure is not None:
+        df = df.where(F.when(failure.isNull(), True).otherwise(F.raise_error(failure).cast("boolean")))
+    df.write.mode("overwrite").format(fmt).save(path)
 
 
 def landmarks(spark: SparkSession, path: str, types: tuple[str, ...] = ("building",), glob: str = "*.jsonl") -> DataFrame:
