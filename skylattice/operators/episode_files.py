@@ -20,7 +20,7 @@ FRAME_FIELDS = ("frame_id", "image_path", "step_index", "timestamp", "uav_pose",
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, folder, name of all files below; their contents are not read."""
+    """path, folder, name of all files below that hold at least a byte; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     return files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
@@ -60,7 +60,7 @@ def folder_report(spark: SparkSession, path: str) -> DataFrame:
     """folder, passed, issues, warnings (sorted arrays), frames, images, visibility_ratio, success, difficulty of every
     folder that has any of the required files.
 
-    Broken files are issues of their folder and never stop the report. At most LISTED invalid frames are named, more are
+    Broken files are issues of their folder and never stop the report; a file without a byte counts as missing. At most LISTED invalid frames are named, more are
     summed up. A path without files gives no rows."""
     files = listing(spark, path)
     named = files.where(F.col("name").isin(*REQUIRED, *RECOMMENDED)).groupBy("folder").agg(F.collect_set("name").alias("names"))

@@ -30,7 +30,13 @@ def episode(root, name, frames=2, without=(), **docs):
             (at / file).write_text(doc if isinstance(doc, str) else json.dumps(doc))
     (at / "config.yaml").write_text("seed: 77\n")
     if "frames.jsonl" not in without:
-        (at / "frames.jsonl").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+        (at / "frames.jsonl").write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+
+
+def test_a_file_without_a_byte_is_missing(spark, tmp_path):
+    episode(tmp_path, "e")
+    (tmp_path / "e" / "frames.jsonl").write_bytes(b"")
+    assert episode_files.folder_report(spark, str(tmp_path)).first().issues == ["missing required file: frames.jsonl"]
 
 
 def test_folder_report(spark, tmp_path):
