@@ -7,11 +7,15 @@ is reduced by partial aggregation before the shuffle; rays are cut to range befo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators.chunks import by_chunk, changes, codes, whole_chunks
 from skylattice.session import materialize
 
 
@@ -214,18 +218,51 @@ def resolved_moves(moves: DataFrame, blocked: DataFrame, g: Grid = Grid(), share
     return moves.select("move_id", ends.alias("ends")).join(wall, "move_id", "left").select("move_id", F.when(F.col("ends"), best).alias("share"))
 
 
-def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
-    """ix, iy, label of the connected components (eight neighbours) of a set of cells; label is the smallest cell number.
+#: Cells along a side of a tile whose components one task finds.
+TILE = 64
+
+
+def tile_labels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ix, iy, label of the cells of whole tiles, joined within their tile; label is the smallest cell number."""
+    for table in whole_chunks(batches, ["tx", "ty"]):
+        x, y = codes(table["ix"]).astype(np.int64), codes(table["iy"]).astype(np.int64)
+        tile = np.cumsum(changes([codes(table["tx"]), codes(table["ty"])])) - 1
+        # each cell finds those to one side of it; other pairs are found from the other end
+        place = (tile * (TILE + 2) + x % TILE + 1) * (TILE + 2) + y % TILE + 1
+        order = np.argsort(place)
+        ranked = place[order]
+        label = np.arange(len(x))
+        ends = []
+        for step in (1, TILE + 1, TILE + 2, TILE + 3):
+            at = np.minimum(np.searchsorted(ranked, place + step), len(x) - 1)
+            hit = np.flatnonzero(ranked[at] == place + step)
+            ends.append((hit, order[at[hit]]))
+        a, b = (np.concatenate(e) for e in zip(*ends))
+        number = (x + (1 << 30)) * (1 << 31) + y + (1 << 30)
+        rank = np.argsort(np.argsort(number))
+        label = rank.copy()
+        by_rank = np.argsort(rank)
+        while True:  # take over smaller neighbours' labels and follow them, as components do between tiles
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            np.minimum.at(new, by_rank[label], new)
+            new = new[by_rank[new]]
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([table["ix"].combine_chunks(), table["iy"].combine_chunks(), pa.array(number[by_rank[label]])], ["ix", "iy", "label"])
+
+
+def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label of the connected components of a graph: nodes (node bigint, each once), edges (node, other, in both
+    directions); label is the smallest node.
 
     Labels of neighbours are taken over and then followed to their own labels (pointer jumping), so the number of rounds
-    grows with the logarithm of a component's length. Each round is written to the shared folder; only the number of
+    grows with the logarithm of a component's length. Each round is written to the shared folder; only whether there were
     changes reaches the driver."""
-    number = lambda x, y: (F.col(x).cast("bigint") + (1 << 30)) * F.lit(1 << 31) + F.col(y).cast("bigint") + (1 << 30)
-    nodes = materialize(cells.select("ix", "iy").distinct().select("ix", "iy", number("ix", "iy").alias("node")), "cc-nodes")
-    around = nodes.select("node", F.explode(square(1, centre=False)).alias("o"), "ix", "iy").select("node", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"))
-    edges = materialize(around.join(nodes.select("ix", "iy", F.col("node").alias("other")), ["ix", "iy"]).select("node", "other"), "cc-edges")
     labels = nodes.select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label")
         # hook: the old label's node learns the smaller label too, then every node follows its label once
         least = near.unionByName(labels).groupBy("node").agg(F.min("label").alias("least"))
@@ -236,8 +273,22 @@ def components(cells: DataFrame, rounds: int = 60) -> DataFrame:
         step = materialize(hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), (F.least("new", F.coalesce("far", "new")) != F.col("label")).alias("changed")), "cc-labels")
         labels = step.select("node", F.col("new").alias("label"))
         if step.where("changed").isEmpty():
-            break
-    return labels.join(nodes, "node").select("ix", "iy", "label")
+            return labels
+
+
+def components(cells: DataFrame) -> DataFrame:
+    """ix, iy, label of the connected components (eight neighbours) of a set of cells; label is the smallest cell number.
+
+    Cells are joined within tiles first, in one pass; what is left is a small graph of the parts that touch across the
+    borders of tiles, and only that goes through the rounds of linked."""
+    tile = [F.expr(f"cast(floor(i{c} / {TILE}) as int)").alias(f"t{c}") for c in "xy"]
+    tiled = by_chunk(cells.select("ix", "iy").distinct().select("ix", "iy", *tile), ["tx", "ty"], ["ix", "iy"])
+    parts = materialize(tiled.mapInArrow(tile_labels, "ix int, iy int, label bigint"), "cc-parts")
+    rim = parts.where(F.pmod("ix", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("iy", F.lit(TILE)).isin(0, TILE - 1))
+    around = rim.select(F.col("label").alias("node"), F.explode(square(1, centre=False)).alias("o"), "ix", "iy").select("node", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"))
+    edges = materialize(around.join(rim.select("ix", "iy", F.col("label").alias("other")), ["ix", "iy"]).where("node <> other").select("node", "other").distinct(), "cc-edges")
+    names = linked(edges.select("node").distinct(), edges)
+    return parts.join(names.withColumnRenamed("label", "least"), F.col("label") == F.col("node"), "left").select("ix", "iy", F.coalesce("least", "label").alias("label"))
 
 
 def column_floor(points: DataFrame, size: float, least: int = 5, share: float = 0.2, bin_size: float = 0.5) -> DataFrame:
