@@ -149,8 +149,35 @@ leak AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 
 
+#: Longest runs of shared windows of twelve words, along which both places grow by one.
+PASSAGES = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, pos - 1 AS a, array_to_string(list_slice(w, pos, pos + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS pos FROM d)),
+ig AS (SELECT item_id, pos - 1 AS b, array_to_string(list_slice(w, pos, pos + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS pos FROM i)),
+m AS (SELECT doc_id, item_id, a, b FROM dg JOIN ig USING (g)),
+n AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS run FROM m),
+r AS (SELECT doc_id, item_id, count(*) + 11 AS n, min(a) AS a, min(b) AS b FROM n GROUP BY doc_id, item_id, a - b, run)
+SELECT doc_id, item_id, CAST(n AS INT) AS match_words, CAST(a AS INT) AS doc_word, CAST(b AS INT) AS item_word FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, a, b) = 1
+"""
+CLASSES = r"""
+WITH k AS (SELECT result_id, any_value(kept) AS kept FROM filter_results WHERE result_id IS NOT NULL GROUP BY 1),
+u AS (SELECT result_id, unnest(kept) AS text, unnest(range(len(kept))) AS pos FROM k),
+r AS (
+  SELECT 'e:' || episode_id AS key, min(instruction) AS text FROM episodes WHERE instruction IS NOT NULL AND episode_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'k:' || result_id || ':' || pos, text FROM u WHERE text IS NOT NULL),
+s AS (SELECT key, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS words FROM r),
+c AS (SELECT md5(array_to_string(words, ' ')) AS class_id, any_value(words) AS words, count(*) AS copies FROM s WHERE len(words) > 0 GROUP BY 1),
+p AS (SELECT x.class_id AS a, count(*) AS links FROM c x JOIN c y ON x.class_id <> y.class_id AND 10 * least(len(x.words), len(y.words)) >= 7 * greatest(len(x.words), len(y.words))
+      WHERE 10 * len(list_intersect(x.words, y.words)) >= 7 * (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) GROUP BY 1)
+SELECT key, class_id, copies, coalesce(links, 0) AS links FROM s JOIN c ON class_id = md5(array_to_string(s.words, ' ')) LEFT JOIN p ON a = class_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_classes": CLASSES,
+        "p6_passages": PASSAGES,
         "p1_found": RUNS + "SELECT episode_id, first_frame_idx, last_frame_idx FROM r WHERE frames >= 2",
         "p1_runs": RUNS + "SELECT * FROM r",
         "p2_found": RECORDS + "SELECT rec_a, rec_b FROM p WHERE 10 * common >= 7 * (both_ - common)",
