@@ -135,8 +135,10 @@ def openness(spark, d):
 
 
 def parked_cars(spark, d):
+    """Groups of points of a car's height and size under open sky, with the detector's own limits."""
     p = points(spark, d)
-    return occ.parked_cars(p, occ.column_floor(p, GRID.voxel).withColumn("floor", F.lit(0.0)), GRID.voxel, (0.2, 2.2), 60.0, (1.3, 40.0), 3)
+    c = occ.parked_cars(p, occ.column_floor(p, GRID.voxel), GRID.voxel)
+    return c.select("label", "points", scaled(F.col("width_x"), 2).alias("width_x_e2"), scaled(F.col("width_y"), 2).alias("width_y_e2"))
 
 
 def risk_field(spark, d):
@@ -236,6 +238,10 @@ ORACLE = {
       w AS (SELECT ray_id, min(k / n) AS wall FROM k JOIN bl ON bl.ix = {_cell('ax + (bx - ax) * (k / n)')} AND bl.iy = {_cell('ay + (by_ - ay) * (k / n)')} GROUP BY 1)
       SELECT ray_id AS move_id, CASE WHEN NOT ({_real('ax', 'ay', 'bx', 'by_')}) THEN NULL WHEN wall IS NULL OR wall > 1 THEN 100 WHEN wall > 0.75 THEN 75 WHEN wall > 0.5 THEN 50 WHEN wall > 0.25 THEN 25 WHEN wall > 0.1 THEN 10 WHEN wall > 0.05 THEN 5 ELSE 0 END AS share_e2 FROM ry LEFT JOIN w USING (ray_id)""",
     "histogram_floor": f"WITH {_FLOOR} SELECT ix, iy, {e('floor', 1)} AS floor_e1 FROM fo",
+    "parked_cars": f"""WITH RECURSIVE {_FLOOR}, hp AS (SELECT pt.*, z - floor AS h FROM pt JOIN fo USING (ix, iy)), op AS (SELECT ix, iy FROM hp GROUP BY 1, 2 HAVING max(h) < 4.0), bo AS (SELECT hp.* FROM hp SEMI JOIN op USING (ix, iy) WHERE h BETWEEN 0.3 AND 2.2), bl AS (SELECT DISTINCT ix, iy FROM bo),
+      r(ix, iy, sx, sy) AS (SELECT ix, iy, ix, iy FROM bl UNION SELECT b.ix, b.iy, r.sx, r.sy FROM r JOIN bl b ON b.ix BETWEEN r.ix - 1 AND r.ix + 1 AND b.iy BETWEEN r.iy - 1 AND r.iy + 1),
+      lb AS (SELECT ix, iy, min((CAST(sx AS BIGINT) + 1073741824) * 2147483648 + sy + 1073741824) AS label FROM r GROUP BY 1, 2), bx AS (SELECT label, count(*) AS points, max(x) - min(x) AS wx, max(y) - min(y) AS wy FROM bo JOIN lb USING (ix, iy) GROUP BY 1)
+      SELECT label, points, {e('wx', 2)} AS width_x_e2, {e('wy', 2)} AS width_y_e2 FROM bx WHERE points >= 25 AND greatest(wx, wy) BETWEEN 1.3 AND 7.0""",
     "openness": f"WITH {_FLOOR} SELECT ix, iy, {e('avg(CAST(z <= floor + 1.0 AS INT))')} AS open_e4 FROM pt JOIN fo USING (ix, iy) GROUP BY 1, 2",
     "risk_field": f"""WITH {_BLD}, o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j) WHERE i * i + j * j <= 4),
       s AS (SELECT ix + i AS ix, iy + j AS iy, i, j FROM bl, o), c AS (SELECT ix, iy, min(sqrt(i * i + j * j) * 4.0) AS d, max(CAST(i = 0 AND j BETWEEN 1 AND 3 AS INT)) + max(CAST(i = 0 AND -j BETWEEN 1 AND 3 AS INT)) AS ns, max(CAST(j = 0 AND i BETWEEN 1 AND 3 AS INT)) + max(CAST(j = 0 AND -i BETWEEN 1 AND 3 AS INT)) AS ew FROM s GROUP BY 1, 2),
