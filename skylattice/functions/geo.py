@@ -74,6 +74,13 @@ def frustum_wedge(x: Column, y: Column, yaw: Column, hfov_deg: Column, length: f
     return F.array(F.struct(x.alias("x"), y.alias("y")), corner(yaw - half), corner(yaw + half))
 
 
+def box_corners(x: Column, y: Column, ground: Column, heading: Column, length: float = 4.6, width: float = 2.0, height: float = 1.6) -> Column:
+    """The eight corners of a car-sized box on the ground: ahead before behind, left before right, low before high."""
+    c, s = F.cos(heading), F.sin(heading)
+    corner = lambda a, b, h: F.struct((x + a * c - b * s).alias("x"), (y + a * s + b * c).alias("y"), (ground + h).alias("z"))
+    return F.array(*[corner(a * length / 2, b * width / 2, h) for a in (1, -1) for b in (1, -1) for h in (0.0, height)])
+
+
 def valid_pose(x: Column, y: Column, z: Column, qw: Column, qx: Column, qy: Column, qz: Column) -> Column:
     """Whether all seven numbers are finite and the pose isn't exactly the identity, which stands for a missing object."""
     parts = (x, y, z, qw, qx, qy, qz)

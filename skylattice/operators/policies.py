@@ -135,6 +135,22 @@ def tracker_modes(frames: DataFrame) -> DataFrame:
     return f.select("episode_id", "frame_idx", mode.alias("mode"))
 
 
+#: The older tracker's patience in seconds. Fixed values.
+OLD_PREDICT, OLD_SEARCH = 0.25, 0.6
+
+
+def old_tracker_modes(frames: DataFrame) -> DataFrame:
+    """The mode of the older tracker: track while the target is seen and shortly after, then predict, then search, by the
+    time since the current lost stretch began. A found target is tracked at once."""
+    f = frames.where("timestamp_s is not null").select("episode_id", "frame_idx", "timestamp_s", F.coalesce("target_visible", F.lit(False)).alias("seen"))
+    f = annotate(f, "episode_id", "frame_idx", lag={"b": F.struct("seen")})
+    began = F.when(~F.col("seen") & (F.col("b").isNull() | F.col("b")["seen"]), F.col("timestamp_s"))
+    f = annotate(f.withColumn("t0", began).drop("b"), "episode_id", "frame_idx", carry={"t1": F.col("t0")})
+    lost = F.col("timestamp_s") - F.coalesce("t0", "t1")
+    mode = F.when(F.col("seen") | (lost < OLD_PREDICT), "track").when(lost < OLD_SEARCH, "predict").otherwise("search")
+    return f.select("episode_id", "frame_idx", mode.alias("mode"))
+
+
 def next_altitude(z: float, filtered: float, wished: float, dt: float, tau: float = 4.0, climb: float = 1.5, drop: float = 2.0) -> tuple[float, float]:
     """One step of the altitude controller (z down): the filtered wish, and z moved towards it within the rates."""
     filtered += (1 - math.exp(-dt / tau)) * (wished - filtered)

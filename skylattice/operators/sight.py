@@ -175,6 +175,47 @@ def init_gates(starts: DataFrame, corridors: DataFrame, columns: DataFrame, g: o
     return c.select("start_id", reason.alias("reason"), F.when(reason == "ok", score).alias("score"))
 
 
+def rings(radius: float, step: float, least: int) -> list[tuple[int, float, float]]:
+    """(number, dx, dy) of the centre and of places on rings `step` apart, at least `least` on each, inner ones first."""
+    out, r = [(0, 0.0, 0.0)], step
+    while r <= radius + 1e-6:
+        n = max(least, int(2 * math.pi * r / step))
+        out += [(len(out) + k, r * math.cos(2 * math.pi * k / n), r * math.sin(2 * math.pi * k / n)) for k in range(n)]
+        r += step
+    return out
+
+
+def around(anchors: DataFrame, places: list[tuple[int, float, float]]) -> DataFrame:
+    """anchor_id, n, start_id, x, y: each anchor (anchor_id, x, y) with every place around it."""
+    offsets = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in places])
+    on = anchors.withColumn("o", F.explode(offsets))
+    return on.select("anchor_id", F.col("o.n").alias("n"), F.struct("anchor_id", F.col("o.n").alias("n")).alias("start_id"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"))
+
+
+def road_seeds(anchors: DataFrame, blocked: DataFrame, g: occ.Grid, radius: float = 180.0, step: float = 12.0, headings: int = 8, reach: int = 12) -> DataFrame:
+    """anchor_id, n, heading, score: of the free places on rings around each anchor the one, with its heading, that looks
+    most like a major road, near ones preferred. Ties go to the inner place and the smaller heading. Rings start at the
+    x axis: no jitter is drawn."""
+    spread = around(anchors, rings(radius, step, 12)).withColumn("ix", occ.cell(F.col("x"), g.voxel)).withColumn("iy", occ.cell(F.col("y"), g.voxel))
+    free = spread.join(blocked.select("ix", "iy").distinct(), ["ix", "iy"], "left_anti")
+    scored = occ.corridor(occ.free_runs(free, blocked, headings, reach), headings).where("place = 1").select("start_id", "heading", "score")
+    way = F.sqrt((F.col("x") - F.col("anchor_x")) ** 2 + (F.col("y") - F.col("anchor_y")) ** 2)
+    rank = F.struct(F.round(F.col("score") - 0.03 * way, 6).alias("score"), (-F.col("n")).alias("n"), (-F.col("heading")).alias("heading"))
+    best = free.join(scored, "start_id").groupBy("anchor_id").agg(F.max(rank).alias("r"))
+    return best.select("anchor_id", (-F.col("r.n")).alias("n"), (-F.col("r.heading")).alias("heading"), "r.score")
+
+
+def spiral_starts(anchors: DataFrame, blocked: DataFrame, columns: DataFrame, g: occ.Grid, radius: float = 32.0, step: float = 4.0) -> DataFrame:
+    """anchor_id, n, score: the first place of a spiral around each anchor that passes all gates of a start; without one n
+    is 0, the anchor itself, and the score null."""
+    starts = around(anchors, rings(radius, step, 8))
+    cells = starts.select("start_id", occ.cell(F.col("x"), g.voxel).alias("ix"), occ.cell(F.col("y"), g.voxel).alias("iy"))
+    roads = occ.corridor(occ.free_runs(cells, blocked, 8, 12), 8).where("place = 1")
+    good = init_gates(starts, roads, columns, g).where("reason = 'ok'")
+    first = good.groupBy(F.col("start_id.anchor_id").alias("anchor_id")).agg(F.min(F.struct("start_id.n", "score")).alias("f"))
+    return anchors.select("anchor_id").join(first, "anchor_id", "left").select("anchor_id", F.coalesce("f.n", F.lit(0)).alias("n"), F.col("f.score").alias("score"))
+
+
 # Height fields --------------------------------------------------------------------------------------------------------
 
 

@@ -85,3 +85,12 @@ def missing_files(references: DataFrame, listing: DataFrame, path: str = "path")
 
 def batch_manifest(report: DataFrame) -> DataFrame:
     return report.agg(F.count(F.lit(1)).alias("episodes"), F.count_if("passed").alias("passed"), F.sum("frames").alias("frames"))
+
+
+def color_boxes(pixels: DataFrame, samples: DataFrame, least: int = 12) -> DataFrame:
+    """image, x0, y0, x1, y1, pixels: the box of all pixels (image, x, y, r, g, b) that have their image's sampled colour
+    (image, r, g, b). Near-black colours are background; boxes of fewer than `least` pixels don't count."""
+    wanted = samples.where("greatest(r, g, b) > 2").select("image", "r", "g", "b")
+    own = pixels.select("image", "x", "y", "r", "g", "b").distinct().join(wanted, ["image", "r", "g", "b"], "left_semi")
+    box = own.groupBy("image").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("pixels"))
+    return box.where(F.col("pixels") >= least)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 from skylattice.functions.poses import parse_pose
-from skylattice.operators import kinematics, metrics, text
+from skylattice.operators import kinematics, metrics, policies, text, validation
 from skylattice.operators.metrics import scaled
+from skylattice.operators.sequence import annotate
 from skylattice.plans.tracking import EPISODES, FRAMES, e, episodes, frames
 from skylattice.session import table
 
@@ -210,12 +211,43 @@ def smoothed_pose(spark, d):
     return x.join(y, ["episode_id", "frame_idx"]).join(z, ["episode_id", "frame_idx"])
 
 
+def old_tracker(spark, d):
+    return policies.old_tracker_modes(frames(spark, d))
+
+
+def zipped_tracks(spark, d):
+    """The n-th known drone place of an episode next to its n-th known target place, as far as both go."""
+    def numbered(name):
+        f = frames(spark, d).where(f"abs({name}_x) < 1e5 and abs({name}_y) < 1e5").select("episode_id", "frame_idx", f"{name}_x", f"{name}_y")
+        return annotate(f, "episode_id", "frame_idx", running={"n": F.lit(1)}).drop("frame_idx")
+
+    both = numbered("uav").join(numbered("target"), ["episode_id", "n"])
+    return both.select("episode_id", "n", scaled(F.sqrt((F.col("uav_x") - F.col("target_x")) ** 2 + (F.col("uav_y") - F.col("target_y")) ** 2), 3).alias("gap_e3"))
+
+
+def car_corners(spark, d):
+    """The corners of the car that each target is taken for, on the map."""
+    f = frames(spark, d).where("abs(target_x) < 1e5 and abs(target_y) < 1e5 and target_z is not null and target_yaw is not null")
+    corners = geo.box_corners(F.col("target_x"), -F.col("target_y"), -F.col("target_z"), -F.col("target_yaw"))
+    c = f.select("episode_id", "frame_idx", F.posexplode(corners).alias("corner", "p"))
+    return c.select("episode_id", "frame_idx", "corner", *[scaled(F.col(f"p.{a}"), 2).alias(f"{a}_e2") for a in "xyz"])
+
+
+def color_boxes(spark, d):
+    """Where each episode's frames fall in an image of whole metres, coloured by tracker mode; sampled at its first frame."""
+    f = frames(spark, d).where("abs(target_x) < 1e5 and abs(target_y) < 1e5")
+    n = F.length(F.coalesce("tracker_mode", F.lit("")))
+    px = f.select(F.col("episode_id").alias("image"), "frame_idx", F.floor("target_x").cast("int").alias("x"), F.floor("target_y").cast("int").alias("y"), (n * 20).alias("r"), n.alias("g"), F.when(F.coalesce("target_visible", F.lit(False)), 90).otherwise(0).alias("b"))
+    first = px.groupBy("image").agg(F.min(F.struct("frame_idx", "r", "g", "b")).alias("s")).select("image", "s.r", "s.g", "s.b")
+    return validation.color_boxes(px, first)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         engine_coordinates, box_motion, quaternion_headings, occluded_frames, action_vector, camera_projection, episode_names, fov_centering, frustum_wedges, valid_poses,
         last_labels, first_values, tier_fills, stand_in_appearance, building_names, pose_numbers, shuffled_reports, first_category, scene_bounds, frustum_fraction,
-        filled_times, track_headings, track_resample, stuck_resets, spaced_track, exponential_distance, smoothed_pose,
+        filled_times, track_headings, track_resample, stuck_resets, spaced_track, exponential_distance, smoothed_pose, old_tracker, zipped_tracks, car_corners, color_boxes,
     )
 }
 
@@ -313,6 +345,16 @@ ORACLE = {
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY frame_idx) AS n FROM tk), k AS (SELECT episode_id, frame_idx, x, y, n FROM n WHERE n = 1 UNION ALL
       SELECT episode_id, frame_idx, x, y, n FROM (SELECT b.*, row_number() OVER (PARTITION BY b.episode_id ORDER BY b.n) AS r FROM k a JOIN n b ON b.episode_id = a.episode_id AND b.n > a.n AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 >= 4.0) WHERE r = 1)
       SELECT episode_id, frame_idx FROM k""",
+    "old_tracker": f"""WITH {FRAMES}, s AS (SELECT episode_id, frame_idx, timestamp_s AS t, coalesce(target_visible, false) AS seen FROM fr WHERE timestamp_s IS NOT NULL), b AS (SELECT *, CASE WHEN NOT seen AND coalesce(lag(seen) OVER w, true) THEN frame_idx END AS f0 FROM s {_OVER}),
+      c AS (SELECT *, max(f0) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS f1 FROM b), l AS (SELECT c.*, c.t - a.t AS lost FROM c LEFT JOIN s a ON a.episode_id = c.episode_id AND a.frame_idx = c.f1)
+      SELECT episode_id, frame_idx, CASE WHEN seen OR lost < 0.25 THEN 'track' WHEN lost < 0.6 THEN 'predict' ELSE 'search' END AS mode FROM l""",
+    "zipped_tracks": f"""WITH {FRAMES}, u AS (SELECT episode_id, uav_x AS x, uav_y AS y, row_number() OVER w AS n FROM fr WHERE abs(uav_x) < 1e5 AND abs(uav_y) < 1e5 {_OVER}), t AS (SELECT episode_id, target_x AS tx, target_y AS ty, row_number() OVER w AS n FROM fr WHERE abs(target_x) < 1e5 AND abs(target_y) < 1e5 {_OVER})
+      SELECT episode_id, n, {e('sqrt((x - tx) ** 2 + (y - ty) ** 2)', 3)} AS gap_e3 FROM u JOIN t USING (episode_id, n)""",
+    "car_corners": f"""WITH {FRAMES}, o(corner, a, b, h) AS (VALUES {', '.join(f'({i}, {a}, {b}, {h})' for i, (a, b, h) in enumerate((a * 2.3, b * 1.0, h) for a in (1, -1) for b in (1, -1) for h in (0.0, 1.6)))})
+      SELECT episode_id, frame_idx, corner, {e('target_x + a * cos(-target_yaw) - b * sin(-target_yaw)', 2)} AS x_e2, {e('-target_y + a * sin(-target_yaw) + b * cos(-target_yaw)', 2)} AS y_e2, {e('-target_z + h', 2)} AS z_e2 FROM fr, o WHERE abs(target_x) < 1e5 AND abs(target_y) < 1e5 AND target_z IS NOT NULL AND target_yaw IS NOT NULL""",
+    "color_boxes": f"""WITH {FRAMES}, p AS (SELECT episode_id AS image, frame_idx, CAST(floor(target_x) AS INT) AS x, CAST(floor(target_y) AS INT) AS y, length(coalesce(tracker_mode, '')) * 20 AS r, length(coalesce(tracker_mode, '')) AS g, CASE WHEN coalesce(target_visible, false) THEN 90 ELSE 0 END AS b FROM fr WHERE abs(target_x) < 1e5 AND abs(target_y) < 1e5),
+      s AS (SELECT image, min_by(struct_pack(r := r, g := g, b := b), frame_idx) AS c FROM p GROUP BY 1), q AS (SELECT DISTINCT image, x, y FROM p JOIN s USING (image) WHERE r = c.r AND g = c.g AND b = c.b AND greatest(r, g, b) > 2)
+      SELECT image, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS pixels FROM q GROUP BY 1 HAVING count(*) >= 12""",
     "stuck_resets": _TRACK
     + f""", l AS (SELECT episode_id, frame_idx, {_LAG}, row_number() OVER w AS n FROM tk {_OVER}), s AS (SELECT *, coalesce(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) < 0.05, false) AS still FROM l),
       m AS (SELECT *, coalesce(max(CASE WHEN NOT still THEN n END) OVER (PARTITION BY episode_id ORDER BY frame_idx), 0) AS moved FROM s) SELECT episode_id, frame_idx FROM m WHERE still AND (n - moved) % 6 = 0""",

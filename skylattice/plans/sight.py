@@ -129,6 +129,21 @@ def init_gates_relaxed(spark, d):
     return _init(spark, d, True)
 
 
+def _anchors(spark, d):
+    return space.sites(spark, d).withColumnRenamed("site_id", "anchor_id")
+
+
+def road_seeds(spark, d):
+    r = sight.road_seeds(_anchors(spark, d), space._columns(spark, d).where("is_building"), GRID)
+    return r.select("anchor_id", "n", "heading", scaled(F.col("score"), 2).alias("score_e2"))
+
+
+def spiral_starts(spark, d):
+    columns = space._columns(spark, d)
+    r = sight.spiral_starts(_anchors(spark, d), columns.where("is_building"), columns, GRID)
+    return r.select("anchor_id", "n", scaled(F.col("score"), 2).alias("score_e2"))
+
+
 def ground_field(spark, d):
     g = sight.ground_field(space.points(spark, d), GRID.voxel)
     return g.select("ix", "iy", "points", scaled(F.col("floor"), 3).alias("floor_e3"), scaled(F.col("roof"), 3).alias("roof_e3"), scaled(F.col("open")).alias("open_e4"), "is_road")
@@ -148,7 +163,7 @@ def car_anchor(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (raised_los, occluder_between, annotated_los, hidden_from_all, sideways_room, edge_penalty, lateral_penalty, route_occlusion, anchor_heading, init_gates, init_gates_relaxed, ground_field, surface_lookup, car_anchor)
+    for q in (raised_los, occluder_between, annotated_los, hidden_from_all, sideways_room, edge_penalty, lateral_penalty, route_occlusion, anchor_heading, init_gates, init_gates_relaxed, road_seeds, spiral_starts, ground_field, surface_lookup, car_anchor)
 }
 
 # SQL ----------------------------------------------------------------------------------------------------------------
@@ -188,6 +203,18 @@ def _gates_sql(relaxed: bool) -> str:
       SELECT start_id, reason, CASE WHEN reason = 'ok' THEN {e('score + 0.4 * w + 0.15 * least(f, 60.0) + 0.05 * dr - 3.0 * slope - 0.04 * greatest(0.0, coalesce(moved, 0.0) - 80.0)', 2)} END AS score_e2 FROM go"""
 
 
+def _spread(sql: str, places: list[tuple[int, float, float]]) -> str:
+    """SQL over sites, asked of the places around each site instead: site_id is 1000 times the site's plus the number."""
+    values = ", ".join(f"({n}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for n, x, y in places)
+    return sql.replace(space._SITES, space._SITES.replace("st AS (", "s9 AS (") + f", st AS (SELECT s9.site_id * 1000 + n AS site_id, s9.x + dx AS x, s9.y + dy AS y FROM s9, (VALUES {values}) AS o9(n, dx, dy))")
+
+
+_SEEDS = _spread(_ROAD_HEAD.rstrip(), sight.rings(180.0, 12.0, 12)) + f""", {_BEST}, q AS (SELECT start_id // 1000 AS anchor_id, CAST(start_id % 1000 AS INT) AS n, heading, round(score - 0.03 * sqrt((st.x - s9.x) ** 2 + (st.y - s9.y) ** 2), 6) AS s
+  FROM xb JOIN st ON st.site_id = start_id JOIN s9 ON s9.site_id = start_id // 1000 JOIN sc USING (start_id) ANTI JOIN bl ON bl.ix = sc.ix AND bl.iy = sc.iy)
+SELECT anchor_id, n, heading, {e('s', 2)} AS score_e2 FROM q QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, n, heading) = 1"""
+_SPIRAL = _spread(_gates_sql(False).replace("JOIN frame_records ON record_id = site_id", "JOIN frame_records ON record_id = site_id // 1000").replace("WHEN moved > 40 THEN 'shift_too_far' ", "").replace("SELECT site_id AS start_id, st.x AS sx, st.y AS sy, target_pose_world.x AS tx, -target_pose_world.y AS ty FROM st JOIN frame_records ON record_id = site_id // 1000", "SELECT st.site_id AS start_id, st.x AS sx, st.y AS sy, s9.x AS tx, s9.y AS ty FROM st JOIN s9 ON s9.site_id = st.site_id // 1000"), sight.rings(32.0, 4.0, 8))
+_SPIRAL = f"WITH al AS ({_SPIRAL}), fg AS (SELECT start_id // 1000 AS anchor_id, min(struct_pack(n := CAST(start_id % 1000 AS INT), s := score_e2)) AS f FROM al WHERE reason = 'ok' GROUP BY 1), {space._SITES} SELECT site_id AS anchor_id, coalesce(f.n, 0) AS n, f.s AS score_e2 FROM st LEFT JOIN fg ON anchor_id = site_id"
+
 _FIELD = f"""g0 AS (SELECT ix, iy, CAST(floor(z * 1000 + 0.5) AS BIGINT) AS mm FROM pt WHERE {space._real('x', 'y', 'z')}),
 g1 AS (SELECT ix, iy, count(*) AS total, quantile_cont(mm, 0.01) AS p01, quantile_cont(mm, 0.99) AS p99, quantile_cont(mm, 0.5) AS med, min(mm) AS lo, max(mm) AS hi FROM g0 GROUP BY 1, 2 HAVING count(*) >= 4),
 g2 AS (SELECT *, greatest(4, CAST(floor((p99 - p01) / 1000) AS INT)) AS bins FROM g1),
@@ -230,6 +257,8 @@ ORACLE = {
       SELECT start_id, heading, {e('s', 3)} AS score_e3 FROM i QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY s DESC, heading) = 1""",
     "init_gates": _gates_sql(False),
     "init_gates_relaxed": _gates_sql(True),
+    "road_seeds": _SEEDS,
+    "spiral_starts": _SPIRAL,
     "ground_field": f"WITH {space._POINTS}, {_FIELD} SELECT ix, iy, points, {e('floor', 3)} AS floor_e3, {e('roof', 3)} AS roof_e3, {e('open')} AS open_e4, open >= 0.6 AND floor <= 1e9 AS is_road FROM gf",
     "surface_lookup": f"""WITH {space._POINTS}, {_FIELD}, {space._RAYS}, q AS (SELECT ray_id AS point_id, {space._cell('bx')} AS px, {space._cell('by_')} AS py FROM ry), m AS (SELECT point_id, greatest(abs(ix - px), abs(iy - py)) AS ring, floor, roof FROM q JOIN gf ON ix BETWEEN px - 2 AND px + 2 AND iy BETWEEN py - 2 AND py + 2),
       n AS (SELECT point_id, min(ring) AS least FROM m GROUP BY 1), r AS (SELECT point_id, median(floor) AS ground, max(roof) AS roof FROM m JOIN n USING (point_id) WHERE ring <= least GROUP BY 1) SELECT point_id, {e('ground', 2)} AS ground_e2, {e('roof', 3)} AS roof_e3 FROM q LEFT JOIN r USING (point_id)""",
