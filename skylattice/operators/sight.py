@@ -216,6 +216,38 @@ def spiral_starts(anchors: DataFrame, blocked: DataFrame, columns: DataFrame, g:
     return anchors.select("anchor_id").join(first, "anchor_id", "left").select("anchor_id", F.coalesce("f.n", F.lit(0)).alias("n"), F.col("f.score").alias("score"))
 
 
+def street_headings(free: DataFrame, hints: DataFrame, cell: float, short: float = 3.0) -> DataFrame:
+    """start_id, heading: of a start's headings (start_id, heading, free cells ahead) the one with the longest free way, ties
+    to the smaller number; where even that is shorter than `short` metres, the hint (start_id, hint number)."""
+    best = free.groupBy("start_id").agg(F.max(F.struct("free", (-F.col("heading")).alias("h"))).alias("b"))
+    both = best.join(hints, "start_id", "left")
+    return both.select("start_id", F.when((F.col("b.free") * cell < short) & F.col("hint").isNotNull(), F.col("hint")).otherwise(-F.col("b.h")).cast("int").alias("heading"), (F.col("b.free") * cell).alias("ahead"))
+
+
+def street_risk(blocked: DataFrame, g: occ.Grid, decay: float = 9.0, alley: float = 9.0, branch: float = 13.0, near: float = 26.0, weights: tuple[float, float, float] = (0.78, 0.70, 0.58)) -> DataFrame:
+    """ix, iy, edge, alley, crossing, risk of the free cells near blocked ones: how near a wall is; how many of four axes
+    have walls at both ends; how many of eight ways out are free. Cells beyond `near` of any wall have no risk and no row.
+    Every cell asks about a fixed set of offsets, so the field is one equi-join and one aggregation."""
+    at = lambda m: max(1, round(m / g.voxel))
+    disc, p, q, reach = int(decay / g.voxel), at(alley), at(branch), at(near)
+    walls = blocked.select("ix", "iy").distinct()
+    cells = walls.select("ix", "iy", F.explode(occ.square(reach)).alias("o")).select((F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy")).distinct().join(walls, ["ix", "iy"], "left_anti")
+    near_ = [("d", math.hypot(i, j) * g.voxel, i, j) for i in range(-disc, disc + 1) for j in range(-disc, disc + 1) if 0 < i * i + j * j <= (decay / g.voxel) ** 2]
+    ends = [(f"{k}{side}", 0.0, side * i * p, side * j * p) for k, (i, j) in enumerate(((1, 0), (0, 1), (1, 1), (1, -1))) for side in (1, -1)]
+    ring = [("r", 0.0, i * q, j * q) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    asks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m"), F.lit(i).alias("dx"), F.lit(j).alias("dy")) for k, m, i, j in near_ + ends + ring])
+    asked = cells.select(F.col("ix").alias("cx"), F.col("iy").alias("cy"), F.explode(asks).alias("a")).select("cx", "cy", "a.k", "a.m", (F.col("cx") + F.col("a.dx")).alias("ix"), (F.col("cy") + F.col("a.dy")).alias("iy"))
+    hits = asked.join(walls, ["ix", "iy"], "left_semi").groupBy("cx", "cy").agg(F.min(F.when(F.col("k") == "d", F.col("m"))).alias("d"), F.count_if(F.col("k") == "r").alias("shut"), F.collect_set(F.when(~F.col("k").isin("d", "r"), F.col("k"))).alias("ends"))
+    on = cells.join(hits.select(F.col("cx").alias("ix"), F.col("cy").alias("iy"), "d", "shut", "ends"), ["ix", "iy"], "left")
+    has = lambda k: F.coalesce(F.array_contains("ends", k), F.lit(False))
+    flanks = sum(((has(f"{k}1") & has(f"{k}-1")).cast("int") for k in range(4)), F.lit(0))
+    edge = F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.col("d") / decay), F.lit(0.0))
+    narrow = F.least(F.lit(1.0), flanks / 2.0)
+    crossing = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (8 - F.coalesce("shut", F.lit(0)) - 3.0) / 4.0))
+    out = on.select("ix", "iy", edge.alias("edge"), narrow.alias("alley"), crossing.alias("crossing"))
+    return out.withColumn("risk", F.least(F.lit(1.0), F.greatest(weights[1] * F.col("alley"), weights[0] * F.col("edge")) + weights[2] * F.col("crossing")))
+
+
 # Height fields --------------------------------------------------------------------------------------------------------
 
 

@@ -144,6 +144,18 @@ def spiral_starts(spark, d):
     return r.select("anchor_id", "n", scaled(F.col("score"), 2).alias("score_e2"))
 
 
+def street_headings(spark, d):
+    free = occ.free_runs(space._starts(spark, d), space._columns(spark, d).where("is_building"), 8, 12)
+    hints = space.sites(spark, d).select(F.col("site_id").alias("start_id"), F.pmod("site_id", F.lit(8)).alias("hint"))
+    h = sight.street_headings(free, hints, GRID.voxel)
+    return h.select("start_id", "heading", scaled(F.col("ahead"), 1).alias("ahead_e1"))
+
+
+def street_risk(spark, d):
+    r = sight.street_risk(space._columns(spark, d).where("is_building"), GRID)
+    return r.select("ix", "iy", *[scaled(F.col(c)).alias(f"{c}_e4") for c in ("edge", "alley", "crossing", "risk")])
+
+
 def ground_field(spark, d):
     g = sight.ground_field(space.points(spark, d), GRID.voxel)
     return g.select("ix", "iy", "points", scaled(F.col("floor"), 3).alias("floor_e3"), scaled(F.col("roof"), 3).alias("roof_e3"), scaled(F.col("open")).alias("open_e4"), "is_road")
@@ -163,7 +175,7 @@ def car_anchor(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (raised_los, occluder_between, annotated_los, hidden_from_all, sideways_room, edge_penalty, lateral_penalty, route_occlusion, anchor_heading, init_gates, init_gates_relaxed, road_seeds, spiral_starts, ground_field, surface_lookup, car_anchor)
+    for q in (raised_los, occluder_between, annotated_los, hidden_from_all, sideways_room, edge_penalty, lateral_penalty, route_occlusion, anchor_heading, init_gates, init_gates_relaxed, road_seeds, spiral_starts, street_headings, street_risk, ground_field, surface_lookup, car_anchor)
 }
 
 # SQL ----------------------------------------------------------------------------------------------------------------
@@ -257,6 +269,14 @@ ORACLE = {
       SELECT start_id, heading, {e('s', 3)} AS score_e3 FROM i QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY s DESC, heading) = 1""",
     "init_gates": _gates_sql(False),
     "init_gates_relaxed": _gates_sql(True),
+    "street_headings": f"""{space._FREE}, b AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY free DESC, heading) = 1)
+      SELECT start_id, CAST(CASE WHEN free * 4.0 < 3 THEN ((start_id % 8) + 8) % 8 ELSE heading END AS INT) AS heading, {e('free * 4.0', 1)} AS ahead_e1 FROM b""",
+    "street_risk": f"""WITH {space._BLD}, ce AS (SELECT DISTINCT ix + i AS ix, iy + j AS iy FROM bl, (SELECT unnest(range(-6, 7)) AS i), (SELECT unnest(range(-6, 7)) AS j)), c0 AS (SELECT * FROM ce ANTI JOIN bl USING (ix, iy)),
+      ed AS (SELECT c0.ix, c0.iy, min(sqrt((bl.ix - c0.ix) ** 2 + (bl.iy - c0.iy) ** 2) * 4.0) AS d FROM c0 JOIN bl ON bl.ix BETWEEN c0.ix - 2 AND c0.ix + 2 AND bl.iy BETWEEN c0.iy - 2 AND c0.iy + 2 WHERE (bl.ix - c0.ix) ** 2 + (bl.iy - c0.iy) ** 2 <= 81.0 / 16 GROUP BY 1, 2),
+      ax(k, dx, dy) AS (VALUES (0, 2, 0), (1, 0, 2), (2, 2, 2), (3, 2, -2)), fl AS (SELECT c0.ix, c0.iy, count(*) AS n FROM c0, ax JOIN bl p ON p.ix = c0.ix + dx AND p.iy = c0.iy + dy JOIN bl m ON m.ix = c0.ix - dx AND m.iy = c0.iy - dy GROUP BY 1, 2),
+      rg AS (SELECT c0.ix, c0.iy, count(*) AS n FROM c0, (SELECT unnest([-3, 0, 3]) AS i), (SELECT unnest([-3, 0, 3]) AS j) JOIN bl ON bl.ix = c0.ix + i AND bl.iy = c0.iy + j WHERE i <> 0 OR j <> 0 GROUP BY 1, 2),
+      t AS (SELECT c0.ix, c0.iy, coalesce(greatest(0.0, 1.0 - d / 9.0), 0.0) AS edge, least(1.0, coalesce(fl.n, 0) / 2.0) AS alley, greatest(0.0, least(1.0, (8 - coalesce(rg.n, 0) - 3.0) / 4.0)) AS crossing FROM c0 LEFT JOIN ed USING (ix, iy) LEFT JOIN fl USING (ix, iy) LEFT JOIN rg USING (ix, iy))
+      SELECT ix, iy, {e('edge')} AS edge_e4, {e('alley')} AS alley_e4, {e('crossing')} AS crossing_e4, {e('least(1.0, greatest(0.70 * alley, 0.78 * edge) + 0.58 * crossing)')} AS risk_e4 FROM t""",
     "road_seeds": _SEEDS,
     "spiral_starts": _SPIRAL,
     "ground_field": f"WITH {space._POINTS}, {_FIELD} SELECT ix, iy, points, {e('floor', 3)} AS floor_e3, {e('roof', 3)} AS roof_e3, {e('open')} AS open_e4, open >= 0.6 AND floor <= 1e9 AS is_road FROM gf",
