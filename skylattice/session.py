@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Entity chunks hold this many consecutive frame indices; frame_idx is a 32-bit int, so one episode has at most 2**31 / BLOCK chunks.
 BLOCK = 4096
+_deleted_on_exit: set[str] = set()
 
 
 def build_session(app: str = "skylattice", cores: str | None = None, partitions: int = 8) -> SparkSession:
@@ -42,9 +43,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor costs nothing. The
+    application's tables are deleted when its driver ends."""
+    sc = df.sparkSession.sparkContext
+    folder = f"{scratch_dir(df.sparkSession)}/{sc.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if folder not in _deleted_on_exit:
+        _deleted_on_exit.add(folder)
+        place = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
