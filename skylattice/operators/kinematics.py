@@ -102,19 +102,21 @@ def velocities(frames: DataFrame) -> DataFrame:
 
 
 def headings(frames: DataFrame) -> DataFrame:
-    """Heading of each step of the target; a step of a millimetre or less keeps the last heading, at first 0."""
+    """Heading of each step of the target; a step of a millimetre or less keeps the last heading, at first 0. before: the
+    heading of the frame before, null in the first."""
     f = frames.where("target_x is not null and target_y is not null").select("episode_id", "frame_idx", "target_x", "target_y", "target_visible", "line_of_sight_clear")
     f = annotate(f, "episode_id", "frame_idx", lag={"p": F.struct("target_x", "target_y")})
     dx, dy = F.col("target_x") - F.col("p")["target_x"], F.col("target_y") - F.col("p")["target_y"]
     moved = F.when(F.sqrt(dx * dx + dy * dy) > LEAST_STEP, F.atan2(dy, dx))
-    f = annotate(f.withColumn("h", moved).drop("p"), "episode_id", "frame_idx", carry={"kept": F.col("h")})
-    return f.select("episode_id", "frame_idx", F.coalesce("h", "kept", F.lit(0.0)).alias("heading"), "target_visible", "line_of_sight_clear")
+    f = annotate(f.withColumn("h", moved).withColumn("first", F.col("p").isNull()).drop("p"), "episode_id", "frame_idx", carry={"kept": F.col("h")})
+    # the last step that moved before this one is the heading of the frame before
+    return f.select("episode_id", "frame_idx", F.coalesce("h", "kept", F.lit(0.0)).alias("heading"), F.when(~F.col("first"), F.coalesce("kept", F.lit(0.0))).alias("before"), "target_visible", "line_of_sight_clear")
 
 
 def behavior(frames: DataFrame) -> DataFrame:
     """Per episode: population deviation of the turn rate, direction changes (sign flips of turns beyond the deadband,
     smaller turns taken out first), occluded share, and the class of them."""
-    h = annotate(headings(frames), "episode_id", "frame_idx", lag={"before": F.col("heading")})
+    h = headings(frames)
     turn = F.degrees(wrap_to_pi(F.col("heading") - F.col("before")))
     h = h.withColumn("turn", turn)
     sign = F.when(F.abs("turn") > DEADBAND_DEG, F.signum("turn").cast("int"))

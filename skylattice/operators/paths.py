@@ -91,3 +91,30 @@ def smooth_routes(waypoints: DataFrame) -> DataFrame:
 
     kept = waypoints.where("route_id is not null and ord is not null and x is not null and y is not null").select("route_id", "ord", "x", "y")
     return kept.groupBy("route_id").applyInPandas(run, f"route_id {dict(kept.dtypes)['route_id']}, k int, s double, x double, y double, heading double, curvature double, speed double")
+
+
+#: Degrees a second by which a follower can turn. Fixed value.
+TURN_RATE = 60.0
+
+
+def followed(routes: DataFrame, dt: float = 0.2, turn_rate: float = TURN_RATE) -> DataFrame:
+    """route_id, tick, s, x, y, heading of a follower of each path (the result of smooth_routes): every tick it goes on by the
+    path's speed where it is, stands on the path, and turns towards the path's direction no faster than turn_rate. It
+    ends at the path's end. A path is held by one task, and its ticks are bounded by its length over the least speed."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k", kind="stable")
+        s, speed = part["s"].to_numpy(), part["speed"].to_numpy()
+        places = [0.0]
+        while places[-1] < s[-1]:
+            places.append(min(s[-1], places[-1] + float(np.interp(places[-1], s, speed)) * dt))
+        at = np.array(places)
+        wish = np.interp(at, s, np.unwrap(part["heading"].to_numpy()))
+        heading, limit = wish.copy(), np.radians(turn_rate) * dt
+        for i in range(1, len(at)):
+            heading[i] = heading[i - 1] + np.clip(wish[i] - heading[i - 1], -limit, limit)
+        out = pd.DataFrame({"tick": np.arange(len(at), dtype=np.int32), "s": at, "x": np.interp(at, s, part["x"]), "y": np.interp(at, s, part["y"]), "heading": (heading + np.pi) % (2 * np.pi) - np.pi})
+        out.insert(0, "route_id", part["route_id"].iloc[0])
+        return out
+
+    return routes.groupBy("route_id").applyInPandas(run, f"route_id {dict(routes.dtypes)['route_id']}, tick int, s double, x double, y double, heading double")

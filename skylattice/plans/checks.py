@@ -78,14 +78,25 @@ def policy_rollout(spark, d):
     return r.groupBy("episode_id").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("behavior").alias("behaviors"), scaled(F.max("speed"), 2).alias("top_speed_e2"))
 
 
-def smooth_routes(spark, d):
-    """A path through all frames of each episode that have a target position, with its length and speeds."""
+def _paths(spark, d):
+    """A path through all frames of each episode that have a target position."""
     f = distinct_frames(table(spark, d, "frame_records")).where("target_x is not null and target_y is not null")
     ok = (F.abs("target_x") < 1e5) & (F.abs("target_y") < 1e5)
-    p = paths.smooth_routes(f.where(ok).select(F.col("episode_id").alias("route_id"), F.col("frame_idx").alias("ord"), F.col("target_x").alias("x"), F.col("target_y").alias("y")))
+    return paths.smooth_routes(f.where(ok).select(F.col("episode_id").alias("route_id"), F.col("frame_idx").alias("ord"), F.col("target_x").alias("x"), F.col("target_y").alias("y")))
+
+
+def smooth_routes(spark, d):
+    """Length and speeds of each episode's path."""
+    p = _paths(spark, d)
     return p.groupBy("route_id").agg(F.count(F.lit(1)).alias("samples"), scaled(F.max("s"), 1).alias("length_e1"), scaled(F.max("speed"), 2).alias("top_e2"), scaled(F.min("speed"), 2).alias("least_e2"))
 
 
+def followed_routes(spark, d):
+    """How long a follower takes for each episode's path, and how far it gets."""
+    p = paths.followed(_paths(spark, d))
+    return p.groupBy("route_id").agg(F.count(F.lit(1)).alias("ticks"), scaled(F.max("s"), 1).alias("length_e1"))
+
+
 def difficulty_schedule(spark, d):
     """Round-robin order of a batch's episodes over its weighted levels; no weights mean medium throughout."""
     b = table(spark, d, "batch_configs").where("batch_id is not null").dropDuplicates(["batch_id"])
@@ -140,7 +151,7 @@ def stream_ticks(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (export_types, frame_bundle, dataset_report, validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics, stream_ticks)
+    for q in (export_types, frame_bundle, dataset_report, validate_episodes, validate_frames, validation_issues, batch_manifest, missing_exports, tracker_fsm, policy_rollout, smooth_routes, followed_routes, difficulty_schedule, latest_report, distance_percentiles, stream_window_counts, stream_live_metrics, stream_ticks)
 }
 
 _SPATIAL = "json_valid({0}) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[0]'), json_extract_string({0}, '$.pos[0]'), json_extract_string({0}, '$.x')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[1]'), json_extract_string({0}, '$.pos[1]'), json_extract_string({0}, '$.y')) AS DOUBLE) IS NOT NULL) AND (TRY_CAST(coalesce(json_extract_string({0}, '$[2]'), json_extract_string({0}, '$.pos[2]'), json_extract_string({0}, '$.z')) AS DOUBLE) IS NOT NULL)"

@@ -83,3 +83,20 @@ def test_spacing_equals_the_walk(spark):
     df = spark.createDataFrame(rows + [("d", 1, None, 0.0, "n"), (None, 1, 0.0, 0.0, "n")], "episode_id string, frame_idx int, target_x double, target_y double, last string").repartition(6)
     got = [(r.episode_id, r.frame_idx) for r in kinematics.spaced(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_following_keeps_to_the_path_and_its_speeds(spark):
+    import numpy as np
+
+    from skylattice.operators import paths
+
+    points = [("r", i, 8.0 * i, 6.0 * (i % 2)) for i in range(8)] + [("one", 0, 1.0, 1.0)]
+    routes = paths.smooth_routes(spark.createDataFrame(points, "route_id string, ord int, x double, y double"))
+    got = paths.followed(routes).orderBy("tick").toPandas()
+    path = routes.orderBy("k").toPandas()
+    assert set(got["route_id"]) == {"r"} and np.isclose(got["s"].iloc[-1], path["s"].max())
+    step = np.diff(got["s"])
+    assert (step > 0).all() and (step <= np.interp(got["s"][:-1], path["s"], path["speed"]) * 0.2 + 1e-9).all()
+    turn = np.abs((np.diff(got["heading"]) + np.pi) % (2 * np.pi) - np.pi)
+    assert (turn <= np.radians(60) * 0.2 + 1e-9).all()
+    assert paths.followed(routes.limit(0)).count() == 0
