@@ -139,7 +139,28 @@ _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _LOW = "list_transform(regexp_extract_all({}, '[A-Za-z]+'), lambda x: lower(x))"
 _TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 
+
+
+def _filter_sql(group: str, candidates: str, known: str) -> str:
+    """The walk itself: each group's texts that pass the gates, one after another, against the list of accepted token sets.
+    candidates: c0(g, ord, text); known: k0(g, text), accepted beforehand."""
+    cases = ", ".join(f"CASE WHEN regexp_matches(low, '\\b{p}\\b') THEN '{rule}:{p}' END" for rule, ps in text.RULES for p in ps)
+    return f"""WITH RECURSIVE {_ONE_RESULT}, {_LAST}, {candidates}, {known},
+      c1 AS (SELECT g, ord, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean_text FROM c0 WHERE text IS NOT NULL),
+      c2 AS (SELECT *, len(list_filter(regexp_split_to_array(clean_text, '\\s+'), lambda x: x <> '')) AS n, lower(regexp_replace(clean_text, '[^\\x00-\\x7F]', '_', 'g')) AS low, {_TOK.format('clean_text')} AS w FROM c1),
+      c3 AS (SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL)[1] AS hit FROM c2), c4 AS (SELECT g, ord, clean_text, w, CASE WHEN n < 5 OR n > 30 THEN 'length:' || n WHEN hit IS NOT NULL THEN 'blacklist:' || hit END AS gate FROM c3),
+      p AS (SELECT g, ord, w, row_number() OVER (PARTITION BY g ORDER BY ord) AS rn FROM c4 WHERE gate IS NULL), k1 AS (SELECT g, list({_TOK.format("text")}) AS acc FROM k0 WHERE text IS NOT NULL GROUP BY 1),
+      fd AS (SELECT q.g, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS ord, coalesce(acc, CAST([] AS VARCHAR[][])) AS acc, false AS dup FROM (SELECT DISTINCT g FROM p) q LEFT JOIN k1 ON k1.g IS NOT DISTINCT FROM q.g
+        UNION ALL SELECT g, rn, ord, CASE WHEN dup OR len(w) = 0 THEN acc ELSE list_append(acc, w) END, dup FROM (
+          SELECT p.g, p.rn, p.ord, p.w, r.acc, len(p.w) > 0 AND len(list_filter(r.acc, lambda s: len(s) > 0 AND len(list_intersect(s, p.w)) >= 0.85 * (len(s) + len(p.w) - len(list_intersect(s, p.w))) - 1e-12)) > 0 AS dup FROM fd r JOIN p ON p.g IS NOT DISTINCT FROM r.g AND p.rn = r.rn + 1))
+      SELECT c4.g AS {group}, c4.ord, clean_text, coalesce(gate, CASE WHEN dup THEN 'duplicate' END) AS reason FROM c4 LEFT JOIN fd r ON r.g IS NOT DISTINCT FROM c4.g AND r.ord = c4.ord"""
+
+
+_KEPT = "SELECT episode_id, lpad(CAST(result_id AS VARCHAR), 12, '0') || ':' || lpad(CAST(pos AS VARCHAR), 4, '0') AS ord, text FROM (SELECT episode_id, result_id, unnest(kept) AS text, unnest(range(len(kept))) AS pos FROM r)"
+
 ORACLE = {
+    "ordered_quality_filter": _filter_sql("episode_id", f"c0 AS (SELECT episode_id AS g, ord, text FROM ({_KEPT}))", "k0 AS (SELECT '' AS g, '' AS text WHERE false)"),
+    "filter_against_existing": _filter_sql("scene", f"c0 AS (SELECT coalesce(scene_id, '?') AS g, ord, text FROM ({_KEPT}) JOIN ep USING (episode_id))", "k0 AS (SELECT coalesce(scene_id, '?') AS g, instruction AS text FROM ep)"),
     "blacklist_hits": _hits_sql(),
     "word_gate": f"SELECT doc_id, len({_WORDS}) AS words, len({_WORDS}) BETWEEN 5 AND 30 AS passes, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed_length FROM documents WHERE text IS NOT NULL",
     "token_jaccard": f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS a, {_TOK.format('title')} AS b FROM documents WHERE text IS NOT NULL AND title IS NOT NULL), j AS (SELECT *, len(list_intersect(a, b)) AS c FROM t)
