@@ -138,10 +138,23 @@ t AS (SELECT raw_id, t.fullkey AS k, t.type AS ty FROM o, json_tree(o.v) t WHERE
 k AS (SELECT raw_id, ltrim(replace(regexp_replace(substr(k, 2), '\[[0-9]+\]', '[]', 'g'), '"', ''), '.') AS path, CASE ty WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind FROM t)
 """
 
+#: The rows of the flat tables: the record itself and the elements of the three named levels, a lone object being the first.
+P5_ROWS = P5_TREE + r"""
+, l0 AS (SELECT raw_id, ty, replace(substr(k, 2), '"', '') AS k FROM t),
+l1 AS (SELECT raw_id, ty, regexp_replace(regexp_replace(CASE WHEN ty = 'OBJECT' AND regexp_matches(k, '\.(candidates|terms|images_saved)$') THEN k || '[0]' ELSE k END, '\.(candidates|terms|images_saved)\.', '.\1[0].', 'g'), '\.(candidates|terms|images_saved)\.', '.\1[0].', 'g') AS k FROM l0),
+l2 AS (SELECT *, regexp_matches(k, '\.(candidates|terms|images_saved)\[[0-9]+\]$') AS element, contains(regexp_replace(k, '\.(candidates|terms|images_saved)\[[0-9]+\]', '', 'g'), '[') AS inside FROM l1),
+n0 AS (SELECT raw_id, '' AS k FROM l1 WHERE k = '' UNION ALL SELECT raw_id, k FROM l2 WHERE element AND NOT inside AND ty <> 'NULL'),
+f0 AS (SELECT raw_id, CASE WHEN element THEN k ELSE regexp_extract(k, '^(.*\])', 1) END AS row_k FROM l2 WHERE NOT inside AND ty NOT IN ('OBJECT', 'NULL') AND k <> '' AND NOT (ty = 'ARRAY' AND regexp_matches(k, '\.(candidates|terms|images_saved)$'))),
+f1 AS (SELECT raw_id, row_k, count(*) AS n FROM f0 GROUP BY 1, 2),
+n1 AS (SELECT n0.*, regexp_extract(k, '^(.*\])[^\]]*\[[0-9]+\]$', 1) AS up, list_transform(regexp_extract_all(k, '\[([0-9]+)\]', 1), lambda x: CAST(x AS INT)) AS idx FROM n0)
+SELECT n1.raw_id AS record_id, ltrim(regexp_replace(k, '\[[0-9]+\]', '', 'g'), '.') AS path, array_to_string(idx, '/') AS node_key, ltrim(regexp_replace(up, '\[[0-9]+\]', '', 'g'), '.') AS parent_path,
+  array_to_string(idx[:-2], '/') AS parent_key, idx[-1] AS ordinal, CAST(coalesce(f1.n, 0) AS INT) AS n_fields FROM n1 LEFT JOIN f1 ON f1.raw_id = n1.raw_id AND f1.row_k = n1.k
+"""
 _NUMBER = "CASE WHEN json_type({0}) IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST({0} AS DOUBLE) END"
 ORACLE = {
     "p4_found": _p4_sql(),
     "p5_found": P5 + P5_LINKS,
+    "p5_tables": P5_ROWS,
     "p5_schema": P5_TREE + "SELECT path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM k GROUP BY 1",
     "p5_poses": P5 + "SELECT raw_id, CAST(json_extract(xyz, '$[0]') AS DOUBLE) AS x, CAST(json_extract(xyz, '$[1]') AS DOUBLE) AS y, CAST(json_extract(xyz, '$[2]') AS DOUBLE) AS z FROM x JOIN poses USING (raw_id)",
     "p5_candidates": P5 + f"SELECT raw_id, CAST(i AS INT) AS candidate, {_NUMBER.format('json_extract(c, $$$.xy[0]$$)')} AS x, {_NUMBER.format('json_extract(c, $$$.xy[1]$$)')} AS y, {_NUMBER.format('json_extract(c, $$$.score$$)')} AS score FROM c2 WHERE json_type(c) <> 'NULL'",
