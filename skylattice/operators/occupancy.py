@@ -75,6 +75,15 @@ def voxels(points: DataFrame, g: Grid = Grid()) -> DataFrame:
     return placed(points, g).select("ix", "iy", "iz").distinct()
 
 
+def extents(points: DataFrame, g: Grid = Grid()) -> tuple[DataFrame, DataFrame]:
+    """The voxels ix, iy, iz and, per column, blocks and is_building as columns2d and building_flags have them, from one
+    pass over the points."""
+    v = materialize(placed(points, g).groupBy("ix", "iy", "iz").agg(F.max("z").alias("high"), F.min("z").alias("low")), "extents")
+    roof, low = F.max("high"), F.min("low")
+    columns = v.groupBy("ix", "iy").agg((roof - low > g.road_extent).alias("blocks"), (roof >= g.elevation + g.building).alias("is_building"))
+    return v.select("ix", "iy", "iz"), columns
+
+
 def columns2d(points: DataFrame, g: Grid = Grid()) -> DataFrame:
     """Per column: roof_z, low_z, ground_z (lowest in the ground band), support (points just above it), obstacles (points
     above that and below building height), is_building, is_obstacle. Two aggregations; the first one's result is small."""

@@ -1,19 +1,23 @@
 """Searches over candidate places: vantage points, hiding places, start gates, corridors, and a viewpoint plan in time.
 
 Candidates are constants that are exploded next to each question, tested by equi-joins against the grid and reduced to
-the best by one aggregation. Ties go to the first candidate.
+the best by one aggregation; hiding places are tried tile by tile instead. Ties go to the first candidate.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import wrap_to_pi
 from skylattice.operators import occupancy as occ
-from skylattice.operators.metrics import scaled
+from skylattice.operators import tiles
+from skylattice.session import materialize
 
 
 def evaluated(frames: DataFrame, hfov: Column, reach: float = 100.0) -> DataFrame:
@@ -42,18 +46,76 @@ def vantage_points(targets: DataFrame, voxel_set: DataFrame, flags: DataFrame, g
     return spread.join(clear, "ray_id").select("target_id", F.struct(cost, F.col("o.n").alias("n")).alias("c")).groupBy("target_id").agg(F.min("c").alias("c")).select("target_id", F.col("c.n").alias("candidate"), F.col("c.cost").alias("cost"))
 
 
+#: Candidates that are tried before others, best first: so many at a time.
+TRIED = (2, 8, 32)
+
+
+def best_hidden(cases: np.ndarray, free: np.ndarray, places: np.ndarray, solids: tiles.Solids) -> tuple[np.ndarray, np.ndarray]:
+    """score in millionths and number of the best free place [case, place] that a solid voxel hides, number -1 without one.
+    cases: x, y, z, dx, dy, dz [6, case]; places: offsets x, y and distance [3, place]. Better places are tried first."""
+    count = places.shape[1]
+    ux, uy = cases[0] - cases[3], cases[1] - cases[4]
+    away = (places[0] * ux[:, None] + places[1] * uy[:, None]) / np.maximum(1e-6, np.sqrt(ux * ux + uy * uy))[:, None]
+    score = np.floor((2.0 * away + places[2]) * 1e6 + 0.5).astype(np.int64)
+    none = np.iinfo(np.int64).min
+    ranked = np.sort(np.where(free, score * count + np.arange(count)[::-1], none), axis=1)[:, ::-1]
+    best = np.full(cases.shape[1], none)
+    live = np.arange(cases.shape[1])
+    for lo, hi in zip((0, *TRIED), (*TRIED, count)):
+        live = live[ranked[live, lo] != none] if lo < count else live[:0]
+        tried = ranked[live, lo:hi]
+        row, rank = np.nonzero(tried != none)
+        n, case = count - 1 - tried[row, rank] % count, cases[:, live[row]]
+        hidden = np.zeros(tried.shape, dtype=bool)
+        hidden[row, rank] = solids.meet(case[3:], np.stack([case[0] + places[0, n], case[1] + places[1, n], case[2]]))
+        found = hidden.any(axis=1)
+        best[live[found]] = tried[found, hidden[found].argmax(axis=1)]
+        live = live[~found]
+    return np.where(best == none, 0, best // count), np.where(best == none, -1, count - 1 - best % count)
+
+
 def hiding_places(cases: DataFrame, voxel_set: DataFrame, flags: DataFrame, blocked: DataFrame, g: occ.Grid, radii: tuple[float, ...] = (6.0, 9.0, 12.0, 15.0, 18.0, 21.0, 24.0, 27.0), angles: int = 32) -> DataFrame:
-    """For each case (case_id, x, y, z of the target, dx, dy, dz of the drone) the best free place around the target that
-    the drone can't see: away from the drone counts double, distance once. Free places are found before any ray."""
-    grid = [(n, r * math.cos(2 * math.pi * a / angles), r * math.sin(2 * math.pi * a / angles), r) for n, (r, a) in enumerate((r, a) for r in radii for a in range(angles))]
-    offsets = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(r).alias("r")) for n, x, y, r in grid])
-    spread = cases.withColumn("o", F.explode(offsets)).select("case_id", "dx", "dy", "dz", "z", F.col("o.n").alias("n"), F.col("o.r").alias("r"), (F.col("x") + F.col("o.x")).alias("px"), (F.col("y") + F.col("o.y")).alias("py"), ((F.col("o.x") * (F.col("x") - F.col("dx")) + F.col("o.y") * (F.col("y") - F.col("dy"))) / F.greatest(F.lit(1e-6), F.sqrt((F.col("x") - F.col("dx")) ** 2 + (F.col("y") - F.col("dy")) ** 2))).alias("away"))
-    spread = spread.withColumn("ix", occ.cell(F.col("px"), g.voxel)).withColumn("iy", occ.cell(F.col("py"), g.voxel))
-    free = spread.join(blocked.select("ix", "iy").distinct(), ["ix", "iy"], "left_anti").withColumn("ray_id", F.col("case_id") * len(grid) + F.col("n"))
-    rays = free.select("ray_id", F.col("dx").alias("ax"), F.col("dy").alias("ay"), F.col("dz").alias("az"), F.col("px").alias("bx"), F.col("py").alias("by"), F.col("z").alias("bz"))
-    hidden = occ.line_of_sight(rays, voxel_set, flags, g).where("blocked").select("ray_id")
-    score = scaled(2.0 * F.col("away") + F.col("r"), 6)
-    best = free.join(hidden, "ray_id").select("case_id", F.struct(score.alias("score"), (-F.col("n")).alias("o")).alias("c")).groupBy("case_id").agg(F.max("c").alias("c"))
+    """For each case (case_id, x, y, z of the target, dx, dy, dz of the drone, all real) the best free place around the
+    target that the drone can't see: away from the drone counts double, distance once. Cases meet the scene of their target's
+    tile. Where the drone is beyond it, only the free places are found there, and the rays then meet every tile on the way."""
+    places = np.array([(r * math.cos(2 * math.pi * a / angles), r * math.sin(2 * math.pi * a / angles), r) for r in radii for a in range(angles)]).T
+    side = max(32, math.ceil(4 * max(radii) / g.voxel))
+    wide, reach = 3 * side, (side - 1) * g.voxel
+    solid = voxel_set.join(flags.where("blocks").select("ix", "iy"), ["ix", "iy"], "left_semi").where(F.abs("iz") <= math.ceil(occ.REAL / g.voxel) + 1).select("ix", "iy", "iz")
+    names = ["x", "y", "z", "dx", "dy", "dz"]
+    kind = dict(cases.dtypes)["case_id"]
+
+    def answer(questions: pa.Table, cells: pa.Table, corner: tuple[int, int]) -> pa.Table:
+        is_wall = cells["iz"].is_null()
+        walls = tiles.on_grid(cells.filter(is_wall), corner, wide)
+        solids = tiles.Solids(cells.filter(pc.invert(is_wall)), corner, wide, g.voxel)
+        out = []
+        for lo in range(0, questions.num_rows, 2048):
+            part = questions.slice(lo, 2048)
+            c = np.stack(tiles.numbers(part, *names))
+            if "free" in part.column_names:
+                free = np.unpackbits(np.frombuffer(b"".join(part["free"].to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1), axis=1, count=places.shape[1]).astype(bool)
+                far = np.zeros(part.num_rows, dtype=bool)
+            else:
+                at = [np.floor((c[k][:, None] + places[k]) / g.voxel).astype(np.int64) - corner[k] for k in (0, 1)]
+                free = ~walls[at[0], at[1]]
+                far = np.sqrt((c[0] - c[3]) ** 2 + (c[1] - c[4]) ** 2) > reach
+            score, n = best_hidden(c, free & ~far[:, None], places, solids)
+            bits = pa.array([b.tobytes() if f else None for b, f in zip(np.packbits(free, axis=1), far)], pa.binary())
+            found = pa.table([part["case_id"], pa.array(score), pa.array(n.astype(np.int32)), bits, *(part[c] for c in names)], ["case_id", "score", "n", "free", *names])
+            out.append(found.filter(pa.array((n >= 0) | far)))
+        return pa.concat_tables(out)
+
+    schema = f"case_id {kind}, score bigint, n int, free binary, {', '.join(f'{c} double' for c in names)}"
+    to = [tiles.tile(occ.cell(F.col(c), g.voxel), side).alias(f"t{c}") for c in "xy"]
+    scene = solid.unionByName(blocked.select("ix", "iy", F.lit(None).cast("int").alias("iz")).distinct())
+    first = materialize(tiles.answered(cases.select("case_id", *names, *to), scene, side, answer, schema), "hiding-places")
+    legs = F.ceil(F.sqrt((F.col("x") - F.col("dx")) ** 2 + (F.col("y") - F.col("dy")) ** 2) / (0.5 * side * g.voxel))
+    along = lambda k, c: tiles.tile(occ.cell(F.col(f"d{c}") + (F.col(c) - F.col(f"d{c}")) * (k / legs), g.voxel), side).alias(f"t{c}")
+    way = F.array_distinct(F.transform(F.sequence(F.lit(0), legs.cast("int")), lambda k: F.struct(along(k, "x"), along(k, "y"))))
+    far = first.where("free is not null").withColumn("t", F.explode(way)).select("case_id", *names, "free", "t.tx", "t.ty")
+    found = first.where("n >= 0").select("case_id", "score", "n").unionByName(tiles.answered(far, solid, side, answer, schema).select("case_id", "score", "n"))
+    best = found.groupBy("case_id").agg(F.max(F.struct("score", (-F.col("n")).alias("o"))).alias("c"))
     return best.select("case_id", (-F.col("c.o")).alias("candidate"), F.col("c.score").alias("score_e6"))
 
 

@@ -34,10 +34,10 @@ def clear_vantage(spark, d):
 
 def hide_goal(spark, d):
     """For every record with both poses."""
-    v, flags, columns = _world(spark, d)
+    v, columns = occ.extents(space.points(spark, d), space.GRID)
     r = space.rays(spark, d).where(occ.real(*[F.col(f"{p}{c}") for p in "ab" for c in "xyz"]))
     cases = r.select(*[F.col(c).alias(n) for c, n in (("ray_id", "case_id"), ("bx", "x"), ("by", "y"), ("bz", "z"), ("ax", "dx"), ("ay", "dy"), ("az", "dz"))])
-    return planning.hiding_places(cases, v, flags, columns.where("is_building"), space.GRID)
+    return planning.hiding_places(cases, v, columns, columns.where("is_building"), space.GRID)
 
 
 def start_gates(spark, d):
