@@ -76,11 +76,12 @@ def voxels(points: DataFrame, g: Grid = Grid()) -> DataFrame:
 
 
 def extents(points: DataFrame, g: Grid = Grid()) -> tuple[DataFrame, DataFrame]:
-    """The voxels ix, iy, iz and, per column, blocks and is_building as columns2d and building_flags have them, from one
-    pass over the points."""
-    v = materialize(placed(points, g).groupBy("ix", "iy", "iz").agg(F.max("z").alias("high"), F.min("z").alias("low")), "extents")
+    """The voxels ix, iy, iz and, per column, roof_z, ground_z, blocks and is_building as columns2d and building_flags have
+    them, from one pass over the points."""
+    band = (F.col("z") >= g.elevation - g.ground_below) & (F.col("z") < g.elevation + g.building)
+    v = materialize(placed(points, g).groupBy("ix", "iy", "iz").agg(F.max("z").alias("high"), F.min("z").alias("low"), F.min(F.when(band, F.col("z"))).alias("ground")), "extents")
     roof, low = F.max("high"), F.min("low")
-    columns = v.groupBy("ix", "iy").agg((roof - low > g.road_extent).alias("blocks"), (roof >= g.elevation + g.building).alias("is_building"))
+    columns = v.groupBy("ix", "iy").agg(roof.alias("roof_z"), F.min("ground").alias("ground_z"), (roof - low > g.road_extent).alias("blocks"), (roof >= g.elevation + g.building).alias("is_building"))
     return v.select("ix", "iy", "iz"), columns
 
 

@@ -2,18 +2,23 @@
 start, and height fields.
 
 As in occupancy: everything is keyed by cells, so each question becomes exploded offsets, an equi-join and one
-aggregation. Rays longer than `reach` are not sampled; their answer is null.
+aggregation; places on rings around anchors are looked up tile by tile instead. Rays longer than `reach` are not sampled;
+their answer is null.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import wrap_to_pi
 from skylattice.operators import occupancy as occ
+from skylattice.operators import tiles
+from skylattice.session import materialize
 
 #: Metres. Height of an eye, of a target above its ground, and the least height of a target above the map.
 EYE, AGL, LEAST_END = 12.0, 1.0, 0.5
@@ -192,17 +197,64 @@ def around(anchors: DataFrame, places: list[tuple[int, float, float]]) -> DataFr
     return on.select("anchor_id", F.col("o.n").alias("n"), F.struct("anchor_id", F.col("o.n").alias("n")).alias("start_id"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"))
 
 
+def roads(walls: np.ndarray, headings: int, reach: int) -> tuple[np.ndarray, ...]:
+    """heading, forward, back, width and road score of the best heading of each cell of a grid, as occupancy.free_runs and
+    occupancy.corridor have them. Beyond the grid all is free."""
+    n, q = len(walls), headings // 4
+    padded = np.pad(walls, reach)
+    free = np.full((headings, n, n), reach)
+    for h in range(headings):
+        for s in range(reach, 0, -1):
+            dx, dy = reach + round(s * math.cos(2 * math.pi * h / headings)), reach + round(s * math.sin(2 * math.pi * h / headings))
+            free[h][padded[dx : dx + n, dy : dy + n]] = s - 1
+    at = lambda k: np.roll(free, -k, axis=0)
+    back, width = at(headings // 2), at(q) + at(3 * q) + 1
+    score = free + 0.25 * back + 2.0 * width
+    best = score.argmax(axis=0)
+    return best, *(np.take_along_axis(c, best[None], axis=0)[0] for c in (free, back, width, score))
+
+
+def anchored(anchors: DataFrame, g: occ.Grid, side: int) -> tuple[DataFrame, DataFrame]:
+    """anchor_id, x, y with their tile, and those without a cell."""
+    a = anchors.select("anchor_id", "x", "y", *[tiles.tile(occ.cell(F.col(c), g.voxel), side).alias(f"t{c}") for c in "xy"])
+    a = materialize(a, "anchors")
+    return a.dropna(subset=["tx", "ty"]), a.where("tx is null or ty is null")
+
+
+def spots(part: pa.Table, offsets: np.ndarray, corner: tuple[int, int], voxel: float) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Cells in the grid from corner on, and distance, of every place around each anchor [anchor, place]."""
+    own = [c[:, None] for c in tiles.numbers(part, "x", "y")]
+    place = [c + o for c, o in zip(own, offsets)]
+    return tuple(np.floor(p / voxel).astype(np.int64) - o for p, o in zip(place, corner)), np.sqrt((place[0] - own[0]) ** 2 + (place[1] - own[1]) ** 2)
+
+
 def road_seeds(anchors: DataFrame, blocked: DataFrame, g: occ.Grid, radius: float = 180.0, step: float = 12.0, headings: int = 8, reach: int = 12) -> DataFrame:
     """anchor_id, n, heading, score: of the free places on rings around each anchor the one, with its heading, that looks
     most like a major road, near ones preferred. Ties go to the inner place and the smaller heading. Rings start at the
-    x axis: no jitter is drawn."""
-    spread = around(anchors, rings(radius, step, 12)).withColumn("ix", occ.cell(F.col("x"), g.voxel)).withColumn("iy", occ.cell(F.col("y"), g.voxel))
-    free = spread.join(blocked.select("ix", "iy").distinct(), ["ix", "iy"], "left_anti")
-    scored = occ.corridor(occ.free_runs(free, blocked, headings, reach), headings).where("place = 1").select("start_id", "heading", "score")
-    way = F.sqrt((F.col("x") - F.col("anchor_x")) ** 2 + (F.col("y") - F.col("anchor_y")) ** 2)
-    rank = F.struct(F.round(F.col("score") - 0.03 * way, 6).alias("score"), (-F.col("n")).alias("n"), (-F.col("heading")).alias("heading"))
-    best = free.join(scored, "start_id").groupBy("anchor_id").agg(F.max(rank).alias("r"))
-    return best.select("anchor_id", (-F.col("r.n")).alias("n"), (-F.col("r.heading")).alias("heading"), "r.score")
+    x axis: no jitter is drawn. Anchors meet the blocked cells of their tile, where every cell's road is found once."""
+    offsets = np.array([(dx, dy) for _, dx, dy in rings(radius, step, 12)]).T
+    side = max(32, math.ceil(radius / g.voxel) + reach + 2)
+
+    def answer(questions: pa.Table, cells: pa.Table, corner: tuple[int, int]) -> pa.Table:
+        walls = tiles.on_grid(cells, corner, 3 * side)
+        heading, *_, road = roads(walls, headings, reach)
+        out = []
+        for lo in range(0, questions.num_rows, 512):
+            part = questions.slice(lo, 512)
+            at, way = spots(part, offsets, corner, g.voxel)
+            score = np.where(walls[at], -np.inf, np.rint((road[at] - 0.03 * way) * 1e6))
+            n = score.argmax(axis=1)
+            row = np.arange(len(n))
+            some = np.isfinite(score[row, n])
+            found = pa.table([part["anchor_id"], pa.array(n.astype(np.int32)), pa.array(heading[at][row, n].astype(np.int32)), pa.array(score[row, n] / 1e6)], ["anchor_id", "n", "heading", "score"])
+            out.append(found.filter(pa.array(some)))
+        return pa.concat_tables(out)
+
+    placed, lost = anchored(anchors, g, side)
+    found = tiles.answered(placed, blocked.select("ix", "iy").distinct(), side, answer, f"anchor_id {dict(anchors.dtypes)['anchor_id']}, n int, heading int, score double", share=2000)
+    # without a cell nothing is blocked: the anchor itself, by its way, which is no number where it has no place
+    way = F.sqrt((F.col("x") - F.col("x")) ** 2 + (F.col("y") - F.col("y")) ** 2)
+    return found.unionByName(lost.select("anchor_id", F.lit(0).alias("n"), F.lit(0).alias("heading"), F.round(F.lit(reach + 0.25 * reach + 2.0 * (2 * reach + 1)) - 0.03 * way, 6).alias("score")))
 
 
 def spiral_starts(anchors: DataFrame, blocked: DataFrame, columns: DataFrame, g: occ.Grid, radius: float = 32.0, step: float = 4.0) -> DataFrame:

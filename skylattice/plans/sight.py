@@ -134,7 +134,7 @@ def _anchors(spark, d):
 
 
 def road_seeds(spark, d):
-    r = sight.road_seeds(_anchors(spark, d), space._columns(spark, d).where("is_building"), GRID)
+    r = sight.road_seeds(_anchors(spark, d), occ.extents(space.points(spark, d), GRID)[1].where("is_building"), GRID)
     return r.select("anchor_id", "n", "heading", scaled(F.col("score"), 2).alias("score_e2"))
 
 

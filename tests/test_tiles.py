@@ -6,7 +6,7 @@ import random
 import pytest
 
 from skylattice.operators import occupancy as occ
-from skylattice.operators import planning
+from skylattice.operators import planning, sight
 
 GRID = occ.Grid(voxel=4.0, building=17.0, large=17.5, large_cells=4)
 
@@ -85,3 +85,40 @@ def test_hiding_places_shuffle_no_candidates(spark, hiding):
     asked = spark.createDataFrame([(n, *c[1:]) for n, c in enumerate(cases[:60] * 50)], "case_id long, x double, y double, z double, dx double, dy double, dz double")
     _, records = shuffled(spark, lambda: planning.hiding_places(asked, v, columns, columns.where("is_building"), GRID).collect())
     assert records < 32 * 3000, records
+
+
+def walls_of(points):
+    top = {}
+    for x, y, z in points:
+        c = math.floor(x / 4), math.floor(y / 4)
+        top[c] = max(top.get(c, z), z)
+    return {c for c, z in top.items() if z >= GRID.building}
+
+
+def seed_by_brute_force(anchor, walls):
+    _, x, y = anchor
+    best = None
+    for n, dx, dy in sight.rings(180.0, 12.0, 12):
+        ix, iy = math.floor((x + dx) / 4), math.floor((y + dy) / 4)
+        if (ix, iy) in walls:
+            continue
+        step = lambda h, s: (ix + round(s * math.cos(2 * math.pi * h / 8)), iy + round(s * math.sin(2 * math.pi * h / 8)))  # noqa: E731, B023
+        free = [next((s for s in range(1, 13) if step(h, s) in walls), 13) - 1 for h in range(8)]
+        score, h = max((free[h] + 0.25 * free[(h + 4) % 8] + 2.0 * (free[(h + 2) % 8] + free[(h + 6) % 8] + 1), -h) for h in range(8))
+        best = max(best or (-1e9, 0, 0), (round(score - 0.03 * math.sqrt((x + dx - x) ** 2 + (y + dy - y) ** 2), 6), -n, h))
+    return best and (-best[1], -best[2], best[0])
+
+
+def test_road_seeds_are_those_of_brute_force_and_no_place_is_shuffled(spark):
+    r = random.Random(5)
+    points = [(4 * i + 1.0, 4 * j + 1.0, 20.0) for i in range(-60, 60) for j in range(-60, 60) if r.random() < 0.15] + [(4 * i + 1.0, 4 * j + 1.0, 20.0) for i in range(1000, 1100) for j in range(1000, 1100)]
+    columns = scene(spark, points)[1]
+    anchors = [(n, r.uniform(-250, 250), r.uniform(-250, 250)) for n in range(100)] + [(100, 1e7, -1e7), (101, float("nan"), 0.0), (102, None, 0.0), (103, 4200.0, 4200.0)]
+    asked = spark.createDataFrame(anchors, "anchor_id long, x double, y double")
+    found, records = shuffled(spark, lambda: sight.road_seeds(asked, columns.where("is_building"), GRID).collect())
+    got = {a.anchor_id: (a.n, a.heading, a.score) for a in found}
+    walls = walls_of(points)
+    assert {a[0]: got.get(a[0]) for a in anchors[:12]} == {a[0]: seed_by_brute_force(a, walls) for a in anchors[:12]}
+    assert got[100] == (0, 0, 65.0) and got[101][:2] == got[102][:2] == (0, 0) and math.isnan(got[101][2]) and got[102][2] is None
+    assert 103 not in got and len(got) == 103
+    assert records < 300_000, records
