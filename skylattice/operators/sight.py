@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,13 +191,6 @@ def rings(radius: float, step: float, least: int) -> list[tuple[int, float, floa
     return out
 
 
-def around(anchors: DataFrame, places: list[tuple[int, float, float]]) -> DataFrame:
-    """anchor_id, n, start_id, x, y: each anchor (anchor_id, x, y) with every place around it."""
-    offsets = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for n, dx, dy in places])
-    on = anchors.withColumn("o", F.explode(offsets))
-    return on.select("anchor_id", F.col("o.n").alias("n"), F.struct("anchor_id", F.col("o.n").alias("n")).alias("start_id"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"))
-
-
 def roads(walls: np.ndarray, headings: int, reach: int) -> tuple[np.ndarray, ...]:
     """heading, forward, back, width and road score of the best heading of each cell of a grid, as occupancy.free_runs and
     occupancy.corridor have them. Beyond the grid all is free."""
@@ -257,15 +251,51 @@ def road_seeds(anchors: DataFrame, blocked: DataFrame, g: occ.Grid, radius: floa
     return found.unionByName(lost.select("anchor_id", F.lit(0).alias("n"), F.lit(0).alias("heading"), F.round(F.lit(reach + 0.25 * reach + 2.0 * (2 * reach + 1)) - 0.03 * way, 6).alias("score")))
 
 
+def good_starts(ground: np.ndarray, clearance: np.ndarray, walls: np.ndarray, g: occ.Grid, is_building: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells of a grid pass the strict gates of init_gates, without the anchor's, and their score."""
+    _, forward, back, cells, road = roads(walls, 8, 12)
+    n = len(ground)
+    padded = np.pad(ground, 1, constant_values=g.elevation)
+    near = np.stack([padded[i : i + n, j : j + n] for i in range(3) for j in range(3)])
+    slope = near.max(axis=0) - near.min(axis=0)
+    width, ahead, open_ = cells * g.voxel, forward * g.voxel, forward * g.voxel + back * g.voxel
+    drive = np.minimum(ahead, 12.0)
+    rail = (clearance > 0.5) & (clearance < STRICT["clearance"])
+    good = ~is_building & ~rail & (width >= STRICT["width"]) & (ahead >= STRICT["ahead"]) & (open_ >= STRICT["open"]) & (drive >= STRICT["drive"]) & (slope <= STRICT["slope"])
+    return good, road + 0.4 * width + 0.15 * np.minimum(ahead, 60.0) + 0.05 * drive - 3.0 * slope
+
+
 def spiral_starts(anchors: DataFrame, blocked: DataFrame, columns: DataFrame, g: occ.Grid, radius: float = 32.0, step: float = 4.0) -> DataFrame:
     """anchor_id, n, score: the first place of a spiral around each anchor that passes all gates of a start; without one n
-    is 0, the anchor itself, and the score null."""
-    starts = around(anchors, rings(radius, step, 8))
-    cells = starts.select("start_id", occ.cell(F.col("x"), g.voxel).alias("ix"), occ.cell(F.col("y"), g.voxel).alias("iy"))
-    roads = occ.corridor(occ.free_runs(cells, blocked, 8, 12), 8).where("place = 1")
-    good = init_gates(starts, roads, columns, g).where("reason = 'ok'")
-    first = good.groupBy(F.col("start_id.anchor_id").alias("anchor_id")).agg(F.min(F.struct("start_id.n", "score")).alias("f"))
-    return anchors.select("anchor_id").join(first, "anchor_id", "left").select("anchor_id", F.coalesce("f.n", F.lit(0)).alias("n"), F.col("f.score").alias("score"))
+    is 0, the anchor itself, and the score null. Anchors meet the columns of their tile, where every cell is judged once."""
+    offsets = np.array([(dx, dy) for _, dx, dy in rings(radius, step, 8)]).T
+    side = max(32, math.ceil(radius / g.voxel) + 14)
+    wide = 3 * side
+
+    def answer(questions: pa.Table, cells: pa.Table, corner: tuple[int, int]) -> pa.Table:
+        is_column = cells["ground"].is_valid()
+        own = cells.filter(is_column)
+        walls = tiles.on_grid(cells.filter(pc.invert(is_column)), corner, wide)
+        ground, roof, is_building = tiles.numbers(own, "ground", "roof", "is_building")
+        on = lambda values, empty: tiles.on_grid(own, corner, wide, values, empty)
+        good, judged = good_starts(on(ground, g.elevation), on(roof - ground, 0.0), walls, g, on(is_building > 0, False))
+        out = []
+        for lo in range(0, questions.num_rows, 2048):
+            part = questions.slice(lo, 2048)
+            at, moved = spots(part, offsets, corner, g.voxel)
+            ok = good[at]
+            n = ok.argmax(axis=1)
+            row = np.arange(len(n))
+            score = judged[at][row, n] - 0.04 * np.maximum(0.0, moved[row, n] - 80.0)
+            out.append(pa.table([part["anchor_id"], pa.array(n.astype(np.int32)), pa.array(score, mask=~ok[row, n])], ["anchor_id", "n", "score"]))
+        return pa.concat_tables(out)
+
+    level = lambda c: F.coalesce(c, F.lit(g.elevation)).cast("double")
+    walls = blocked.select("ix", "iy").distinct().withColumns({"ground": F.lit(None).cast("double"), "roof": F.lit(None).cast("double"), "is_building": F.lit(None).cast("boolean")})
+    scene = columns.select("ix", "iy", level("ground_z").alias("ground"), level("roof_z").alias("roof"), F.coalesce("is_building", F.lit(False)).alias("is_building")).unionByName(walls)
+    placed, lost = anchored(anchors, g, side)
+    found = tiles.answered(placed, scene, side, answer, f"anchor_id {dict(anchors.dtypes)['anchor_id']}, n int, score double", share=5000)
+    return found.unionByName(lost.select("anchor_id", F.lit(0).alias("n"), F.lit(None).cast("double").alias("score")))
 
 
 def street_headings(free: DataFrame, hints: DataFrame, cell: float, short: float = 3.0) -> DataFrame:

@@ -139,7 +139,7 @@ def road_seeds(spark, d):
 
 
 def spiral_starts(spark, d):
-    columns = space._columns(spark, d)
+    columns = occ.extents(space.points(spark, d), GRID)[1]
     r = sight.spiral_starts(_anchors(spark, d), columns.where("is_building"), columns, GRID)
     return r.select("anchor_id", "n", scaled(F.col("score"), 2).alias("score_e2"))
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skylattice.operators import occupancy as occ
 from skylattice.operators import planning, sight
@@ -122,3 +123,26 @@ def test_road_seeds_are_those_of_brute_force_and_no_place_is_shuffled(spark):
     assert got[100] == (0, 0, 65.0) and got[101][:2] == got[102][:2] == (0, 0) and math.isnan(got[101][2]) and got[102][2] is None
     assert 103 not in got and len(got) == 103
     assert records < 300_000, records
+
+
+def test_spiral_starts_are_the_first_good_places_and_no_place_is_shuffled(spark):
+    r = random.Random(6)
+    points = [(4 * i + 1.0, 4 * j + 1.0, z) for i in range(-50, 50) for j in range(-50, 50) if r.random() < 0.5 for z in ([20.0] if r.random() < 0.1 else [r.choice([0.0, 0.3, 0.6]), r.choice([0.9, 7.0, 7.0])])]
+    columns = scene(spark, points)[1]
+    anchors = [(n, r.uniform(-150, 150), r.uniform(-150, 150)) for n in range(300)] + [(300, float("nan"), 0.0), (301, None, 0.0), (302, 9000.0, -9000.0)]
+    asked = spark.createDataFrame(anchors, "anchor_id long, x double, y double")
+    walls = columns.where("is_building")
+    found, records = shuffled(spark, lambda: sight.spiral_starts(asked, walls, columns, GRID).collect())
+    got = {a.anchor_id: (a.n, a.score) for a in found}
+    assert len(got) == 303 and got[300] == got[301] == (0, None) and got[302][0] == 0 and got[302][1] > 0
+    assert records < 200_000, records
+
+    few = [a for a in anchors[:6]]
+    starts = spark.createDataFrame([(1000 * a + n, x + dx, y + dy, x, y) for a, x, y in few for n, dx, dy in sight.rings(32.0, 4.0, 8)], "start_id long, x double, y double, anchor_x double, anchor_y double")
+    cells = starts.select("start_id", occ.cell(F.col("x"), 4.0).alias("ix"), occ.cell(F.col("y"), 4.0).alias("iy"))
+    gates = sight.init_gates(starts, occ.corridor(occ.free_runs(cells, walls, 8, 12), 8).where("place = 1"), columns, GRID).where("reason = 'ok'").collect()
+    first = {}
+    for g in sorted(gates, key=lambda g: g.start_id):
+        first.setdefault(g.start_id // 1000, (g.start_id % 1000, g.score))
+    assert len(first) > 2
+    assert {a[0]: got[a[0]] for a in few} == {a[0]: first.get(a[0], (0, None)) for a in few}
