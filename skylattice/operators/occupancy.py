@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.operators import tiles
 from skylattice.operators.chunks import by_chunk, changes, codes, whole_chunks
 from skylattice.session import materialize
 
@@ -172,12 +173,26 @@ def roof_los(rays: DataFrame, columns: DataFrame, g: Grid = Grid(), margin: floa
 
 def nearest(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
     """point_id, site_id, distance of the nearest site (site_id, x, y) within reach of each point (point_id, x, y); ties
-    go to the smaller id. Cells are as large as the reach, so nine cells hold all that can be near."""
-    spread = points.withColumn("o", F.explode(square(1))).select("point_id", "x", "y", (cell(F.col("x"), reach) + F.col("o.dx")).alias("cx"), (cell(F.col("y"), reach) + F.col("o.dy")).alias("cy"))
-    keyed = sites.select("site_id", F.col("x").alias("sx"), F.col("y").alias("sy"), cell(F.col("x"), reach).alias("cx"), cell(F.col("y"), reach).alias("cy"))
-    d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
-    near = spread.join(keyed, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= reach)
-    return near.groupBy("point_id").agg(F.min(F.struct("distance", "site_id")).alias("n")).select("point_id", "n.site_id", "n.distance")
+    go to the smaller id. Points and sites meet in tiles of two by two cells as large as the reach; a point is shuffled once
+    and looks at the sites near it only, however many a tile has."""
+    cells = lambda df: df.withColumns({f"i{c}": cell(F.col(c), reach) for c in "xy"}).dropna(subset=["ix", "iy"])
+    kinds = dict(points.dtypes)["point_id"], dict(sites.dtypes)["site_id"]
+
+    def answer(questions: pa.Table, around: pa.Table, corner: tuple[int, int]) -> pa.Table:
+        ids = around["site_id"]
+        out = [pa.table([questions["point_id"].slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64())], ["point_id", "site_id", "distance"])]
+        if around.num_rows:
+            around = around.sort_by("site_id")
+            near = tiles.Sites(*tiles.numbers(around, "x", "y"), reach)
+            for lo in range(0, questions.num_rows, 4096):
+                part = questions.slice(lo, 4096)
+                number, distance = near.nearest(*tiles.numbers(part, "x", "y"))
+                found = number >= 0
+                out.append(pa.table([part["point_id"].filter(pa.array(found)), around["site_id"].take(pa.array(number[found])), pa.array(distance[found])], ["point_id", "site_id", "distance"]))
+        return pa.concat_tables(out)
+
+    asked = cells(points).select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[tiles.tile(F.col(f"i{c}"), 2).alias(f"t{c}") for c in "xy"])
+    return tiles.answered(asked, cells(sites).select("site_id", "x", "y", "ix", "iy"), 2, answer, f"point_id {kinds[0]}, site_id {kinds[1]}, distance double")
 
 
 def site_pairs(sites: DataFrame, lo: float, hi: float) -> DataFrame:

@@ -146,3 +146,23 @@ def test_spiral_starts_are_the_first_good_places_and_no_place_is_shuffled(spark)
         first.setdefault(g.start_id // 1000, (g.start_id % 1000, g.score))
     assert len(first) > 2
     assert {a[0]: got[a[0]] for a in few} == {a[0]: first.get(a[0], (0, None)) for a in few}
+
+
+def test_nearest_sites_are_those_of_brute_force_and_points_are_shuffled_as_they_are(spark):
+    r = random.Random(7)
+    sites = [(n, r.uniform(-60, 60), r.uniform(-60, 60)) for n in range(400)] + [(n, float(r.randint(-8, 8)), 300.0 + r.randint(-8, 8)) for n in range(400, 700)] + [(700, float("nan"), 0.0), (701, None, 5.0), (702, -95.0, -5.0)]
+    points = [(n, r.uniform(-120, 120), r.uniform(-120, 120)) for n in range(4000)] + [(n, float(r.randint(-30, 30)), 300.0 + r.randint(-30, 30) / 2) for n in range(4000, 5000)] + [(5000, float("nan"), 0.0), (5001, None, 0.0), (5002, 1e300, 0.0)]
+    p, s = spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(sites, "site_id long, x double, y double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        found, records = shuffled(spark, lambda: occ.nearest(p, s, 30.0).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {}
+    for n, x, y in points[:5000]:
+        d, site = min((math.sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)), k) for k, sx, sy in sites if sx is not None and not math.isnan(sx))
+        if d <= 30.0:
+            want[n] = (site, d)
+    assert {a.point_id: (a.site_id, a.distance) for a in found} == want and 2000 < len(want) < 4900
+    assert records < 4 * 5000 + 20 * 700, records
